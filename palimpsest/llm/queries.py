@@ -6,18 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_repeats
-from .shared import documents
+from . import exact_dedup, jaccard_join, packing, piece_tokens, plane_store, quality_repeats, suffix_dedup
+from .shared import documents, fresh_path
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, installed alike on the driver and all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_repeats.verdicts(documents(spark, sf_dir))
 
 
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "planes")
+    plane_store.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
+    return plane_store.digests(spark, path)
+
+
+def op3_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
+def op5_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op8_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).drop("locator")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_repeats, op8_streaming_exact_dedup)}
+def op10_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_repeats, op2_bit_planes, op3_heavy_light_jaccard, op5_swap_packing, op6_suffix_dedup, op8_streaming_exact_dedup, op10_piece_agenda)}
 
 SQL: dict[str, str] = {}
