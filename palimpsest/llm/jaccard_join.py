@@ -97,14 +97,13 @@ def enumerated(n: int, pct: int, most: int) -> int:
     return sum(comb(n, o) for _, _, o in light_pairs(n, pct, most))
 
 
-def boundary(load: np.ndarray, pct: int) -> int:
+def boundary(total: float, squares: float, pct: int) -> int:
     """The largest size whose subsets are fewer than the entries its scan would meet.
 
     A scan reads the lists of prefix elements; the expected rest of a list is the size-biased load of the
     sketch, less what falls together by chance.
     """
-    total = float(load.sum())
-    beside = max(1.0, float((load.astype(float) * (load - 1)).sum()) / total - total / len(load)) if total else 1.0
+    beside = max(1.0, squares / total - total / SKETCH) if total else 1.0
     best = 0
     for n in range(1, LARGEST_LIGHT + 1):
         prefix = n - -(-pct * n // 100) + 1
@@ -144,19 +143,24 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, cell int, load array<int>")
 
 
-def _sketch(measured: DataFrame) -> np.ndarray:
-    """The whole sketch: SKETCH numbers, whatever the input."""
-    cells = measured.where("cell is not null").select("cell", F.posexplode("load").alias("at", "load")).where("load > 0").groupBy("cell", "at").agg(F.sum("load").alias("load"))
-    got = cells.toPandas()
-    load = np.zeros(SKETCH, np.int64)
-    load[got["cell"].to_numpy(np.int64) * 4096 + got["at"].to_numpy(np.int64)] = got["load"].to_numpy(np.int64)
-    return load
+def _sketch(measured: DataFrame) -> tuple[np.ndarray, float, float]:
+    """The load of each counter that chance alone doesn't explain (0 for others), the sum of all and of their squares.
+
+    Chance spreads rare elements evenly; three deviations above the mean leaves little but frequent ones."""
+    cells = measured.where("cell is not null").select("cell", F.posexplode("load").alias("at", "load")).where("load > 0")
+    cells = written(cells.groupBy("cell", "at").agg(F.sum("load").alias("load")), "sketch")
+    total, squares = cells.agg(F.coalesce(F.sum("load"), F.lit(0)), F.coalesce(F.sum(F.col("load").cast("double") * (F.col("load") - 1)), F.lit(0.0))).first()
+    mean = total / SKETCH
+    high = cells.where(F.col("load") > mean + 3 * mean**0.5).select((F.col("cell") * 4096 + F.col("at")).alias("at"), "load").toArrow()
+    load = np.zeros(SKETCH, np.int32)
+    load[high["at"].to_numpy()] = np.minimum(high["load"].to_numpy(), np.iinfo(np.int32).max)
+    return load, float(total), float(squares)
 
 
 def _entries(docs: DataFrame, k: int, pct: int, light: int, load: np.ndarray) -> DataFrame:
     """Rows of the two joins. light: (s1, s2, low, n, k1, k2), a subset and a set that has it; heavy: (s1, n, k1, k2),
     a prefix element and a set that has it (s2 null)."""
-    order = docs.sparkSession.sparkContext.broadcast(np.minimum(load, np.iinfo(np.int32).max).astype(np.int32))
+    order = docs.sparkSession.sparkContext.broadcast(load)
     scanned_from = -(-pct * (light + 1) // 100)
     schema = "s1 long, s2 long, low int, n int, k1 long, k2 long"
 
@@ -263,8 +267,8 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     small_batches(docs.sparkSession)
     measured = written(_measured(docs, k), "sets")
     sized = measured.where("cell is null").select("doc_id", "n", "k1", "k2")
-    load = _sketch(measured)
-    light = boundary(load, pct)
+    load, total, squares = _sketch(measured)
+    light = boundary(total, squares, pct)
     reps = written(sized.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     entries = written(_entries(docs, k, pct, light, load), "entries")
     edges = _light_edges(entries).join(reps.selectExpr("k1", "k2", "rep as a"), ["k1", "k2"])

@@ -33,11 +33,8 @@ def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     width = max(1, int(ids.max()).bit_length()) if n else 1
     if not bits:
         return [octets[:, k].tobytes() for k in range((width + 7) // 8)]
-    planes = []
-    for k in range((width + 7) // 8):
-        grid = np.unpackbits(np.ascontiguousarray(octets[:, k])[:, None], axis=1, bitorder="little")
-        planes += [np.packbits(grid[:, j], bitorder="little").tobytes() for j in range(min(8, width - 8 * k))]
-    return planes
+    columns = [np.ascontiguousarray(octets[:, k]) for k in range((width + 7) // 8)]
+    return [np.packbits(columns[k // 8] & (1 << k % 8), bitorder="little").tobytes() for k in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
@@ -47,10 +44,10 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
             octets[:, k] = np.frombuffer(p, np.uint8)
         return octets.reshape(-1).view("<u4")
     for k in range(0, len(planes), 8):
-        grid = np.zeros((n, 8), np.uint8)
+        column = np.zeros(n, np.uint8)
         for j, p in enumerate(planes[k : k + 8]):
-            grid[:, j] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-        octets[:, k // 8] = np.packbits(grid, axis=1, bitorder="little")[:, 0]
+            column |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") << np.uint8(j)
+        octets[:, k // 8] = column
     return octets.reshape(-1).view("<u4")
 
 
@@ -76,7 +73,7 @@ def _unchunk(n: int, sizes: list[int], payload: bytes, block: int, bits: bool) -
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, bits: bool = True, block: int = BLOCK, level: int = 3) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, bits: bool = True, block: int = BLOCK, level: int = 1) -> None:
     """Writes ``path``/chunks and ``path``/index."""
     spark = docs.sparkSession
     small_batches(spark)

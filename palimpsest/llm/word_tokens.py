@@ -12,6 +12,14 @@ import unicodedata
 import numpy as np
 
 END_ID = 1
+#: Marks that make a piece of their own after letters; the apostrophe doesn't always.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is one piece of letters, before and after the tokenizer's normalisation."""
+    s = word.decode("utf-8", "replace")
+    return s.isalpha() and unicodedata.normalize("NFC", s).lower().isalpha()
 
 
 class Encoder:
@@ -31,33 +39,51 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Words of letters are encoded some at a time: each ends with the one token that ends a word."""
-        plain, others = [], []
+    def _learn(self, new: set[bytes]) -> None:
+        """Letters and the marks after them are separate pieces to the tokenizer, so "word," is "word" and ",".
+        Words of letters are encoded some at a time: each ends with the one token that ends a word."""
+        known, plain, others, compound = self.known, set(), set(), []
         for w in new:
-            s = w.decode("utf-8", "replace")
-            (plain if s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()) else others).append((w, s))
-        for i in range(0, len(plain), 64):
-            some = plain[i : i + 64]
-            ids = self._ids([" ".join(s for _, s in some)])[0]
+            if w.isalpha():  # of ASCII letters
+                plain.add(w)
+                continue
+            core = w.rstrip(MARKS)
+            if not core.isalpha() and not _letters(core):
+                others.add(w)
+                continue
+            if core not in known:
+                plain.add(core)
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                compound.append((w, core, tail))
+                if tail not in known:
+                    others.add(tail)
+        words = list(plain)
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = self._ids([b" ".join(some).decode("utf-8", "replace")])[0]
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
-                others += some
+                others.update(some)
                 continue
-            for (w, _), a, b in zip(some, np.r_[0, cuts[:-1]], cuts, strict=True):
-                self.known[w] = ids[a:b].tobytes()
-        for i in range(0, len(others), 1000):
-            some = others[i : i + 1000]
-            for (w, _), ids in zip(some, self._ids([s for _, s in some]), strict=True):
-                self.known[w] = ids.tobytes()
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        words = list(others)
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = self._ids([w.decode("utf-8", "replace") for w in some])
+            known.update(zip(some, [x.tobytes() for x in ids], strict=True))
+        known.update([(w, known[core] + known[tail]) for w, core, tail in compound])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        if len(self.known) + len(distinct) > self.most:
+        # the tokenizer ignores case, but for the text of its special tokens
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > self.most:
             self.known.clear()
-        self._learn([w for w in distinct if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        found = [list(map(self.known.get, w)) for w in words]
+        self._learn({w for own, ids in zip(words, found, strict=True) if None in ids for w, x in zip(own, ids, strict=True) if x is None})
+        get = self.known.__getitem__
+        return [b"".join(map(get, own) if None in ids else ids) for own, ids in zip(words, found, strict=True)]
 
 
 def with_end(ids: bytes) -> bytes:
