@@ -118,6 +118,7 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int = STE
             if len(stuck) > 20:
                 break
             continue
+        stuck.clear()  # a step may have made room for those that found none
         gain, out, back, b = best
         at[list(out)] = b
         if back >= 0:
