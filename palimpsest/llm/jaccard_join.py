@@ -3,9 +3,10 @@
 * Light (small sets): all subsets of the fixed size that two linked sets must share are enumerated, as sums of
   element hashes; sets that meet under one subset are linked at once, to the smallest of them, without pairs.
 * Heavy (large sets): inverted lists over the prefix of each set in rarest-first order are scanned. Rarity comes
-  from a count sketch of fixed size over all documents. Each list is first compared with a pivot; its members that turn
-  out to be connected need no further comparison, so a group of near copies costs a star, not a square. What
-  is left between different components is compared pair by pair. Candidates are verified on whole sets.
+  from a count sketch of fixed size over all documents. Short lists give their pairs. Members of long lists are
+  compared with a few pivots, four times as many in each round; those that turn out to be connected need no
+  further comparison, so a group of near copies costs a star, not a square. Sizes, places in the prefixes and
+  parity bits of the sets rule out most candidates; the others are verified on whole sets.
 * The boundary between the two is the size at which enumeration costs more than the scan, by the
   sketch's own figures.
 
@@ -34,8 +35,10 @@ from .shared import BROADCAST_ROWS, as_bytes, slices, small_batches, written
 SKETCH = 1 << 20
 #: No set above this size is enumerated, whatever the costs say.
 LARGEST_LIGHT = 64
-#: Lists are compared with pivots until what is left has at most so many pairs per entry.
-PAIRS_PER_ENTRY = 4
+#: A list with at most so many members gives all its pairs; a longer one has pivots, so many at most in a round.
+SHORT, PIVOTS = 12, 256
+#: The parity of a set's elements in each of 256 classes, in 64-bit words.
+PARITY = ["b0", "b1", "b2", "b3"]
 
 
 class _WordHash(dict):
@@ -77,6 +80,12 @@ def keys_of(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many elements as in classes of unequal parity."""
+    odd = np.bincount((s >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_overlap(n: int, m: int, pct: int) -> int:
     """The smallest i with 100 i >= pct (n + m - i)."""
     return -(-pct * (n + m) // (100 + pct))
@@ -124,11 +133,13 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(texts, words, k)
                 load += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
                 keys = [keys_of(s) for s in sets]
+                bits = np.array([parity_of(s) for s in sets])
                 out = pa.table({
                     "doc_id": part.column(0),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "k1": pa.array([a for a, _ in keys], pa.int64()),
                     "k2": pa.array([b for _, b in keys], pa.int64()),
+                    **{name: pa.array(bits[:, i]) for i, name in enumerate(PARITY)},
                     "cell": pa.nulls(len(sets), pa.int32()),
                     "load": pa.nulls(len(sets), pa.list_(pa.int32())),
                 })
@@ -137,10 +148,10 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
         if schema is not None:
             rows = load.reshape(-1, 4096)
             none = pa.nulls(len(rows), pa.int64())
-            columns = [none.cast(schema.field(0).type), none, none, none, pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(list(rows), pa.list_(pa.int32()))]
+            columns = [none.cast(schema.field(0).type), *[none] * 7, pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(list(rows), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, cell int, load array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, cell int, load array<int>")
 
 
 def _sketch(measured: DataFrame) -> tuple[np.ndarray, float, float]:
@@ -157,24 +168,28 @@ def _sketch(measured: DataFrame) -> tuple[np.ndarray, float, float]:
     return load, float(total), float(squares)
 
 
-def _entries(docs: DataFrame, k: int, pct: int, light: int, load: np.ndarray) -> DataFrame:
-    """Rows of the two joins. light: (s1, s2, low, n, k1, k2), a subset and a set that has it; heavy: (s1, n, k1, k2),
-    a prefix element and a set that has it (s2 null)."""
+def _checked(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _entries(docs: DataFrame, reps: DataFrame, k: int, pct: int, light: int, load: np.ndarray) -> DataFrame:
+    """Rows of the two joins for each representative. light: (s1, s2, low, n, rep), a subset and a set that has it;
+    heavy: (s1, n, place, rep), an element of a prefix, its place there, and the set (s2 null)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     order = docs.sparkSession.sparkContext.broadcast(load)
     scanned_from = -(-pct * (light + 1) // 100)
-    schema = "s1 long, s2 long, low int, n int, k1 long, k2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rare = _WordHash(), order.value
         for batch in batches:
-            for _, texts in slices(batch, as_bytes(batch.column(0))):
-                s1, s2, low, size, k1, k2, has = [], [], [], [], [], [], []
-                for s in shingle_sets(texts, words, k):
+            for part, texts in slices(batch, as_bytes(batch.column(1))):
+                s1, s2, low, place, size, has = [], [], [], [], [], []
+                sets = shingle_sets(texts, words, k)
+                rows = np.zeros(len(sets), np.int64)
+                for i, s in enumerate(sets):
                     n = len(s)
-                    if not n:
-                        continue
-                    key, rows = keys_of(s), 0
-                    if n <= light:
+                    if 0 < n <= light:
                         a, b = _mix(s), _mix(s ^ np.uint64(0x5851F42D4C957F2D))
                         for small, high, o in light_pairs(n, pct, light):
                             gone = np.array(list(combinations(range(n), n - o)), np.int64).reshape(comb(n, o), n - o)
@@ -182,54 +197,83 @@ def _entries(docs: DataFrame, k: int, pct: int, light: int, load: np.ndarray) ->
                             s1.append(_mix(a.sum() - a[gone].sum(axis=1, dtype=np.uint64) + tag))
                             s2.append(b.sum() - b[gone].sum(axis=1, dtype=np.uint64))
                             low.append(np.full(len(gone), small))
+                            place.append(np.zeros(len(gone), np.int64))
                             has.append(np.ones(len(gone), bool))
-                            rows += len(gone)
+                            rows[i] += len(gone)
                     if n >= scanned_from and n > 1:
                         prefix = s[np.lexsort((s, rare[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: n - -(-pct * n // 100) + 1]]
                         s1.append(prefix)
                         s2.append(np.zeros(len(prefix), np.uint64))
                         low.append(np.zeros(len(prefix), np.int64))
+                        place.append(np.arange(len(prefix)))
                         has.append(np.zeros(len(prefix), bool))
-                        rows += len(prefix)
-                    size.append(np.full(rows, n))
-                    k1.append(np.full(rows, key[0]))
-                    k2.append(np.full(rows, key[1]))
-                if not size or not sum(map(len, size)):
+                        rows[i] += len(prefix)
+                if not rows.sum():
                     continue
                 cat, mask = np.concatenate, ~np.concatenate(has)
+                own = np.repeat(np.arange(len(sets)), rows)
+                size = np.array([len(s) for s in sets], np.int32)[own]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cat(s1).astype(np.uint64).view(np.int64)),
                         pa.array(cat(s2).astype(np.uint64).view(np.int64), mask=mask),
                         pa.array(cat(low).astype(np.int32)),
-                        pa.array(cat(size).astype(np.int32)),
-                        pa.array(cat(k1).astype(np.int64)),
-                        pa.array(cat(k2).astype(np.int64)),
+                        pa.array(size),
+                        pa.array(cat(place).astype(np.int32)),
+                        part.column(0).take(pa.array(own)),
                     ],
-                    names=["s1", "s2", "low", "n", "k1", "k2"],
+                    names=["s1", "s2", "low", "n", "place", "rep"],
                 )
 
-    return docs.select("text").mapInArrow(run, schema)
+    some = docs.select("doc_id", "text").join(_checked(reps.selectExpr("rep as doc_id").distinct()), "doc_id", "left_semi")
+    return some.mapInArrow(run, f"s1 long, s2 long, low int, n int, place int, rep {kind}")
+
+
+def _links_and_lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): sets under one subset, linked to the smallest of them; exact, as the subset is the overlap they need.
+    And the entries of inverted lists that several sets are on."""
+    keys = entries.groupBy("s1", "s2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.when(F.col("n") == F.col("low"), F.col("rep"))).alias("least"))
+    shared = written(keys.where("lo <> hi").drop("lo", "hi"), "shared")
+    subsets = shared.where("s2 is not null and least is not null")
+    links = entries.where("s2 is not null").select("s1", "s2", "rep").join(_checked(subsets), ["s1", "s2"])
+    links = links.where("rep <> least").selectExpr("rep as a", "least as b").distinct()
+    lists = entries.where("s2 is null").select("s1", "n", "place", "rep").join(_checked(shared.where("s2 is null").select("s1")), "s1")
+    return links, lists
 
 
-def _light_edges(entries: DataFrame) -> DataFrame:
-    """Sets under one subset, linked to the smallest of them; exact, as the subset is the overlap they need."""
-    rows = entries.where("s2 is not null").select("s1", "s2", "low", "n", "k1", "k2")
-    least = rows.where("n = low").groupBy("s1", "s2").agg(F.min("k1").alias("p1"), F.min_by("k2", "k1").alias("p2"))
-    return rows.join(least, ["s1", "s2"]).where("k1 <> p1 or k2 <> p2").select("k1", "k2", "p1", "p2").distinct()
+def _with_components(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """The entries of lists that aren't yet within one component, with their components and the lists' lengths."""
+    found = components(edges).withColumnRenamed("node", "rep")
+    rows = written(lists.join(_checked(found), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "lists")
+    spread = rows.groupBy("s1").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"))
+    still = written(spread.where("lo <> hi").select("s1", "length"), "open")
+    return written(rows.join(_checked(still), "s1"), "lists")
 
 
-def _shared_lists(heavy: DataFrame) -> DataFrame:
-    """The elements whose list holds two different sets."""
-    lists = heavy.groupBy("s1").agg(F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"))
-    return lists.where("a1 <> b1 or a2 <> b2").select("s1")
+def _candidates(left: str, right: str, pct: int) -> str:
+    """A condition on two members of a list: other components, sizes and places that leave room for the overlap."""
+    x, y = left, right
+    need = f"((({pct} * ({x}.n + {y}.n)) + {100 + pct - 1}) div {100 + pct})"
+    return f"{x}.rep <> {y}.rep and {x}.component <> {y}.component and least({x}.n - {x}.place, {y}.n - {y}.place) >= {need}"
 
 
-def _open_pairs(rows: DataFrame) -> int:
-    """How many pairs of sets that are not connected share a list, each list counted."""
-    sizes = rows.groupBy("s1", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    pairs = sizes.groupBy("s1").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("p"))
-    return int(pairs.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p")).first()["p"])
+def _short_pairs(rows: DataFrame, pct: int) -> DataFrame:
+    """All pairs within the lists of at most SHORT members."""
+    members = rows.where(f"length <= {SHORT}").groupBy("s1").agg(F.collect_list(F.struct("rep", "n", "place", "component")).alias("m"))
+    pairs = members.select(F.explode("m").alias("x"), "m").select("x", F.expr(f"filter(m, y -> y.rep < x.rep and {_candidates('x', 'y', pct)})").alias("ys"))
+    return pairs.select("x", F.explode("ys").alias("y")).selectExpr("x.rep as a", "y.rep as b")
+
+
+def _long_pairs(rows: DataFrame, pivots: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members and pivots in longer lists, and the entries left when the pivots have gone."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")
+    long = rows.where(f"length > {SHORT}").select("s1", "n", "place", "rep", "component")
+    per = long.groupBy("s1", slot).agg(F.min(F.struct("rep", "n", "place", "component")).alias("p"))
+    chosen = written(per.groupBy("s1").agg(F.collect_list("p").alias("ps")), "pivots")
+    met = long.select("s1", F.struct("rep", "n", "place", "component").alias("x")).join(_checked(chosen), "s1")
+    pairs = met.select("x", F.explode(F.expr(f"filter(ps, y -> {_candidates('x', 'y', pct)})")).alias("y")).selectExpr("greatest(x.rep, y.rep) as a", "least(x.rep, y.rep) as b")
+    left = met.where("not exists(ps, y -> y.rep = x.rep)").select("s1", "x.n", "x.place", "x.rep")
+    return pairs, left
 
 
 def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -253,11 +297,18 @@ def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
-    """Those pairs (a, b) of representatives whose sets overlap enough; each pair is compared whole."""
-    sides = pairs.selectExpr("a as rep").unionByName(pairs.selectExpr("b as rep")).distinct()
+    """Those pairs (a, b) of representatives whose sets overlap enough; what parity doesn't rule out is compared whole."""
+    bits = reps.select("rep", "n", *PARITY)
+    side = lambda name, own: bits.select(F.col("rep").alias(name), F.struct("n", *PARITY).alias(own))
+    pairs = written(pairs.distinct(), "pairs")
+    both = pairs.join(_checked(side("a", "x")), "a").join(_checked(side("b", "y")), "b")
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
+    need = f"(({pct} * (x.n + y.n) + {100 + pct - 1}) div {100 + pct})"
+    near = written(both.where(f"{apart} <= x.n + y.n - 2 * {need}").select("a", "b"), "near")
+    sides = near.selectExpr("a as rep").unionByName(near.selectExpr("b as rep")).distinct()
     wanted = written(reps.join(sides, "rep").select("rep", "k1", "k2"), "wanted")
     arrays = written(_set_arrays(docs, wanted, k), "sets")
-    found = pairs.join(arrays.selectExpr("rep as a", "items as x"), "a").join(arrays.selectExpr("rep as b", "items as y"), "b")
+    found = near.join(arrays.selectExpr("rep as a", "items as x"), "a").join(arrays.selectExpr("rep as b", "items as y"), "b")
     found = found.withColumn("both", F.size(F.array_intersect("x", "y")))
     return found.where(f"100 * both >= {pct} * (size(x) + size(y) - both)").select("a", "b")
 
@@ -266,40 +317,24 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     measured = written(_measured(docs, k), "sets")
-    sized = measured.where("cell is null").select("doc_id", "n", "k1", "k2")
+    sized = measured.where("cell is null").select("doc_id", "n", "k1", "k2", *PARITY)
     load, total, squares = _sketch(measured)
     light = boundary(total, squares, pct)
-    reps = written(sized.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
-    entries = written(_entries(docs, k, pct, light, load), "entries")
-    edges = _light_edges(entries).join(reps.selectExpr("k1", "k2", "rep as a"), ["k1", "k2"])
-    edges = written(edges.join(reps.selectExpr("k1 as p1", "k2 as p2", "rep as b"), ["p1", "p2"]).select("a", "b"), "links")
-
-    heavy = entries.where("s2 is null").select("s1", "n", "k1", "k2")
-    heavy = heavy.join(_shared_lists(heavy), "s1").join(reps, ["k1", "k2"]).select("s1", "n", "rep").distinct()
-    heavy = written(heavy, "lists")
-    fits = lambda n, m: f"100 * {n} >= {pct} * {m} and 100 * {m} >= {pct} * {n}"
+    least = [F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in PARITY)]
+    reps = written(sized.where("n > 0").groupBy("k1", "k2").agg(*least).where("rep is not null"), "reps")
+    entries = written(_entries(docs, reps, k, pct, light, load), "entries")
+    edges, lists = _links_and_lists(entries)
+    edges, pivots = written(edges, "links"), 1
     while True:
-        found = components(edges)
-        rows = heavy.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pivots = rows.groupBy("s1").agg(F.min("rep").alias("p"), F.min_by("n", "rep").alias("pn"), F.min_by("component", "rep").alias("pc"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rows = written(rows.join(pivots.where("lo <> hi").drop("lo", "hi"), "s1"), "lists")
-        left = _open_pairs(rows)
-        if not left:
-            break
-        last = left <= PAIRS_PER_ENTRY * max(rows.count(), 1000)
-        if last:
-            other = rows.selectExpr("s1", "rep as b", "n as m", "component as other")
-            pairs = rows.selectExpr("s1", "rep as a", "n", "component").join(other, "s1").where(f"a < b and component <> other and {fits('n', 'm')}").select("a", "b").distinct()
-        else:  # a pivot's pairs are settled now; it leaves its lists
-            pairs = rows.where(f"rep <> p and component <> pc and {fits('n', 'pn')}").selectExpr("rep as a", "p as b").distinct()
-            heavy = rows.where("rep <> p").select("s1", "n", "rep")
-        links = _verified(docs, reps, written(pairs, "pairs"), k, pct)
-        edges = written(edges.unionByName(links), "links")
-        if last:
-            found = components(edges)
+        rows = _with_components(lists, edges)
+        if rows.isEmpty():
             break
+        pairs, lists = _long_pairs(rows, pivots, pct)
+        pairs = pairs.unionByName(_short_pairs(rows, pct))
+        edges, pivots = written(edges.unionByName(_verified(docs, reps, pairs, k, pct)), "links"), min(4 * pivots, PIVOTS)
+    found = components(edges)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = sized.join(named, ["k1", "k2"], "left")
+    out = sized.drop(*PARITY).join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

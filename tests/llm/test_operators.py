@@ -95,10 +95,10 @@ def test_jaccard_join(table):
     assert all((r["n_shingles"], r["component_id"]) == known[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
-@pytest.mark.parametrize("pairs_per_entry", [0, 4])
-def test_jaccard_hot_group(spark, monkeypatch, pairs_per_entry):
+@pytest.mark.parametrize("short", [0, 12])
+def test_jaccard_hot_group(spark, monkeypatch, short):
     """A large group of near copies, a chain of edits, small sets and others that share a passage, by pivots and by pairs."""
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", pairs_per_entry)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
