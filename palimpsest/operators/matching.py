@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +48,8 @@ def asof_backward(rows: DataFrame, at: str, table: DataFrame, start: str, bound:
 
 def anti_exact(rows: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the gate. An empty gate, or one with a null or repeated key, is an error, not a pass."""
-    n, distinct, nulls = gate.agg(F.count(F.lit(1)), F.countDistinct(*keys), F.count_if(F.greatest(*(F.col(k).isNull().cast("int") for k in keys)) > 0)).first()
+    unnamed = reduce(or_, (F.col(k).isNull() for k in keys))
+    n, distinct, nulls = gate.agg(F.count(F.lit(1)), F.countDistinct(*keys), F.count_if(unnamed)).first()
     if not n or nulls or distinct != n:
         raise ValueError(f"the gate has {n} rows, {distinct} keys and {nulls} nulls")
     return rows.join(gate.select(*keys), keys, "left_anti")
