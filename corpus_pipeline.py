@@ -29,8 +29,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of repeated passages."""
-    return suffix_dedup.clean(docs)
+    """All documents, without repeated passages: over 50 words, or 400 bytes (scripts without spaces)."""
+    return suffix_dedup.clean(docs, words=51)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ the same core around the anchor, and a run whose core occurs once has no repeate
    still add a byte goes through the same sort as a suffix of its own.
 3. The spans of all repeats are united per document and cut out.
 
+The same sort also finds repeats of a number of words: a text is then the sequence of its words' 64-bit hashes, whatever
+white space is between them, and what was said of bytes holds for words.
+
 Defined results: a null text is empty and loses nothing. Texts under the length stay whole. A row that repeats
 another row counts as elsewhere. Rows are told apart by a 64-bit hash of doc_id and text. ``clean`` drops the
 bytes of a character that a cut has split.
@@ -21,6 +24,7 @@ bytes of a character that a cut has split.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .jaccard_join import _WordHash
 from .shared import BROADCAST_ROWS, as_bytes, slices, small_batches, text_or_empty, written
 
 GRAM, CHUNK = 8, 1 << 20
 BASE = 0x9E3779B97F4A7C15
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: A text, or the hashes of its words.
+Units = bytes | np.ndarray
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,29 +80,34 @@ class Powers:
 
 
 class Text:
-    """A stretch of bytes whose substrings have fingerprints: sums of mixed grams, each times a power of its offset."""
+    """A stretch of bytes or words whose substrings have fingerprints: sums of mixed grams, each times a power of its offset.
+    A gram is eight bytes or one word."""
 
-    def __init__(self, data: bytes, powers: Powers) -> None:
-        self.words = grams(data)
+    def __init__(self, data: Units, powers: Powers) -> None:
+        self.gram = GRAM if isinstance(data, bytes) else 1
+        self.words = grams(data) if isinstance(data, bytes) else data
         self.hashes = _mix(self.words)
         up, self.inverse = powers.get(len(self.words) + 1)
         self.sums = np.zeros(len(self.words) + 1, np.uint64)
         np.cumsum(self.hashes * up[:-1], out=self.sums[1:])
 
     def prints(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[start + length - GRAM + 1] - self.sums[start]) * self.inverse[start])
+        return _mix((self.sums[start + length - self.gram + 1] - self.sums[start]) * self.inverse[start])
 
 
 class Shape:
-    """Where the anchor of a string of ``length`` bytes lies: ``off`` to ``off + width - 1`` bytes after its start."""
+    """Where the anchor of a string of ``length`` bytes or words lies: ``off`` to ``off + width - 1`` of them after its start."""
 
-    def __init__(self, length: int) -> None:
-        self.length = length
+    def __init__(self, length: int, words: bool = False) -> None:
+        self.length, self.words = length, words
         self.width = 1 << max(0, (length * 2 // 5).bit_length() - 1)
-        self.off = (length - GRAM - self.width) // 2
+        self.off = (length - (1 if words else GRAM) - self.width) // 2
         self.core = length - self.width + 1
         if self.off < 0 or length > 1000:
-            raise ValueError("length: 16 to 1,000 bytes")
+            raise ValueError("length: 16 to 1,000 bytes, or 2 to 1,000 words")
+
+    def units(self, texts: list[bytes], known: dict) -> list[Units]:
+        return [np.array([known[w] for w in t.split()], np.uint64) for t in texts] if self.words else texts
 
 
 def runs(text: Text, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,15 +132,16 @@ def runs(text: Text, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.n
     return anchor[edge][real], edge[real], last[real]
 
 
-def stretches(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Whole texts joined, or parts of long ones that overlap by ``length`` - 1: bytes, (first, last) starts, text numbers,
+def stretches(texts: list[Units], length: int) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole texts joined, or parts of long ones that overlap by ``length`` - 1: bytes or words, (first, last) starts, text numbers,
     and the offset of the stretch in each text."""
     held, size = [], 0
 
     def joined():
         at = np.r_[0, np.cumsum([len(texts[i]) for i in held])][:-1]
         sizes = np.array([len(texts[i]) for i in held])
-        return b"".join(texts[i] for i in held), np.stack([at, at + sizes - length], 1), np.array(held), -at
+        parts = [texts[i] for i in held]
+        return b"".join(parts) if isinstance(parts[0], bytes) else np.concatenate(parts), np.stack([at, at + sizes - length], 1), np.array(held), -at
 
     for i, t in enumerate(texts):
         if len(t) < length:
@@ -172,11 +186,11 @@ def _cores(keyed: DataFrame, shape: Shape) -> DataFrame:
     """A suffix for each run: leading bytes and fingerprint of its core, and fingerprint of all the run's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, known = Powers(), _WordHash()
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1)), CHUNK):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
-                for data, bounds, number, shift in stretches(texts, shape.length):
+                for data, bounds, number, shift in stretches(shape.units(texts, known), shape.length):
                     text = Text(data, powers)
                     anchor, first, last = runs(text, bounds, shape)
                     own = np.searchsorted(bounds[:, 0], first, "right") - 1
@@ -265,10 +279,10 @@ def _strings(joined: DataFrame, shape: Shape) -> DataFrame:
     """A suffix for each string of the runs that match in the core only, and of their witnesses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, known = Powers(), _WordHash()
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, data in enumerate(texts):
+            for i, text in enumerate(as_bytes(batch.column(1))):
+                data = shape.units([text], known)[0]
                 key, edges = batch.column(0)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
                 _, first, last = unpacked(np.unique(edges))
                 for a in range(0, len(data), CHUNK):
@@ -287,7 +301,7 @@ def _strings(joined: DataFrame, shape: Shape) -> DataFrame:
 
 
 def covered(n: int, repeats: np.ndarray, length: int) -> np.ndarray:
-    """Which of n bytes lie in a repeat."""
+    """Which of n bytes or words lie in a repeat."""
     delta = np.zeros(n + 1, np.int64)
     _, first, last = unpacked(repeats)
     np.add.at(delta, first, 1)
@@ -295,19 +309,31 @@ def covered(n: int, repeats: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
+def covered_words(data: bytes, repeats: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes lie in a repeat of ``length`` words, white space inside it included."""
+    edges = np.array([m.span() for m in WORD.finditer(data)], np.int64).reshape(-1, 2)
+    delta = np.zeros(len(data) + 1, np.int64)
+    _, first, last = unpacked(repeats)
+    np.add.at(delta, edges[first, 0], 1)
+    np.add.at(delta, edges[last + length - 1, 1], -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(key, repeats): the runs that are repeats, packed, for each row of keyed() that has any."""
+def spans(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
+    """(key, repeats): the runs that are repeats, packed, for each row of keyed() that has any; ``length`` is in bytes or words."""
     small_batches(docs.sparkSession, 500)
-    spark, shape = docs.sparkSession, Shape(length)
+    spark, shape = docs.sparkSession, Shape(length, words)
     texts = keyed(docs).select("key", text_or_empty().alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a word and a space are two bytes at least, about four here: this is the number of buckets only
+    size, least = (size // 4, 2 * length - 1) if words else (size, length)
     buckets = max(shuffles, size // (shape.width // 2) // 300_000 + 1)
-    found = _matches(_cores(texts.where(f"octet_length(text) >= {length}"), shape), buckets)
+    found = _matches(_cores(texts.where(f"octet_length(text) >= {least}"), shape), buckets)
     per = found.groupBy("key").agg(F.collect_set(F.when(F.col("state") != 2, F.col("at"))).alias("edges"), F.collect_set(F.when(F.col("state") > 1, F.col("at"))).alias("known"))
     per = written(per, "runs")
     open_runs = per.where("size(edges) > 0")
@@ -320,14 +346,17 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return written(known.join(single, "key", "full").select("key", F.concat(F.coalesce("known", F.array().cast("array<bigint>")), F.coalesce("more", F.array().cast("array<bigint>"))).alias("repeats")), "repeats")
 
 
-def _with_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """keyed() rows with their repeats; rows without any aren't shuffled where the others' keys can be broadcast."""
+def _with_repeats(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """keyed() rows with their repeats, and with those of words; rows without any aren't shuffled where the others' keys can
+    be broadcast."""
     found, rows = spans(docs, length), keyed(docs)
+    if words:
+        found = written(found.join(spans(docs, words, True).withColumnRenamed("repeats", "word_repeats"), "key", "full"), "both")
     if found.count() > BROADCAST_ROWS:
         return rows.join(found, "key", "left")
     keys = F.broadcast(found.select("key"))
-    none = F.lit(None).cast("array<bigint>").alias("repeats")
-    return rows.join(keys, "key", "left_semi").join(found, "key").unionByName(rows.join(keys, "key", "left_anti").select("*", none))
+    none = [F.lit(None).cast("array<bigint>").alias(c) for c in found.columns[1:]]
+    return rows.join(keys, "key", "left_semi").join(found, "key").unionByName(rows.join(keys, "key", "left_anti").select("*", *none))
 
 
 def removed(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -349,21 +378,27 @@ def removed(docs: DataFrame, length: int = 400) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with repeats cut out of the texts; n_chars, where there is one, follows. No row is dropped."""
+def clean(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """``docs`` with repeats of ``length`` bytes, and of ``words`` words where told, cut out of the texts; n_chars, where
+    there is one, follows. No row is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i, repeats in enumerate(batch.column(1).to_pylist()):
-                if repeats:
+            for i, (repeats, of_words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if repeats or of_words:
                     data = texts[i].encode()
-                    texts[i] = np.frombuffer(data, np.uint8)[~covered(len(data), np.array(repeats, np.int64), length)].tobytes().decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+                    gone = covered(len(data), np.array(repeats or [], np.int64), length)
+                    if of_words:
+                        gone |= covered_words(data, np.array(of_words, np.int64), words)
+                    texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]], names=["text", *batch.schema.names[3:]])
 
     rest = [c for c in docs.columns if c != "text"]
     boxed = docs.select(F.struct(*rest).alias("rest"), "doc_id", "text")
-    joined = _with_repeats(boxed, length).select("text", "repeats", "rest")
+    joined = _with_repeats(boxed, length, words)
+    of_words = F.col("word_repeats") if words else F.lit(None).cast("array<bigint>").alias("word_repeats")
+    joined = joined.select("text", "repeats", of_words, "rest")
     out = joined.mapInArrow(run, StructType([docs.schema["text"], StructField("rest", joined.schema["rest"].dataType)]))
     out = out.select("text", "rest.*").select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

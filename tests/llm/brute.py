@@ -94,6 +94,22 @@ def repeats(rows: list[tuple[int, str | None]], length: int = 400) -> dict[int,
     return out
 
 
+def without_repeated_words(rows: list[tuple[int, str | None]], length: int) -> dict[int, str]:
+    """The texts without every run of ``length`` words that starts at two places or more."""
+    words = {i: list(WORD.finditer(t or "")) for i, t in rows}
+    runs = lambda w: [tuple(m.group() for m in w[s : s + length]) for s in range(len(w) - length + 1)]
+    seen = Counter(r for w in words.values() for r in runs(w))
+    out = {}
+    for i, t in rows:
+        t, w = t or "", words[i]
+        gone = set()
+        for s, r in enumerate(runs(w)):
+            if seen[r] > 1:
+                gone |= set(range(w[s].start(), w[s + length - 1].end()))
+        out[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    return out
+
+
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     from tokenizers import Tokenizer
 

@@ -247,6 +247,27 @@ def test_suffix_clean(hostile):
     assert {r["doc_id"]: r["text"] for r in out.collect()}[10] == ""
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_clean_words(spark, seed, monkeypatch):
+    """Passages of words, some one word short, beside each other, with other white space between their words."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 150)
+    rng = np.random.default_rng(seed)
+    some = lambda n, k: [f"w{x}" if x % 5 else "é" * (x % 3 + 1) for x in rng.integers(0, k, n)]
+    shared = [some(int(n), 10**6) for n in rng.integers(9, 30, 8)]
+    rows = []
+    for i in range(50):
+        words = some(int(rng.integers(0, 12)), 10**6)
+        for _ in range(int(rng.integers(0, 4))):
+            s = shared[rng.integers(0, len(shared))]
+            a, b = sorted(rng.integers(0, len(s) + 1, 2))
+            words += (s[a:b] if rng.random() < 0.6 else s) + some(int(rng.integers(0, 3)), 10**6)
+        rows.append((i, "".join(w + str(rng.choice([" ", "\n", " \t "])) for w in words)))
+    rows += [(50, "a " * 40), (51, " ".join(some(400, 10**6))), (52, None), (53, ""), (54, "  ".join(["x", "y"] * 30))]
+    want = brute.without_repeated_words(rows, 10)
+    got = suffix_dedup.clean(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 1000, words=10).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in got} == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 2)), max_size=30))
 def test_multikey_order(rows):

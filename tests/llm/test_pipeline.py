@@ -53,3 +53,27 @@ def test_stages_on_hostile_rows(spark, hostile, empty):
             docs = written(stage(spark, docs, ""), name.replace(" ", "_"))
             assert docs.columns == table.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_passages_of_51_words(spark):
+    """51 shared words under 400 bytes go, 50 stay; so does a shared string of 400 bytes in one word."""
+    word = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    short, less, one = word("p", 51), word("q", 50), "z" * 100 + "".join(chr(0x4E00 + i) for i in range(200))
+    assert len(short.encode()) < 400
+    texts = [f"a1 {short} a2", f"b1\n{short} b2 {less} b3", f"c1 {less} c2", f"d1 {one} d2", f"e1 {one} e2"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert {i: got[i].split() for i in (0, 1, 2)} == {0: ["a1", "a2"], 1: ["b1", "b2", *less.split(), "b3"], 2: texts[2].split()}
+    assert all(len(got[i]) < 10 and got[i].startswith("de"[i - 3]) and got[i].endswith("2") for i in (3, 4))
+
+
+def test_passages_like_plain(spark, docs, texts):
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want, of_bytes = brute.without_repeated_words(texts, 51), brute.repeats(texts)
+    by_words = [i for i, _ in texts if not of_bytes[i][1]]
+    assert all(got[i] == want[i] for i in by_words)
+    assert any(want[i] != (t or "") for i, t in texts if i in by_words)
+    assert all(len(got[i].encode()) <= min(n - removed, len(want[i].encode())) for i, (n, removed, _, _) in of_bytes.items())
