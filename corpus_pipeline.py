@@ -24,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that Jaccard links connect."""
-    return jaccard_join.keep_one(docs)
+    """The first document of each group that Jaccard links connect: 0.8 or more of shingles of five words."""
+    return jaccard_join.keep_one(docs, pct=80, k=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,9 +52,9 @@ def shingles(text: str | None, k: int = 3) -> frozenset:
     return frozenset([tuple(words)]) if len(words) < k else frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def jaccard_components(rows: list[tuple[int, str | None]], pct: int = 90) -> dict[int, tuple]:
+def jaccard_components(rows: list[tuple[int, str | None]], pct: int = 90, k: int = 3) -> dict[int, tuple]:
     """(set size, component), comparing all pairs that share a shingle."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, k) for i, t in rows}
     inverted: dict[tuple, list[int]] = {}
     both: Counter = Counter()
     for i, s in sets.items():

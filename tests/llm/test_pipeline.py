@@ -77,3 +77,21 @@ def test_passages_like_plain(spark, docs, texts):
     assert all(got[i] == want[i] for i in by_words)
     assert any(want[i] != (t or "") for i, t in texts if i in by_words)
     assert all(len(got[i].encode()) <= min(n - removed, len(want[i].encode())) for i, (n, removed, _, _) in of_bytes.items())
+
+
+def test_near_copies_of_five_words(spark):
+    """Four changed words: under 0.9 on three words, over 0.8 on five. With more changes it is another document."""
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda at: " ".join("other" + w if i in at else w for i, w in enumerate(words))
+    texts = [changed([]), changed([40, 80, 120, 160]), changed([20, 50, 80, 110, 140])]
+    three, five = ([brute.shingles(t, k) for t in texts] for k in (3, 5))
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(three[0], three[1]) < 0.9 and share(five[0], five[1]) >= 0.8 > share(five[0], five[2])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {0, 2}
+
+
+def test_near_copies_like_plain(spark, docs, texts):
+    linked = brute.jaccard_components(texts, 80, 5)
+    got = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert got == {i for i, (_, root) in linked.items() if root == i or not brute.shingles(dict(texts)[i], 5)}
