@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ancestry import _cut
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a stated order."""
@@ -46,6 +48,20 @@ def asof_backward(rows: DataFrame, at: str, table: DataFrame, start: str, bound:
     return found.select(*rows.columns, *(F.col(f"_hit.{c}").alias(c) for c in table.columns))
 
 
+def ranked(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with their ``place`` in the order of ``keys``, from 1: sorted in ranges, whose counts give each its offset."""
+    at = F.monotonically_increasing_id()  # range << 33 | place in it
+    held = _cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at))
+    part = F.shiftright("_at", 33)
+    offset, offsets = 0, []
+    for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a range
+        offsets.append((r["part"], offset))
+        offset += r["count"]
+    known = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint"))
+    placed = held.withColumn("_part", part).join(known, "_part")
+    return placed.withColumn("place", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*rows.columns, "place")
+
+
 def anti_exact(rows: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the gate. An empty gate, or one with a null or repeated key, is an error, not a pass."""
     unnamed = reduce(or_, (F.col(k).isNull() for k in keys))

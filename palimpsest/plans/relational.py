@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hexbytes as X
 from ..operators import gates as G
 from ..operators.ancestry import walk
-from ..operators.matching import anti_exact, asof_backward, first_by
+from ..operators.matching import anti_exact, asof_backward, first_by, ranked
 from .evidence import C, E, H, canonical, epochs, headers, with_h
 from .registry import Registry
 
@@ -507,6 +507,13 @@ def t01_sort_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", F.row_number().over(Window.orderBy("k", "id")).cast("bigint").alias("place"))
 
 
+@query(with_h("SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 9 > 1 THEN height ELSE 0 END, id) AS place FROM h"))
+def t01_whole_sort_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split file: all rows in the order of t01_sort_by_height, without one task that sorts them all."""
+    h = headers(spark, sf_dir).select("id", F.when(col("id") % 9 > 1, col("height")).otherwise(0).alias("k"))
+    return ranked(h, "k", "id").select("id", "place")
+
+
 @query(with_h("SELECT chain, bits, count(*) AS rows, row_number() OVER (ORDER BY bits, count(*) DESC, chain) AS place FROM h GROUP BY chain, bits"))
 def t02_composite_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = headers(spark, sf_dir).groupBy("chain", "bits").agg(F.count(F.lit(1)).alias("rows"))
