@@ -132,7 +132,7 @@ def _with_epochs_of(part: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 @query(with_h(f"""SELECT id, CASE WHEN placed THEN 'unknown' WHEN expected IS NULL THEN NULL WHEN expected <> bits THEN 'unknown' WHEN rules <> '' THEN 'error_block' END AS route
- FROM (SELECT id, bits, expected, id % 13 = 0 AS placed, array_to_string({_RULES}, '|') AS rules FROM {_EPOCH_JOIN} LEFT JOIN x ON x.height = h.height)""", C, _PARENT, E, _BITS_AT))
+ FROM (SELECT id, bits, expected, id % 13 = 0 AS placed, array_to_string({_RULES}, '|') AS rules FROM {_EPOCH_JOIN} LEFT JOIN (SELECT height AS xh, expected FROM x) ON xh = height)""", C, _PARENT, E, _BITS_AT))
 def f10_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where rejected rows go; every 13th is rejected for its placement."""
     h = headers(spark, sf_dir)
@@ -258,7 +258,7 @@ def j07_identity_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(last, ["chain", "hash"], "left").select("id", outcome.alias("outcome"), F.when(outcome == "hydrated", col("child_height")).alias("child_height"))
 
 
-@query(with_h("SELECT id, header_hex FROM h WHERE id % 6 <> 5"))
+@query(with_h("SELECT id, header_hex FROM h WHERE id % 6 <> 5 OR starts_with(header_hex, 'ff')"))
 def j08_header_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers from ordered sources, the later one wins; only one that hashes to the key counts."""
     h = headers(spark, sf_dir)
@@ -337,9 +337,9 @@ _EDGES = "g AS (SELECT event_id AS node, CASE WHEN event_id % 40 = 0 THEN -1 - e
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT event_id AS node FROM events WHERE event_id % 100 = 10),
-w(node, at, depth, kind) AS (SELECT node, prev, 1, CASE WHEN prev IN (SELECT node FROM s) THEN 'known' WHEN prev NOT IN (SELECT node FROM g) THEN 'dangling' END FROM g
- UNION ALL SELECT w.node, g.prev, depth + 1, CASE WHEN g.prev IN (SELECT node FROM s) THEN 'known' WHEN g.prev NOT IN (SELECT node FROM g) THEN 'dangling' END FROM w JOIN g ON g.node = w.at WHERE w.kind IS NULL AND depth < 60)
-SELECT node, at AS terminal, depth, kind FROM w WHERE kind IS NOT NULL UNION ALL SELECT node, NULL, NULL, 'cycle' FROM g WHERE node NOT IN (SELECT node FROM w WHERE kind IS NOT NULL)""")
+w(node, stop, depth, kind) AS (SELECT node, prev, 1, CASE WHEN prev IN (SELECT node FROM s) THEN 'known' WHEN prev NOT IN (SELECT node FROM g) THEN 'dangling' END FROM g
+ UNION ALL SELECT w.node, g.prev, depth + 1, CASE WHEN g.prev IN (SELECT node FROM s) THEN 'known' WHEN g.prev NOT IN (SELECT node FROM g) THEN 'dangling' END FROM w JOIN g ON g.node = w.stop WHERE w.kind IS NULL AND depth < 60)
+SELECT node, stop AS terminal, depth, kind FROM w WHERE kind IS NOT NULL UNION ALL SELECT node, NULL, NULL, 'cycle' FROM g WHERE node NOT IN (SELECT node FROM w WHERE kind IS NOT NULL)""")
 def j16_ancestry_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of up to 40 steps to a known stop, a missing parent, or round a circle."""
     i = col("event_id")
@@ -480,7 +480,7 @@ def w03_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(headers(spark, sf_dir).select("prev", "id", "version"), ["prev"], col("version").desc(), col("id")).select("prev", "id")
 
 
-@query(with_h("SELECT id, least(greatest(t - lag(t, 10) OVER (PARTITION BY chain ORDER BY height, id), 300), 4800) AS timespan FROM h"))
+@query(with_h("SELECT id, CASE WHEN span IS NOT NULL THEN least(greatest(span, 300), 4800) END AS timespan FROM (SELECT id, t - lag(t, 10) OVER (PARTITION BY chain ORDER BY height, id) AS span FROM h)"))
 def w04_trailing_timespan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clamped time over the last ten headers of a chain."""
     w = Window.partitionBy("chain").orderBy("height", "id")
@@ -500,16 +500,9 @@ def w06_evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(spark, sf_dir).groupBy("prev").agg(F.min_by("script", F.when(col("script") != "", col("id"))).alias("script"), F.min_by("header_hex", F.when(col("id") % 2 == 0, col("id"))).alias("header"))
 
 
-@query(with_h("SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 9 > 1 THEN height ELSE 0 END, id) AS place FROM h ORDER BY place LIMIT 500"))
-def t01_sort_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report: the first 500 rows by declared height (none counts as 0), ties in input order."""
-    h = headers(spark, sf_dir).select("id", F.when(col("id") % 9 > 1, col("height")).otherwise(0).alias("k")).orderBy("k", "id").limit(500)
-    return h.select("id", F.row_number().over(Window.orderBy("k", "id")).cast("bigint").alias("place"))
-
-
 @query(with_h("SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 9 > 1 THEN height ELSE 0 END, id) AS place FROM h"))
-def t01_whole_sort_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split file: all rows in the order of t01_sort_by_height, without one task that sorts them all."""
+def t01_sort_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split file: all rows by declared height (none counts as 0), ties in input order, without one task that sorts them all."""
     h = headers(spark, sf_dir).select("id", F.when(col("id") % 9 > 1, col("height")).otherwise(0).alias("k"))
     return ranked(h, "k", "id").select("id", "place")
 

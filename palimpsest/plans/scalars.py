@@ -36,18 +36,28 @@ def e04_header_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(spark, sf_dir).select("id", X.header_fields(F.col("header_hex")).alias("f")).select("id", "f.*")
 
 
-@query(with_h("SELECT id, true AS authentic, regexp_matches(hash, '^[0-9a-f]{64}$') AS well_formed, t % 4294967296 AS child_time FROM h"))
+@query(with_h("SELECT id, id % 5 <> 0 AS authentic, id % 5 <> 1 AS well_formed, t % 4294967296 AS child_time FROM h WHERE id % 5 <> 2 UNION ALL SELECT id, NULL, true, NULL FROM h WHERE id % 5 = 2"))
 def e05_child_authentication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A header must hash to the id it is claimed for."""
+    """A header must hash to the id it is claimed for. Of five rows one claims another id, one a longer text that begins with
+    the id, and one has a header that is cut short."""
+    i = F.col("id") % 5
+    h = headers(spark, sf_dir).select(
+        "id",
+        by_case(i, F.concat(F.lit("00"), F.substring(F.reverse("hash"), 1, 62)), F.concat("hash", F.lit("00")), otherwise=F.col("hash")).alias("claimed"),
+        F.when(i == 2, F.substring("header_hex", 1, 158)).otherwise(F.col("header_hex")).alias("header_hex"),
+    )
     f = X.header_fields(F.col("header_hex"))
-    return headers(spark, sf_dir).select("id", (f["hash"] == F.col("hash")).alias("authentic"), X.is_hex(F.col("hash"), 32).alias("well_formed"), f["time"].alias("child_time"))
+    return h.select("id", (f["hash"] == F.substring("claimed", 1, 64)).alias("authentic"), X.is_hex(F.col("claimed"), 32).alias("well_formed"), f["time"].alias("child_time"))
 
 
-@query(with_h("SELECT id, header_hex AS rebuilt, true AS same FROM h"))
+@query(with_h("SELECT id, CASE WHEN id % 4 <> 3 THEN header_hex END AS rebuilt, CASE WHEN id % 4 <> 3 THEN id % 4 <> 2 END AS same FROM h"))
 def e06_header_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = headers(spark, sf_dir).select("id", "header_hex", X.header_fields(F.col("header_hex")).alias("f")).select("id", "header_hex", "f.*")
+    """Decoded and serialised again, against another header's bytes in every fourth row; a malformed header gives nothing."""
+    i = F.col("id") % 4
+    h = headers(spark, sf_dir).select("id", F.when(i == 3, F.concat(F.lit("zz"), F.substring("header_hex", 3, 158))).otherwise(F.col("header_hex")).alias("header_hex"))
+    h = h.select("id", F.when(i == 2, F.concat(F.substring("header_hex", 1, 158), F.lit("zz"))).otherwise(F.col("header_hex")).alias("told"), X.header_fields(F.col("header_hex")).alias("f")).select("id", "told", "f.*")
     made = X.header_of(*(F.col(c) for c in ("version", "prev_hash", "merkle_root", "time", "bits", "nonce")))
-    return h.select("id", made.alias("rebuilt"), (made == F.col("header_hex")).alias("same"))
+    return h.select("id", made.alias("rebuilt"), (made == F.col("told")).alias("same"))
 
 
 @query(with_h(f"SELECT id, {sql_dsha('header_hex')} AS internal, {sql_rev(sql_dsha('header_hex'))} AS display FROM h"))
@@ -190,7 +200,7 @@ def e22_chain_id_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", X.size_status(F.col("size"), F.col("depth")).alias("status"), "slot", X.residue(F.col("nonce"), F.col("slot"), F.col("depth")).alias("residue"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, string_agg('addr' || l_suppkey || ':' || l_quantity::BIGINT, '|' ORDER BY l_linenumber, l_partkey) AS outs FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+@query("""WITH a AS (SELECT o_orderkey AS id, string_agg('addr' || l_suppkey || ':' || l_quantity::BIGINT, '|' ORDER BY l_linenumber, l_partkey, 'addr' || l_suppkey || ':' || l_quantity::BIGINT) AS outs FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)
 SELECT id, outs, list_aggregate(list_transform(string_split(outs, '|'), lambda x: string_split(x, ':')[1]), 'string_agg', ';') AS scripts FROM a""")
 def e26_output_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """addr:value|... and its addresses alone, joined by semicolons."""
