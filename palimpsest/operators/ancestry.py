@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.folder import drop, written
 
 
 def walk(edges: DataFrame, stops: DataFrame, rounds: int = 40) -> DataFrame:
@@ -30,13 +19,14 @@ def walk(edges: DataFrame, stops: DataFrame, rounds: int = 40) -> DataFrame:
     own = edges.select(F.col("node").alias("prev"), F.lit(1).alias("_has"))
     now = edges.join(marks, "prev", "left").join(own, "prev", "left")
     kind = F.when(F.col("_kind").isNotNull(), F.col("_kind")).when(F.col("_has").isNull(), "dangling")
-    now = _cut(now.select("node", F.col("prev").alias("terminal"), F.lit(1).cast("bigint").alias("depth"), kind.alias("kind")))
+    now = written(now.select("node", F.col("prev").alias("terminal"), F.lit(1).cast("bigint").alias("depth"), kind.alias("kind")), "walk")
     nodes = now.count()
     for turn in range(rounds):
         if not now.where("kind is null").limit(1).count() or 1 << turn > nodes:
             break
         onward = now.select(F.col("node").alias("terminal"), F.col("terminal").alias("_t"), F.col("depth").alias("_d"), F.col("kind").alias("_k"))
         open_walks = now.where("kind is null").join(onward, "terminal").select("node", F.col("_t").alias("terminal"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_k").alias("kind"))
-        now = _cut(now.where("kind is not null").unionByName(open_walks))
+        was, now = now, written(now.where("kind is not null").unionByName(open_walks), "walk")
+        drop(was)
     circle = F.col("kind").isNull()
     return now.select("node", F.when(~circle, F.col("terminal")).alias("terminal"), F.when(~circle, F.col("depth")).alias("depth"), F.coalesce("kind", F.lit("cycle")).alias("kind"))

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ancestry import _cut
+from ..sources.folder import written
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -51,7 +51,7 @@ def asof_backward(rows: DataFrame, at: str, table: DataFrame, start: str, bound:
 def ranked(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` with their ``place`` in the order of ``keys``, from 1: sorted in ranges, whose counts give each its offset."""
     at = F.monotonically_increasing_id()  # range << 33 | place in it
-    held = _cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at))
+    held = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at), "ranked")
     part = F.shiftright("_at", 33)
     offset, offsets = 0, []
     for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a range

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import hexbytes as X
 from ..functions import parsers as P
 from ..sources import files, sinks
+from ..sources.folder import fresh_path
 from ..streaming.tips import chain_tips
 from .evidence import events, headers, with_h
 from .registry import Registry
@@ -24,23 +21,17 @@ col = F.col
 MAGIC = "f9beb4d9"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(with_h("SELECT id::VARCHAR AS id, chain, hash, '' AS absent, declared FROM h"))
 def s01_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV, read back as strings; a column that the file lacks is empty, and so is an empty text."""
-    path = scratch(spark, "csv")
+    path = fresh_path(spark, "csv")
     headers(spark, sf_dir).select("id", "declared", "hash", "chain").write.option("header", True).option("emptyValue", "").csv(path)
     return files.read_text_table(spark, path, ["id", "chain", "hash", "absent", "declared"]).drop("source_path")
 
 
 @query(with_h("SELECT height::VARCHAR AS height, prev, count(*) AS n FROM h GROUP BY 1, 2"))
 def s02_tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "tsv")
+    path = fresh_path(spark, "tsv")
     headers(spark, sf_dir).select("height", "prev").write.option("header", True).option("sep", "\t").csv(path)
     rows = files.require_columns(files.read_text_table(spark, path, ["height", "prev"], sep="\t"), ["height", "prev"])
     return rows.groupBy("height", "prev").agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +40,7 @@ def s02_tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT hash, height, bits, script FROM h WHERE id % 10 <> 0"))
 def s03_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested blocks as gzipped JSON lines; every tenth line is broken and left out."""
-    path = scratch(spark, "json")
+    path = fresh_path(spark, "json")
     block = F.to_json(F.struct("hash", "height", F.struct(F.struct("bits").alias("parent_block"), F.struct(F.array(F.struct("script")).alias("vin")).alias("coinbasetx")).alias("auxpow")))
     headers(spark, sf_dir).select(F.when(col("id") % 10 == 0, F.lit("{broken")).otherwise(block).alias("value")).write.option("compression", "gzip").text(path)
     schema = T.StructType.fromDDL("hash string, height bigint, auxpow struct<parent_block: struct<bits: string>, coinbasetx: struct<vin: array<struct<script: string>>>>")
@@ -72,7 +63,7 @@ def s04_framed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (event_id % 400)::VARCHAR AS key, max(printf('%08x', event_id)) AS value FROM events GROUP BY 1")
 def s07_json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects in several files, the last file wins; here each file holds the ids of one block of 400."""
-    path = scratch(spark, "maps")
+    path = fresh_path(spark, "maps")
     e = events(spark, sf_dir).select((col("event_id") % 400).cast("string").alias("k"), F.lower(F.lpad(F.hex("event_id"), 8, "0")).alias("v"), F.floor(col("event_id") / 400).alias("file"))
     maps = e.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value"))
     maps.withColumn("part", F.lpad(col("file").cast("string"), 8, "0")).select("part", "value").write.partitionBy("part").text(path)
@@ -91,7 +82,7 @@ def s14_source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT id::VARCHAR AS id, '' AS absent, coalesce(CASE WHEN id % 2 = 0 THEN chain END, '') AS chain FROM h"))
 def k01_projection_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = headers(spark, sf_dir).select(F.when(col("id") % 2 == 0, col("chain")).alias("chain"), "id", "hash")
-    path = scratch(spark, "fields")
+    path = fresh_path(spark, "fields")
     sinks.distinct_destinations([path])
     sinks.project(h, ["id", "absent", "chain"]).write.parquet(path)
     return spark.read.parquet(path)
@@ -100,7 +91,7 @@ def k01_projection_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT CASE id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'stale' WHEN 2 THEN 'unknown' ELSE 'error_block' END AS classification, count(*) AS n, min(height) AS lowest FROM h GROUP BY 1"))
 def k02_class_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = col("id") % 4
-    path = scratch(spark, "buckets")
+    path = fresh_path(spark, "buckets")
     sinks.write_buckets(headers(spark, sf_dir).withColumn("classification", F.when(i == 0, "canonical").when(i == 1, "stale").when(i == 2, "unknown").otherwise("error_block")), path)
     return spark.read.parquet(path).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.min("height").alias("lowest"))
 
@@ -108,7 +99,7 @@ def k02_class_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT chain, count(*) AS n FROM h GROUP BY chain"))
 def k03_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published twice over one path: the second replaces the first."""
-    path = scratch(spark, "published")
+    path = fresh_path(spark, "published")
     counts = headers(spark, sf_dir).groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     for part in (counts.limit(1), counts):
         sinks.publish(part, path + ".staging", path)
@@ -125,7 +116,7 @@ def k05_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT 'chain' || k AS view, count(*) AS n FROM h, range(2) r(j), LATERAL (SELECT (birth_rank + j) % 7 AS k) GROUP BY 1"))
 def k07_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat(F.lit("chain"), col("birth_rank").cast("string"), F.lit("|chain"), ((col("birth_rank") + 1) % 7).cast("string"))
-    path = scratch(spark, "views")
+    path = fresh_path(spark, "views")
     sinks.split_views(headers(spark, sf_dir).select("id", names.alias("source_chains"), "birth_rank"), "source_chains", path)
     return spark.read.parquet(path).groupBy("view").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,7 +170,7 @@ def e23_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT chain, count(*) AS n, max(height) AS tip_height, max_by(hash, height) AS tip_hash FROM h GROUP BY chain"))
 def s12_chain_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header stream: staged in files, ingested some at a time, state kept by chain."""
-    path = scratch(spark, "stream")
+    path = fresh_path(spark, "stream")
     rows = headers(spark, sf_dir).select("chain", "height", "hash")
     rows.repartition(8).write.parquet(f"{path}/in")
     return chain_tips(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", f"{path}/out")
@@ -188,6 +179,6 @@ def s12_chain_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k02_published_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's output as class buckets, as a reader of the published table sees it."""
-    path = scratch(spark, "classes")
+    path = fresh_path(spark, "classes")
     sinks.write_buckets(classified(headers(spark, sf_dir)).select("id", "chain", "height", "hash", "classification", "status"), path)
     return spark.read.parquet(path)
