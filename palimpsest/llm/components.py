@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,13 +39,16 @@ def _mark(edges: DataFrame) -> tuple[int, int | None]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: bigint): the smallest node that can be reached.
 
-    No edges give no rows; loops and repeated edges change nothing; edges with a null are ignored.
+    The result is a written table that the caller may drop. No edges give no rows; loops and repeated edges change nothing; edges with a null are ignored.
     """
     now = written(edges.where("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         then = written(_small_star(_large_star(now)), "edges")
+        drop(now)
         was, mark, now = mark, _mark(then), then
         if was == mark:
             break
-    return now.selectExpr("a as node", "b as component")
+    stars = now.selectExpr("a as node", "b as component")
+    stars.written_at = now.written_at
+    return stars

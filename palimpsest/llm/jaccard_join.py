@@ -3,25 +3,30 @@
 * Light (small sets): all subsets of the fixed size that two linked sets must share are enumerated, as sums of
   element hashes; sets that meet under one subset are linked at once, to the smallest of them, without pairs.
 * Heavy (large sets): inverted lists over the prefix of each set in rarest-first order are scanned. Rarity comes
-  from a count sketch of fixed size over all documents. Short lists give their pairs. Members of long lists are
-  compared with a few pivots, four times as many in each round; those that turn out to be connected need no
-  further comparison, so a group of near copies costs a star, not a square. Sizes, places in the prefixes and
-  parity bits of the sets rule out most candidates; the others are verified on whole sets.
+  from a count sketch of fixed size over all documents. At first the members of a list meet its smallest one only, so
+  a group of near copies costs a star, not a square. What is connected needs no further comparison; in lists that still hold
+  several components, short ones give all pairs of different components, and members of long ones meet pivots of their
+  own band of sizes and of the next ones, four times as many in each round, until no list is left. Sizes, places in the
+  prefixes and parity bits of the sets rule out most candidates; the others are verified on whole sets.
 * The boundary between the two is the size at which enumeration costs more than the scan, by the
   sketch's own figures.
 
-Equal sets are one class with one representative from the start; so copies are never paired.
+Equal sets are one class with one representative from the start; so copies are never paired. Sets hold 64-bit hashes of
+shingles and are told apart by 128 bits; with random hashes, two shingles of one comparison are confused with a chance
+below n * n / 2**64 for sets of n.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing, not even with another
-empty one. One or two words (fewer than the shingle length) are one shingle. A row without doc_id gets the
-component of its text. Rows that repeat a doc_id share a component. Empty tables give empty results.
+empty one. One or two words (fewer than the shingle length) are one shingle. A text may be of any length; its set is held by one
+task at a time. A row without doc_id gets the component of its text. Rows that repeat a doc_id share a component. Other columns,
+whatever their names, are ignored by ``join`` and passed on by ``keep_one``. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, as_bytes, slices, small_batches, written
+from .shared import as_bytes, bloom, cells, checked, drop, folded, may_hold, slices, small_batches, written
 
-SKETCH = 1 << 20
-#: No set above this size is enumerated, whatever the costs say.
-LARGEST_LIGHT = 64
-#: A list with at most so many members gives all its pairs; a longer one has pivots, so many at most in a round.
-SHORT, PIVOTS = 12, 256
+SKETCH = 1 << 21
+#: A list with at most so many members gives all its pairs; a longer one has pivots, so many in its first round.
+SHORT, PIVOTS = 12, 16
 #: The parity of a set's elements in each of 256 classes, in 64-bit words.
 PARITY = ["b0", "b1", "b2", "b3"]
 
@@ -107,31 +110,41 @@ def enumerated(n: int, pct: int, most: int) -> int:
 
 
 def boundary(total: float, squares: float, pct: int) -> int:
-    """The largest size whose subsets are fewer than the entries its scan would meet.
+    """The largest size up to which a set's subsets are fewer than the entries its scan would meet.
 
     A scan reads the lists of prefix elements; the expected rest of a list is the size-biased load of the
-    sketch, less what falls together by chance.
+    sketch, less what falls together by chance. Subsets grow faster than any power of the size, so there is a boundary.
     """
     beside = max(1.0, squares / total - total / SKETCH) if total else 1.0
-    best = 0
-    for n in range(1, LARGEST_LIGHT + 1):
-        prefix = n - -(-pct * n // 100) + 1
-        if enumerated(n, pct, n) > prefix * (1 + beside):
-            break
-        best = n
-    return best
+    n = 1
+    while n < 100 and enumerated(n, pct, n) <= (n - -(-pct * n // 100) + 1) * (1 + beside):
+        n += 1
+    return n - 1
+
+
+@cache
+def left_out(n: int, few: int) -> np.ndarray:
+    """Each choice of ``few`` of n places, in a row."""
+    return np.array(list(combinations(range(n), few)), np.int64).reshape(comb(n, few), few)
+
+
+def counted(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
 
 
 def _measured(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document: size and key of its set; of each task: its part of the sketch, in rows of 4,096 counters."""
+    """Of each document: size and key of its set; of each task: its part of the sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, load, schema = _WordHash(), np.zeros(SKETCH, np.int32), None
+        words, load, held, schema = _WordHash(), np.zeros(SKETCH, np.int64), [], None
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 sets = shingle_sets(texts, words, k)
-                load += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+                held += sets
+                if sum(map(len, held)) > 2_000_000:
+                    load += counted(held)
+                    held = []
                 keys = [keys_of(s) for s in sets]
                 bits = np.array([parity_of(s) for s in sets])
                 out = pa.table({
@@ -141,41 +154,30 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
                     "k2": pa.array([b for _, b in keys], pa.int64()),
                     **{name: pa.array(bits[:, i]) for i, name in enumerate(PARITY)},
                     "cell": pa.nulls(len(sets), pa.int32()),
-                    "load": pa.nulls(len(sets), pa.list_(pa.int32())),
+                    "part": pa.nulls(len(sets), pa.binary()),
                 })
                 schema = out.schema
                 yield from out.to_batches()
         if schema is not None:
-            rows = load.reshape(-1, 4096)
-            none = pa.nulls(len(rows), pa.int64())
-            columns = [none.cast(schema.field(0).type), *[none] * 7, pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(list(rows), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            if held:
+                load += counted(held)
+            own = cells(np.minimum(load, np.iinfo(np.int32).max).astype(np.int32))
+            none = pa.nulls(own.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none.cast(schema.field(0).type), *[none] * 7, own.column(0), own.column(1)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, cell int, load array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, cell int, part binary")
 
 
 def _sketch(measured: DataFrame) -> tuple[np.ndarray, float, float]:
-    """The load of each counter that chance alone doesn't explain (0 for others), the sum of all and of their squares.
-
-    Chance spreads rare elements evenly; three deviations above the mean leaves little but frequent ones."""
-    cells = measured.where("cell is not null").select("cell", F.posexplode("load").alias("at", "load")).where("load > 0")
-    cells = written(cells.groupBy("cell", "at").agg(F.sum("load").alias("load")), "sketch")
-    total, squares = cells.agg(F.coalesce(F.sum("load"), F.lit(0)), F.coalesce(F.sum(F.col("load").cast("double") * (F.col("load") - 1)), F.lit(0.0))).first()
-    mean = total / SKETCH
-    high = cells.where(F.col("load") > mean + 3 * mean**0.5).select((F.col("cell") * 4096 + F.col("at")).alias("at"), "load").toArrow()
-    load = np.zeros(SKETCH, np.int32)
-    load[high["at"].to_numpy()] = np.minimum(high["load"].to_numpy(), np.iinfo(np.int32).max)
-    return load, float(total), float(squares)
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    """A side of a join, broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """The load of each counter, the sum of all, and the sum of the entries that each meets beside itself."""
+    load = folded(measured.where("cell is not null"), SKETCH, "i4", np.add)
+    wide = load.astype(np.float64)
+    return load, float(wide.sum()), float((wide * (wide - 1)).sum())
 
 
-def _entries(docs: DataFrame, reps: DataFrame, k: int, pct: int, light: int, load: np.ndarray) -> DataFrame:
-    """Rows of the two joins for each representative. light: (s1, s2, low, n, rep), a subset and a set that has it;
-    heavy: (s1, n, place, rep), an element of a prefix, its place there, and the set (s2 null)."""
+def _entries(docs: DataFrame, reps: DataFrame, gone: DataFrame, k: int, pct: int, light: int, load: np.ndarray) -> DataFrame:
+    """Rows of the two joins for each representative. light: (s1, s2, low, np, rep), a subset and a set that has it;
+    heavy: (s1, np, rep), an element of a prefix and the set (s2 null). np holds the set's size and the element's place in it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = docs.sparkSession.sparkContext.broadcast(load)
     scanned_from = -(-pct * (light + 1) // 100)
@@ -184,7 +186,7 @@ def _entries(docs: DataFrame, reps: DataFrame, k: int, pct: int, light: int, loa
         words, rare = _WordHash(), order.value
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
-                s1, s2, low, place, size, has = [], [], [], [], [], []
+                s1, s2, low, place, has = [], [], [], [], []
                 sets = shingle_sets(texts, words, k)
                 rows = np.zeros(len(sets), np.int64)
                 for i, s in enumerate(sets):
@@ -192,14 +194,14 @@ def _entries(docs: DataFrame, reps: DataFrame, k: int, pct: int, light: int, loa
                     if 0 < n <= light:
                         a, b = _mix(s), _mix(s ^ np.uint64(0x5851F42D4C957F2D))
                         for small, high, o in light_pairs(n, pct, light):
-                            gone = np.array(list(combinations(range(n), n - o)), np.int64).reshape(comb(n, o), n - o)
+                            gone_of = left_out(n, n - o)
                             tag = np.uint64((small << 32) | (high << 16) | o)
-                            s1.append(_mix(a.sum() - a[gone].sum(axis=1, dtype=np.uint64) + tag))
-                            s2.append(b.sum() - b[gone].sum(axis=1, dtype=np.uint64))
-                            low.append(np.full(len(gone), small))
-                            place.append(np.zeros(len(gone), np.int64))
-                            has.append(np.ones(len(gone), bool))
-                            rows[i] += len(gone)
+                            s1.append(_mix(a.sum() - a[gone_of].sum(axis=1, dtype=np.uint64) + tag))
+                            s2.append(b.sum() - b[gone_of].sum(axis=1, dtype=np.uint64))
+                            low.append(np.full(len(gone_of), small))
+                            place.append(np.zeros(len(gone_of), np.int64))
+                            has.append(np.ones(len(gone_of), bool))
+                            rows[i] += len(gone_of)
                     if n >= scanned_from and n > 1:
                         prefix = s[np.lexsort((s, rare[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: n - -(-pct * n // 100) + 1]]
                         s1.append(prefix)
@@ -212,105 +214,130 @@ def _entries(docs: DataFrame, reps: DataFrame, k: int, pct: int, light: int, loa
                     continue
                 cat, mask = np.concatenate, ~np.concatenate(has)
                 own = np.repeat(np.arange(len(sets)), rows)
-                size = np.array([len(s) for s in sets], np.int32)[own]
+                size = np.array([len(s) for s in sets], np.int64)[own]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cat(s1).astype(np.uint64).view(np.int64)),
                         pa.array(cat(s2).astype(np.uint64).view(np.int64), mask=mask),
                         pa.array(cat(low).astype(np.int32)),
-                        pa.array(size),
-                        pa.array(cat(place).astype(np.int32)),
+                        pa.array((size << 32) | cat(place)),
                         part.column(0).take(pa.array(own)),
                     ],
-                    names=["s1", "s2", "low", "n", "place", "rep"],
+                    names=["s1", "s2", "low", "np", "rep"],
                 )
 
-    some = docs.select("doc_id", "text").join(_checked(reps.selectExpr("rep as doc_id").distinct()), "doc_id", "left_semi")
-    return some.mapInArrow(run, f"s1 long, s2 long, low int, n int, place int, rep {kind}")
+    shape, texts = f"s1 long, s2 long, low int, np long, rep {kind}", docs.select("doc_id", "text").where("doc_id is not null")
+    few = checked(gone)
+    if few is not gone:
+        return texts.join(few, "doc_id", "left_anti").mapInArrow(run, shape)
+    # many copies: not the texts are joined, but the narrow entries
+    return texts.mapInArrow(run, shape).join(reps.select("rep").distinct(), "rep", "left_semi")
+
+
+def _possible(x: str, y: str, pct: int) -> str:
+    """A condition on two members of a list, of np ``x`` and ``y``: sizes and places that leave room for the overlap."""
+    n, m = f"({x} div 4294967296)", f"({y} div 4294967296)"
+    need = f"(({pct} * ({n} + {m}) + {99 + pct}) div {100 + pct})"
+    return f"least({n} - {x} % 4294967296, {m} - {y} % 4294967296) >= {need}"
+
+
+def _light_links(entries: DataFrame) -> DataFrame:
+    """(a, b): sets under one subset, linked to the smallest of them; exact, as the subset is the overlap they need."""
+    own = entries.where("s2 is not null")
+    keys = own.groupBy("s1", "s2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.when(F.expr("np div 4294967296 = low"), F.col("rep"))).alias("least"))
+    shared = written(keys.where("lo <> hi and least is not null").select("s1", "s2", "least"), "subsets")
+    links = own.select("s1", "s2", "rep").join(checked(shared), ["s1", "s2"]).where("rep <> least").selectExpr("rep as a", "least as b").distinct()
+    out = written(links, "links")
+    drop(shared)
+    return out
 
 
-def _links_and_lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): sets under one subset, linked to the smallest of them; exact, as the subset is the overlap they need.
-    And the entries of inverted lists that several sets are on."""
-    keys = entries.groupBy("s1", "s2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.when(F.col("n") == F.col("low"), F.col("rep"))).alias("least"))
-    shared = written(keys.where("lo <> hi").drop("lo", "hi"), "shared")
-    subsets = shared.where("s2 is not null and least is not null")
-    links = entries.where("s2 is not null").select("s1", "s2", "rep").join(_checked(subsets), ["s1", "s2"])
-    links = links.where("rep <> least").selectExpr("rep as a", "least as b").distinct()
-    lists = entries.where("s2 is null").select("s1", "n", "place", "rep").join(_checked(shared.where("s2 is null").select("s1")), "s1")
-    return links, lists
+def _first_round(entries: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each list's smallest member and the others, and the entries of lists with three members or more."""
+    own = entries.where("s2 is null")
+    heads = own.groupBy("s1").agg(F.count(F.lit(1)).alias("length"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min_by("np", "rep").alias("x"), F.max_by("np", "rep").alias("y"))
+    heads = written(heads.where("lo <> hi"), "heads")
+    lists = own.select("s1", "np", "rep").join(checked(heads.where("length > 2").selectExpr("s1", "lo", "x as lo_np")), "s1")
+    lists = written(lists, "lists")
+    twos = heads.where("length = 2").where(_possible("x", "y", pct)).selectExpr("hi as a", "lo as b")
+    others = lists.where("rep <> lo").where(_possible("np", "lo_np", pct)).selectExpr("rep as a", "lo as b")
+    pairs = written(twos.unionByName(others).distinct(), "pairs")
+    drop(heads)
+    return pairs, lists
 
 
-def _with_components(lists: DataFrame, edges: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, stars: DataFrame) -> DataFrame:
     """The entries of lists that aren't yet within one component, with their components and the lists' lengths."""
-    found = components(edges).withColumnRenamed("node", "rep")
-    rows = written(lists.join(_checked(found), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "lists")
+    rows = lists.select("s1", "np", "rep").join(checked(stars.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = written(rows, "named")
     spread = rows.groupBy("s1").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"))
     still = written(spread.where("lo <> hi").select("s1", "length"), "open")
-    return written(rows.join(_checked(still), "s1"), "lists")
-
-
-def _candidates(left: str, right: str, pct: int) -> str:
-    """A condition on two members of a list: other components, sizes and places that leave room for the overlap."""
-    x, y = left, right
-    need = f"((({pct} * ({x}.n + {y}.n)) + {100 + pct - 1}) div {100 + pct})"
-    return f"{x}.rep <> {y}.rep and {x}.component <> {y}.component and least({x}.n - {x}.place, {y}.n - {y}.place) >= {need}"
+    out = written(rows.join(checked(still), "s1"), "lists")
+    drop(rows, still)
+    return out
 
 
 def _short_pairs(rows: DataFrame, pct: int) -> DataFrame:
-    """All pairs within the lists of at most SHORT members."""
-    members = rows.where(f"length <= {SHORT}").groupBy("s1").agg(F.collect_list(F.struct("rep", "n", "place", "component")).alias("m"))
-    pairs = members.select(F.explode("m").alias("x"), "m").select("x", F.expr(f"filter(m, y -> y.rep < x.rep and {_candidates('x', 'y', pct)})").alias("ys"))
-    return pairs.select("x", F.explode("ys").alias("y")).selectExpr("x.rep as a", "y.rep as b")
+    """All pairs of different components within the lists of at most SHORT members."""
+    members = rows.where(f"length <= {SHORT}").groupBy("s1").agg(F.collect_list(F.struct("rep", "np", "component")).alias("m"))
+    fits = f"y.rep < x.rep and y.component <> x.component and {_possible('x.np', 'y.np', pct)}"
+    pairs = members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.expr(f"filter(m, y -> {fits})")).alias("y"))
+    return pairs.selectExpr("x.rep as a", "y.rep as b")
 
 
 def _long_pairs(rows: DataFrame, pivots: int, pct: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members and pivots in longer lists, and the entries left when the pivots have gone."""
+    """Pairs of members and pivots in longer lists, and the entries left when the pivots have gone. Sizes that can link
+    lie in one band or in neighbouring ones."""
+    band = F.floor(F.log(F.expr("np div 4294967296").cast("double")) / log(100 / pct)) if pct < 100 else F.expr("np div 4294967296")
+    long = rows.where(f"length > {SHORT}").select("s1", "np", "rep", "component", band.cast("int").alias("band"))
     slot = F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")
-    long = rows.where(f"length > {SHORT}").select("s1", "n", "place", "rep", "component")
-    per = long.groupBy("s1", slot).agg(F.min(F.struct("rep", "n", "place", "component")).alias("p"))
-    chosen = written(per.groupBy("s1").agg(F.collect_list("p").alias("ps")), "pivots")
-    met = long.select("s1", F.struct("rep", "n", "place", "component").alias("x")).join(_checked(chosen), "s1")
-    pairs = met.select("x", F.explode(F.expr(f"filter(ps, y -> {_candidates('x', 'y', pct)})")).alias("y")).selectExpr("greatest(x.rep, y.rep) as a", "least(x.rep, y.rep) as b")
-    left = met.where("not exists(ps, y -> y.rep = x.rep)").select("s1", "x.n", "x.place", "x.rep")
-    return pairs, left
+    chosen = long.groupBy("s1", "band", slot).agg(F.min("rep").alias("p"), F.min_by("np", "rep").alias("p_np"), F.min_by("component", "rep").alias("p_component"))
+    chosen = written(chosen, "pivots")
+    near = chosen.select("s1", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "p", "p_np", "p_component")
+    met = long.join(checked(near), ["s1", "band"]).where(f"rep <> p and component <> p_component and {_possible('np', 'p_np', pct)}")
+    left = long.join(checked(chosen.selectExpr("s1", "p as rep")), ["s1", "rep"], "left_anti").select("s1", "np", "rep")
+    return met.selectExpr("greatest(rep, p) as a", "least(rep, p) as b"), left
 
 
 def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rep, items): the whole sets of the representatives in ``wanted`` (rep, k1, k2)."""
-    few = wanted.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    some = docs.select("doc_id", "text").join(hint(wanted.selectExpr("rep as doc_id").distinct()), "doc_id", "left_semi")
+    """(rep, items): the whole sets of the representatives in ``wanted`` (rep, k1, k2), read from the texts again."""
+    spark = docs.sparkSession
+    passing = spark.sparkContext.broadcast(bloom(wanted.select("k1"), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHash()
+        words, bits = _WordHash(), passing.value
         for batch in batches:
-            for _, texts in slices(batch, as_bytes(batch.column(1))):
-                sets = shingle_sets(texts, words, k)
-                keys = [keys_of(s) for s in sets]
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), items], names=["k1", "k2", "items"])
+            for _, texts in slices(batch, as_bytes(batch.column(0))):
+                sets = [s for s in shingle_sets(texts, words, k) if len(s)]
+                keys = np.array([keys_of(s) for s in sets], np.int64).reshape(-1, 2)
+                some = np.flatnonzero(may_hold(bits, np.ascontiguousarray(keys[:, 0])))
+                if not len(some):
+                    continue
+                offsets = np.r_[0, np.cumsum([len(sets[i]) for i in some])].astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([sets[i] for i in some]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some, 0]), pa.array(keys[some, 1]), items], names=["k1", "k2", "items"])
 
-    arrays = some.mapInArrow(run, "k1 long, k2 long, items array<bigint>")
-    return arrays.join(hint(wanted), ["k1", "k2"]).select("rep", "items")
+    arrays = docs.select("text").mapInArrow(run, "k1 long, k2 long, items array<bigint>")
+    # copies of one set meet here; the wanted side names each once
+    return arrays.join(checked(wanted), ["k1", "k2"]).select("rep", "items").dropDuplicates(["rep"])
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, pct: int) -> DataFrame:
     """Those pairs (a, b) of representatives whose sets overlap enough; what parity doesn't rule out is compared whole."""
     bits = reps.select("rep", "n", *PARITY)
-    side = lambda name, own: bits.select(F.col("rep").alias(name), F.struct("n", *PARITY).alias(own))
-    pairs = written(pairs.distinct(), "pairs")
-    both = pairs.join(_checked(side("a", "x")), "a").join(_checked(side("b", "y")), "b")
+    side = lambda name, own: checked(bits.select(F.col("rep").alias(name), F.struct("n", *PARITY).alias(own)))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
-    need = f"(({pct} * (x.n + y.n) + {100 + pct - 1}) div {100 + pct})"
-    near = written(both.where(f"{apart} <= x.n + y.n - 2 * {need}").select("a", "b"), "near")
+    need = f"(({pct} * (x.n + y.n) + {99 + pct}) div {100 + pct})"
+    near = written(both.where(f"{apart} <= x.n + y.n - 2 * {need}").select("a", "b").distinct(), "near")
     sides = near.selectExpr("a as rep").unionByName(near.selectExpr("b as rep")).distinct()
-    wanted = written(reps.join(sides, "rep").select("rep", "k1", "k2"), "wanted")
-    arrays = written(_set_arrays(docs, wanted, k), "sets")
-    found = near.join(arrays.selectExpr("rep as a", "items as x"), "a").join(arrays.selectExpr("rep as b", "items as y"), "b")
-    found = found.withColumn("both", F.size(F.array_intersect("x", "y")))
-    return found.where(f"100 * both >= {pct} * (size(x) + size(y) - both)").select("a", "b")
+    wanted = written(reps.join(checked(sides), "rep").select("rep", "k1", "k2"), "wanted")
+    arrays = written(_set_arrays(docs, wanted, k), "arrays")
+    held = near.join(arrays.selectExpr("rep as b", "items as y"), "b").join(arrays.selectExpr("rep as a", "items as x"), "a")
+    held = held.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    out = written(held.where(f"100 * both >= {pct} * (n + m - both)").select("a", "b"), "links")
+    drop(near, wanted, arrays)
+    return out
 
 
 def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
@@ -318,22 +345,33 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     small_batches(docs.sparkSession)
     measured = written(_measured(docs, k), "sets")
     sized = measured.where("cell is null").select("doc_id", "n", "k1", "k2", *PARITY)
-    load, total, squares = _sketch(measured)
-    light = boundary(total, squares, pct)
+    load, total, beside = _sketch(measured)
+    light = boundary(total, beside, pct)
     least = [F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in PARITY)]
     reps = written(sized.where("n > 0").groupBy("k1", "k2").agg(*least).where("rep is not null"), "reps")
-    entries = written(_entries(docs, reps, k, pct, light, load), "entries")
-    edges, lists = _links_and_lists(entries)
-    edges, pivots = written(edges, "links"), 1
+    copies = sized.where("n > 0").select("doc_id", "k1", "k2").join(reps.select("rep", "k1", "k2"), ["k1", "k2"]).where("doc_id <> rep").select("doc_id").distinct()
+    gone = written(copies.join(reps.selectExpr("rep as doc_id").distinct(), "doc_id", "left_anti"), "copies")
+    entries = written(_entries(docs, reps, gone, k, pct, light, load), "entries")
+    links = _light_links(entries)
+    pairs, lists = _first_round(entries, pct)
+    drop(entries, gone)
+    stars, pivots = None, PIVOTS
     while True:
-        rows = _with_components(lists, edges)
+        found = _verified(docs, reps, pairs, k, pct)
+        edges = links.unionByName(found) if stars is None else stars.selectExpr("node as a", "component as b").unionByName(found)
+        then = components(edges)
+        drop(pairs, found, *([links] if stars is None else [stars]))
+        stars = then
+        rows = _open_lists(lists, stars)
+        drop(lists)
         if rows.isEmpty():
+            drop(rows)
             break
-        pairs, lists = _long_pairs(rows, pivots, pct)
-        pairs = pairs.unionByName(_short_pairs(rows, pct))
-        edges, pivots = written(edges.unionByName(_verified(docs, reps, pairs, k, pct)), "links"), min(4 * pivots, PIVOTS)
-    found = components(edges)
-    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+        met, left = _long_pairs(rows, pivots, pct)
+        pairs, lists = written(met.unionByName(_short_pairs(rows, pct)).distinct(), "pairs"), written(left, "lists")
+        drop(rows)
+        pivots *= 4
+    named = reps.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sized.drop(*PARITY).join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -341,4 +379,4 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     """The rows of ``docs`` without those that are linked, over any number of links, with a smaller doc_id."""
     gone = written(join(docs, pct, k).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(checked(gone), "doc_id", "left_anti").select(docs.columns)

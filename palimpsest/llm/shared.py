@@ -2,50 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folder import drop, fresh_path, written  # noqa: F401
+
 #: White space as all contracts here define it; also what ``bytes.split()`` splits at.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side with at most so many narrow rows (under 100 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. ``spark.checkpoint.dir`` names it; only a session without
-    that setting (a test on one machine) gets a folder of its own."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        told = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small: a task holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts stay small: a task holds one batch at a time. All operators set the same number, so the
+    order in which their lazy results run makes no difference."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -73,3 +52,64 @@ def slices(batch: pa.RecordBatch, texts: list[bytes], most: int = 1 << 20) -> It
         size += len(text)
     if start < len(texts):
         yield batch.slice(start), texts[start:]
+
+
+def checked(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow side of a join, broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+CELL = 4096
+
+
+def cells(own: np.ndarray) -> pa.RecordBatch:
+    """A task's part of an array that tasks add up: a row for each 4,096 numbers that aren't all zero."""
+    parts = own.reshape(-1, CELL)
+    some = np.flatnonzero(parts.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["cell", "part"])
+
+
+def folded(parts: DataFrame, length: int, kind: str, fold: np.ufunc) -> np.ndarray:
+    """The arrays of all tasks (rows of ``cells``), folded by ``np.add`` or ``np.bitwise_or`` on the executors. What reaches the driver
+    is one array of a fixed ``length``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cell, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(part, kind)
+                sums[cell] = fold(sums[cell], x) if cell in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "part"])
+
+    got = parts.select("cell", "part").repartition(8, "cell").mapInArrow(run, "cell int, part binary").toArrow()
+    out = np.zeros(length, kind)
+    for cell, part in zip(got["cell"].to_pylist(), got["part"].to_pylist(), strict=True):
+        out[cell * CELL : (cell + 1) * CELL] = np.frombuffer(part, kind)
+    return out
+
+
+def _bloom_places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    x = keys.view(np.uint64)
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+        yield ((x * np.uint64(odd)) >> np.uint64(20)).astype(np.int64) & (bits - 1)
+
+
+def bloom(keys: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes, 32 MB at most: it only spares work, what passes is joined exactly."""
+    bits = min(1 << 28, max(1 << 15, 1 << (16 * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in _bloom_places(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield cells(own)
+
+    return folded(keys.mapInArrow(run, "cell int, part binary"), bits // 8, "u1", np.bitwise_or)
+
+
+def may_hold(filter_bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for at in _bloom_places(keys, 8 * len(filter_bits)):
+        found &= (filter_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found
