@@ -49,7 +49,7 @@ def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(documents(spark, sf_dir)).drop("locator")
+    return exact_dedup.dedup(documents(spark, sf_dir)).drop("file", "row")
 
 
 def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
