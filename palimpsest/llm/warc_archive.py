@@ -5,24 +5,28 @@ every record (WARC and HTTP headers) with the address of its payload. A record i
 Of records with equal payloads of ``least`` bytes or more, that with the largest page_id is the response and the others
 revisit it; smaller ones are all responses. Both tables are written by Spark to any store it can write.
 
-All work is DataFrame functions: digests are taken where the pages are read, only narrow rows are grouped,
-and payloads are never grouped or sorted. Reading verifies: a payload whose digests or length differ from its address,
-or a header without a payload, fails the read.
+All work is DataFrame functions: digests are taken where the pages are read, and only narrow rows are grouped. Reading
+verifies: a payload whose digests or length differ from its address, or a header without a payload, fails the read. A
+payload that many records share is copied for each thousand of them, so that no task rebuilds them all.
 
 Defined results: a null html is an empty payload, a null url an empty target. A null page_id is written as an
 empty number and read back as null; it is never the response for others. Rows that repeat a page_id are records
-of their own and of one type.
+of their own and of one type. Payloads may be as long as a Spark value may be. An empty table gives an empty archive. Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, fresh_path
+from .shared import checked, fresh_path, written
 
 ADDRESS = ["sha256", "sha1", "size"]
 DATE = "1970-01-01T00:00:00Z"
+#: So many records of one payload are rebuilt in a task.
+SPREAD = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -31,7 +35,8 @@ def payload() -> Column:
 
 
 def _addressed(pages: DataFrame) -> DataFrame:
-    body = pages.select("page_id", "url", payload().alias("payload"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    body = pages.select("page_id", "url", payload().alias("payload"), place.alias("place"))
     return body.withColumns({"sha256": F.unhex(F.sha2("payload", 256)), "sha1": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
 
 
@@ -59,19 +64,23 @@ def _header() -> Column:
 
 
 def write(pages: DataFrame, path: str, least: int = 1000) -> None:
+    try:
+        _addressed(pages)
+    except AnalysisException:  # not read from files: rows have no places
+        pages = written(pages.select("page_id", "url", "html"), "pages")
     spark = pages.sparkSession
-    log_path = f"{path}/log"
-    _addressed(pages).select("page_id", "url", *ADDRESS).write.parquet(log_path)
-    log = spark.read.parquet(log_path)
-    shared = log.groupBy(*ADDRESS).agg(F.min("page_id").alias("stored"), F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"), F.count("page_id").alias("named")).where("n > 1")
-    few = shared.count() <= BROADCAST_ROWS
-    rows = log.join(F.broadcast(shared) if few else shared, ADDRESS, "left")
+    _addressed(pages).select("page_id", "url", "place", *ADDRESS).write.parquet(f"{path}/log")
+    log = spark.read.parquet(f"{path}/log")
+    shared = log.groupBy(*ADDRESS).agg(F.min("place").alias("stored"), F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared, "shared")
+    rows = log.join(checked(shared.drop("stored")), ADDRESS, "left")
     refers = F.when((F.col("size") >= least) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    rows.withColumn("refers", refers).select("page_id", _header().alias("header"), *ADDRESS).write.parquet(f"{path}/headers")
-    # each payload once: rows whose address occurs once, and the row with the smallest page_id of the others
-    body = _addressed(pages).select("page_id", *ADDRESS, "payload").join(F.broadcast(shared) if few else shared, ADDRESS, "left")
-    body = body.where("n is null or named = 0 or page_id = stored").select(*ADDRESS, "payload", F.coalesce("n", F.lit(1)).alias("n"))
-    body.drop("n").write.parquet(f"{path}/payloads")
+    spread = F.ceil(F.coalesce("n", F.lit(1)) / SPREAD).cast("int").alias("spread")
+    rows.withColumn("refers", refers).select("page_id", _header().alias("header"), "refers", *ADDRESS, spread).write.parquet(f"{path}/headers")
+    # each payload once: not the rows that hold a payload that another place holds
+    again = log.join(checked(shared.select(*ADDRESS, "stored")), ADDRESS).where("place <> stored").select("place")
+    body = _addressed(pages).join(checked(written(again, "again")), "place", "left_anti")
+    body.select(*ADDRESS, "payload").write.parquet(f"{path}/payloads")
 
 
 def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -82,33 +91,46 @@ def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record: the whole records, headers and payloads joined."""
+    """page_id, record: the whole records, headers and payloads joined. A revisit has no payload of its own."""
     headers = spark.read.parquet(f"{path}/headers")
-    bodies = verified_payloads(spark, path).dropDuplicates(ADDRESS)
-    text = F.decode("header", "UTF-8")
-    own = F.when(F.regexp_extract(text, r"WARC-Type: (\w+)", 1) == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return headers.join(bodies, ADDRESS, "left").select("page_id", F.concat("header", own, F.lit(b"\r\n\r\n")).alias("record"))
+    responses = headers.where("refers is null").withColumn("salt", F.pmod(F.hash("page_id", "header"), F.col("spread")))
+    # the number of records of an address is known from its headers
+    wide = responses.where("spread > 1").select(*ADDRESS, "spread").distinct()
+    bodies = verified_payloads(spark, path).join(checked(wide), ADDRESS, "left")
+    bodies = bodies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+    end = F.lit(b"\r\n\r\n")
+    whole = responses.join(bodies, [*ADDRESS, "salt"], "left")
+    body = F.coalesce("payload", F.raise_error(F.lit("a record has no payload")).cast("binary"))
+    return whole.select("page_id", F.concat("header", body, end).alias("record")).unionByName(headers.where("refers is not null").select("page_id", F.concat("header", end).alias("record")))
 
 
 def index(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: read from header bytes and stored payloads.
-
-    Payloads are hashed where they are stored, once each; only their measures meet the headers."""
-    text = F.decode("header", "UTF-8")
-    field = lambda pattern: F.regexp_extract("text", pattern, 1)
-    number = lambda pattern: F.expr(f"try_cast(nullif(regexp_extract(text, '{pattern}', 1), '') as {kind})")
-    headers = spark.read.parquet(f"{path}/headers").select(text.alias("text"), *ADDRESS)
-    told = headers.select(
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: parsed from the rebuilt records, byte by byte.
+
+    The payload of a response is what follows its two blocks of headers, and is measured and hashed again. A revisit has the
+    measures of the response that it refers to."""
+    latin = F.decode("record", "ISO-8859-1")  # a character for each byte
+    parsed = records(spark, path).select("record", latin.alias("text")).withColumn("at", F.expr(r"locate('\r\n\r\n', text)"))
+    parsed = parsed.withColumn("from", F.expr(r"locate('\r\n\r\n', text, at + 4) + 4")).withColumn("head", F.expr("substr(text, 1, at)"))
+    body = F.expr("substr(record, from, octet_length(record) - from - 3)")
+    field = lambda pattern: F.regexp_extract("head", pattern, 1)
+    number = lambda pattern: F.expr(f"try_cast(nullif(regexp_extract(head, '{pattern}', 1), '') as {kind})")
+    told = parsed.select(
         number("WARC-Record-ID: <urn:page:([^>]*)>").alias("page_id"),
         field(r"WARC-Payload-Digest: sha1:(\w+)").alias("claimed"),
         field(r"WARC-Type: (\w+)").alias("record_type"),
         number("WARC-Refers-To: <urn:page:([^>]*)>").alias("refers_to"),
-        *ADDRESS,
+        body.alias("body"),
     )
-    found = verified_payloads(spark, path).select(*ADDRESS, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).distinct()
-    joined = told.join(found, ADDRESS, "left")
-    digest = F.when(F.col("payload_digest") == F.col("claimed"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record has no payload, or another than its header says")).cast("string"))
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    told = told.select("page_id", "claimed", "record_type", "refers_to", F.octet_length("body").cast("long").alias("own_bytes"), F.sha1("body").alias("own_digest"))
+    told = written(told, "index")
+    targets = told.where("refers_to is not null").select(F.col("refers_to").alias("page_id"), "claimed").distinct()
+    measured = told.where("record_type = 'response'").join(checked(targets), ["page_id", "claimed"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "claimed").agg(F.min("own_bytes").alias("bytes"), F.min("own_digest").alias("digest"))
+    joined = told.join(checked(measured), ["refers_to", "claimed"], "left")
+    revisit = F.col("record_type") == "revisit"
+    digest = F.when(revisit, F.col("digest")).otherwise(F.col("own_digest"))
+    digest = F.when(digest == F.col("claimed"), digest).otherwise(F.raise_error(F.lit("a record has no payload, or another than its header says")).cast("string"))
+    return joined.select("page_id", F.when(revisit, F.col("bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
