@@ -2,12 +2,14 @@
 
 Each text is a sequence of words. A suffix array over the words of a slice of documents (each document ended by
 a symbol of its own, and words of different documents being different symbols) is refined by prefix doubling;
-the longest-common-prefix array then shows, for each word, the longest repeat that starts there. Their spans are
-united, and a document is rejected if repeats cover too much of it or one repeat is too long.
+the longest-common-prefix array then shows, for each word, the longest repeat that starts there: a maximal repeated substring
+is the prefix that an interval of the array has in common. Their spans are united, and a document is rejected if repeats cover
+too much of it or one repeat is too long.
 
 Defined results: a null or empty text has no words, so it fails the base rule (fewer than ``min_words``).
-A text may be of any length; it is never cut. Repeated rows each get their own verdict. Other columns, whatever
-their names, are passed on untouched by ``clean`` and ignored by ``verdicts``.
+A text may be of any length; it is never cut, and takes about 60 bytes of memory a word. Shares that equal a limit pass. Repeated
+rows, or rows that repeat a doc_id, each get their own verdict; a null doc_id is kept. An empty table gives no rows. Other
+columns, whatever their names, are passed on untouched by ``clean`` and ignored by ``verdicts``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,11 @@ class Limits:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, longest_repeat long, covered_chars long, kept boolean"
 
 
-def longest_repeats(symbols: np.ndarray) -> np.ndarray:
+#: Up to so many symbols the ranks of all doublings are kept; above, common prefixes are found by a walk that needs two arrays.
+KEPT_RANKS = 1 << 20
+
+
+def longest_repeats(symbols: np.ndarray, kept_ranks: int = KEPT_RANKS) -> np.ndarray:
     """For each position, the length of the longest substring that starts there and also starts elsewhere.
 
     Prefix doubling: ranks by the first 1, 2, 4, ... symbols; only suffixes whose rank is still shared are sorted
@@ -49,33 +55,40 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
     keys = symbols[order]
     levels: list[np.ndarray] = []
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     first = np.r_[True, keys[1:] != keys[:-1]]
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    levels.append(rank)
     step = 1
     last = np.r_[first[1:], True]
-    places = np.flatnonzero(~(first & last))  # places in suffix order whose group has several suffixes
+    places = np.flatnonzero(~(first & last)).astype(np.int32)  # places in suffix order whose group has several suffixes
+    del keys
     while len(places):
+        if n <= kept_ranks:
+            levels.append(rank.copy())
         suffixes = order[places]
         groups = rank[suffixes]
         follow = rank[np.minimum(suffixes + step, n)]
-        by = np.argsort((groups << 32) | (follow + 1), kind="stable")
+        by = np.argsort((groups.astype(np.int64) << 32) | (follow + 1), kind="stable")
         suffixes, groups, follow = suffixes[by], groups[by], follow[by]
         order[places] = suffixes
         first = np.r_[True, (groups[1:] != groups[:-1]) | (follow[1:] != follow[:-1])]
-        rank = rank.copy()
         rank[suffixes] = np.maximum.accumulate(np.where(first, places, 0))
-        levels.append(rank)
         last = np.r_[first[1:], True]
         places = places[~(first & last)]
         step *= 2
+    if n > kept_ranks:
+        common = walked(symbols, order, rank)
+        np.maximum.at(out, order[:-1], common)
+        np.maximum.at(out, order[1:], common)
+        return out
+    if not levels:
+        return out
     same = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]])
-    left, right = order[same], order[same + 1]
+    left, right = order[same].astype(np.int64), order[same + 1].astype(np.int64)
     common = np.zeros(len(same), np.int64)
     for k in range(len(levels) - 1, -1, -1):
         equal = levels[k][np.minimum(left + common, n)] == levels[k][np.minimum(right + common, n)]
@@ -86,6 +99,24 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def walked(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix and the next in suffix order, by a walk in the order of the text: what a suffix shares
+    with its neighbour is at most one symbol less for the suffix that starts one place later."""
+    n, common, k = len(order), np.zeros(len(order) - 1, np.int32), 0
+    s, place, at, told = memoryview(symbols), memoryview(rank), memoryview(order), memoryview(common)
+    for i in range(n):
+        p = place[i]
+        if p == n - 1:
+            k = 0
+            continue
+        j = at[p + 1]
+        while i + k < n and j + k < n and s[i + k] == s[j + k]:
+            k += 1
+        told[p] = k
+        k = k - 1 if k else 0
+    return common
+
+
 def measure(texts: list[bytes], limits: Limits) -> list[np.ndarray]:
     """The columns of SCHEMA for some texts, by one suffix array over all of their words."""
     n = len(texts)
