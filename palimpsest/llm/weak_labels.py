@@ -6,12 +6,16 @@ accuracies and each pattern's posterior. The posteriors of a bounded sample are
 hashed byte trigrams and hashed buckets of statistics; it then scores every document.
 
 Defined results: a null or empty text gets no votes but "too short", and is scored like any other. No labels
-of people are used. Repeated rows get equal scores. The sample is the ``SAMPLE`` rows whose doc_id hashes lowest.
+of people are used. Repeated rows get equal scores, null doc_ids too; a score of one half is kept. The sample is the ``SAMPLE``
+distinct rows whose doc_id hashes lowest (of equal doc_ids, whose text does); it is chosen on hashes, and only its texts are moved.
+A text may be of any length; it has ``DIMENSIONS`` features at most. An empty table gives no rows. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -125,14 +129,11 @@ def features(text: bytes, s: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]
     return np.r_[place, own], np.r_[value, np.full(len(own), 0.5)]
 
 
-def train(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+def train(made: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
     """Weights and bias of a logistic scorer, by adaptive gradient steps in the order given; classes weigh alike."""
     w, g = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-3)
     share = min(max(float(labels.mean()), 0.02), 0.98) if len(labels) else 0.5
-    made = []
-    for t in texts:
-        place, value = features(t, statistics(t))
-        made.append((np.r_[place, DIMENSIONS], np.r_[value, 1.0]))
+    made = [(np.r_[place, DIMENSIONS], np.r_[value, 1.0]) for place, value in made]
     for _ in range(PASSES):
         for (place, value), y in zip(made, labels, strict=True):
             p = 1 / (1 + np.exp(-np.clip(w[place] @ value, -30, 30)))
@@ -142,11 +143,18 @@ def train(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, votes_good, votes_bad, posterior, score, kept: one row per row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+@dataclass(frozen=True)
+class Model:
+    """``posterior`` of "good" by vote pattern, the labellers' estimated ``accuracies``, and the scorer's ``weights``."""
+
+    posterior: dict[int, float]
+    accuracies: list[float]
+    weights: np.ndarray
+
+
+def fit(docs: DataFrame) -> Model:
+    """Learns from all documents' votes, and the scorer from the sample."""
+    small_batches(docs.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,20 +162,44 @@ def classify(docs: DataFrame) -> DataFrame:
 
     counted = docs.select("text").mapInArrow(vote, "pattern int").groupBy("pattern").count().orderBy("pattern").toPandas()
     patterns = counted["pattern"].to_numpy(np.int64)
-    posterior, _ = fit_labellers(patterns, counted["count"].to_numpy(np.float64))
+    posterior, right = fit_labellers(patterns, counted["count"].to_numpy(np.float64))
     known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in as_bytes(b.column(0))]
-        labels = np.array([known[pattern(votes(statistics(t)))] for t in texts])
-        yield pa.RecordBatch.from_arrays([pa.array([train(texts, labels).tolist()], pa.list_(pa.float64()))], names=["w"])
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, value, label = [], [], []
+            for t in as_bytes(batch.column(2)):
+                s = statistics(t)
+                at, x = features(t, s)
+                place.append(at.astype(np.int32))
+                value.append(x.astype(np.float32))
+                label.append(known[pattern(votes(s))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(label, pa.float64())], names=["h", "t", "place", "value", "label"])
 
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "t").limit(SAMPLE).select("text").coalesce(1)
-    first = written(sample.mapInArrow(learn, "w array<double>"), "weights").first()
-    weights = spark.sparkContext.broadcast(np.array(first["w"] if first else np.zeros(DIMENSIONS + 1)))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, labels = [], []
+        for b in batches:
+            made += [(p.astype(np.int64), v.astype(np.float64)) for p, v in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), strict=True)]
+            labels += b.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([train(made, np.array(labels)).tolist()], pa.list_(pa.float64()))], names=["w"])
+
+    hashes = docs.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    chosen = written(hashes.select("h", "t").distinct().orderBy("h", "t").limit(SAMPLE), "chosen")  # narrow rows
+    texts = hashes.join(F.broadcast(chosen), ["h", "t"], "left_semi").groupBy("h", "t").agg(F.first("text").alias("text"))
+    sample = written(texts.select("h", "t", "text").mapInArrow(featured, "h long, t long, place array<int>, value array<float>, label double"), "sample")
+    first = written(sample.orderBy("h", "t").select("place", "value", "label").coalesce(1).mapInArrow(learn, "w array<double>"), "weights").first()
+    return Model(known, right.tolist(), np.array(first["w"] if first else np.zeros(DIMENSIONS + 1)))
+
+
+def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, votes_good, votes_bad, posterior, score, kept: one row per row of ``docs``, by a model of its own unless one is given."""
+    spark, model = docs.sparkSession, model or fit(docs)
+    small_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((model.posterior, model.weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        known, w = shared.value
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 rows = []
@@ -176,7 +208,7 @@ def classify(docs: DataFrame) -> DataFrame:
                     v = votes(s)
                     place, value = features(t, s)
                     p = 1 / (1 + np.exp(-np.clip(w[place] @ value + w[DIMENSIONS], -30, 30)))
-                    rows.append((v.count(1), v.count(-1), known[pattern(v)], float(p), bool(p >= 0.5)))
+                    rows.append((v.count(1), v.count(-1), known.get(pattern(v)), float(p), bool(p >= 0.5)))
                 good, bad, post, p, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(good, pa.int32()), pa.array(bad, pa.int32()), pa.array(post, pa.float64()), pa.array(p, pa.float64()), pa.array(kept)], names=["doc_id", "votes_good", "votes_bad", "posterior", "score", "kept"])
 
