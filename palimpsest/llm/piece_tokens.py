@@ -5,12 +5,14 @@ A segment starts as its characters. The agenda holds each adjacent pair that mak
 Short segments are merged many at a time: a row per segment, its agenda an array of ranks. Long ones have a heap.
 Symbols that are no pieces fall back to byte pieces.
 
-Where no piece continues across a space or another character (learned from the vocabulary), merges can't either; so
-texts are cut there and each distinct segment is encoded once per task, in a bounded memory. In every Arrow
-batch some whole texts, chosen by their own hash, are checked against the library; a difference fails the task.
+Where no piece continues across a space or another character, or holds two characters side by side (learned from the
+vocabulary), merges can't either; so texts are cut there, and each distinct segment is encoded and decoded once per Python
+worker, in a bounded memory. In every Arrow batch the first text and others, chosen by their own hash, are checked whole
+against the library, ids and decoded text; a difference fails the task.
 
-Defined results: a null text is empty and has no ids. A text may be of any length, spaces or not. Rows that
-repeat others get the same results; other columns are ignored.
+Defined results: a null text is empty and has no ids; an empty table gives no rows. A text may be of any length, spaces or
+not: a long segment that can't be cut takes about 60 bytes of memory a character. Rows that repeat others, or a doc_id, get
+results of their own; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,15 @@ ROW, CHECKED_OF = 48, 64
 NEVER = np.int32(2**31 - 1)
 
 
+class Coded(NamedTuple):
+    """Of a segment: its ids, their number, their decimal text, and the text that they decode to, leading space included."""
+
+    ids: tuple[int, ...]
+    count: int
+    digits: bytes
+    text: bytes
+
+
 class Pieces:
     """The vocabulary: ids of symbols, and for each pair of symbols the piece it makes and its rank."""
 
@@ -67,7 +81,9 @@ class Pieces:
         own = "".join(c for c in "\n\t\r" if c not in inside)
         body = f"[^{SPACE}{own}]" if own else f"[^{SPACE}]"
         self.pattern = re.compile(f"{SPACE}*{body}+|{SPACE}+" + (f"|[{own}]" if own else ""))
-        self.known: dict[str, tuple[int, ...]] = {}
+        beside = {(ord(a) << 21) | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        self.beside = np.array(sorted(beside), np.int64)
+        self.known: dict[str, Coded] = {}
 
     def _ids_of(self, symbols: list[int], chars: list[str]) -> tuple[int, ...]:
         out: list[int] = []
@@ -79,36 +95,44 @@ class Pieces:
         return tuple(out)
 
     def merge_heap(self, segment: str) -> tuple[int, ...]:
-        """The agenda as a heap of (rank, place); merged symbols are linked past one another."""
-        text = list(segment)
-        symbol = [self.symbols.get(c, -1) for c in text]
-        n = len(text)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (made := self.pairs.get((symbol[i], symbol[j]))) is not None:
-                heapq.heappush(agenda, (int(self.rank[made]), i, symbol[i], symbol[j]))
+        """The agenda of a long segment: the pairs of its characters in order of (rank, place), and a heap of those that merges
+        have made since; an entry that is no longer true is passed over. Arrays of numbers only, as segments may be long."""
+        codes = np.frombuffer(segment.encode("utf-32-le"), np.uint32)
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        symbol = np.array([self.symbols.get(chr(c), -1) for c in distinct], np.int64)[inverse]
+        n = len(symbol)
+        rank = self._made_of(symbol[:-1], symbol[1:])[0] if n > 1 else np.zeros(0, np.int32)
+        first = np.flatnonzero(rank != NEVER)
+        first = first[np.argsort(rank[first], kind="stable")]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        alive = np.ones(n, bool)
+        made: list[int] = []
+        at = 0
 
-        for i in range(n):
-            offer(i)
-        while agenda:
-            _, i, left, right = heapq.heappop(agenda)
+        def piece_at(i: int) -> int | None:
             j = after[i]
-            if text[i] == "" or j < 0 or symbol[i] != left or symbol[j] != right:
+            return self.pairs.get((int(symbol[i]), int(symbol[j]))) if alive[i] and j < n else None
+
+        while at < len(first) or made:
+            place = int(first[at]) if at < len(first) else -1
+            if made and (place < 0 or made[0] < (int(rank[place]) << 32 | place)):
+                entry = heapq.heappop(made)
+            else:
+                entry, at = int(rank[place]) << 32 | place, at + 1
+            i = entry & 0xFFFFFFFF
+            piece = piece_at(i)
+            if piece is None or self.rank[piece] != entry >> 32:
                 continue
-            symbol[i] = self.pairs[left, right]
-            text[i] += text[j]
-            text[j] = ""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        live = [i for i in range(n) if text[i]]
-        return self._ids_of([symbol[i] for i in live], [text[i] for i in live])
+            j = after[i]
+            symbol[i], alive[j], after[i] = piece, False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (i, int(before[i])):
+                if k >= 0 and (new := piece_at(k)) is not None:
+                    heapq.heappush(made, int(self.rank[new]) << 32 | k)
+        starts = np.flatnonzero(alive)
+        ends = np.r_[starts[1:], n]
+        return self._ids_of(symbol[starts].tolist(), [segment[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     def _made_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of pairs; NEVER where they make none."""
@@ -167,49 +191,71 @@ class Pieces:
         if not text:
             return []
         escaped = SPACE + text.replace(" ", SPACE)
-        return self.pattern.findall(escaped) if self.cut_spaces else [escaped]
+        if not self.cut_spaces:
+            return self.cut(escaped)
+        found = self.pattern.findall(escaped)
+        if max(map(len, found)) <= ROW:
+            return found
+        return list(chain.from_iterable(self.cut(s) if len(s) > ROW else (s,) for s in found))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def cut(self, segment: str) -> list[str]:
+        """A long segment, cut between characters that no piece holds side by side."""
+        codes = np.frombuffer(segment.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pair = (codes[:-1] << 21) | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        cuts = (np.flatnonzero(self.beside[at] != pair) + 1).tolist()
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
+
+    def coded(self, segment: str, ids: tuple[int, ...]) -> Coded:
+        text = self.library.decode(list(ids))
+        if segment[0] == SPACE:  # the library drops one leading space
+            text = " " + text
+        return Coded(ids, len(ids), ",".join(map(str, ids)).encode(), text.encode())
+
+    def encode(self, texts: list[str]) -> list[list[Coded]]:
+        """The segments of each text."""
         cut = [self.segments(t) for t in texts]
-        distinct = set().union(*cut)
+        distinct = set(chain.from_iterable(cut))
         if len(self.known) + len(distinct) > self.most:
             self.known.clear()
         by_length: dict[int, list[str]] = {}
-        for s in distinct:
-            if s not in self.known:
-                by_length.setdefault(len(s), []).append(s)
+        for s in distinct.difference(self.known):
+            by_length.setdefault(len(s), []).append(s)
         for length, new in by_length.items():
-            if length > ROW:
-                for s in new:
-                    self.known[s] = self.merge_heap(s)
-            else:
-                self.known.update(zip(new, self.merge_rows(new), strict=True))
-        out = []
-        for own in cut:
-            ids: list[int] = []
-            for s in map(self.known.__getitem__, own):
-                ids += s
-            out.append(ids)
-        return out
+            ids = map(self.merge_heap, new) if length > ROW else self.merge_rows(new)
+            self.known.update((s, self.coded(s, i)) for s, i in zip(new, ids, strict=True))
+        get = self.known.__getitem__
+        return [list(map(get, own)) for own in cut]
+
+
+@cache
+def pieces_of(path: str) -> Pieces:
+    """One vocabulary, and one memory of segments, for all tasks that a Python worker runs."""
+    return Pieces(path)
 
 
 def round_trip(docs: DataFrame, model: str, checked_of: int = CHECKED_OF) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``; decoded by the library."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        names = [str(i).encode() for i in range(pieces.library.get_piece_size())]
+        pieces = pieces_of(model)
         for batch in batches:
+            first = True
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 plain = [t.decode("utf-8", "replace") for t in texts]
-                encoded = pieces.encode(plain)
-                some = [i for i, t in enumerate(texts) if zlib.crc32(t) % checked_of == 0]
-                if some and pieces.library.encode([plain[i] for i in some], num_threads=1) != [encoded[i] for i in some]:
-                    raise AssertionError("the agenda and the sentencepiece library differ on a text")
-                digest = [hashlib.sha256(b",".join(map(names.__getitem__, ids))).hexdigest() for ids in encoded]
-                decoded = [hashlib.sha256(pieces.library.decode(ids).encode() if ids else b"").hexdigest() for ids in encoded]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in encoded], pa.int64()), pa.array(digest), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                count, digest, decoded = [], [], []
+                for i, own in enumerate(pieces.encode(plain)):
+                    ids, n, digits, text = zip(*own, strict=True) if own else ((),) * 4
+                    back = b"".join(text)[1:]
+                    count.append(sum(n))
+                    digest.append(hashlib.sha256(b",".join(digits)).hexdigest())
+                    decoded.append(hashlib.sha256(back).hexdigest())
+                    if first or zlib.crc32(texts[i]) % checked_of == 0:
+                        first, whole = False, pieces.library.encode(plain[i])
+                        if whole != list(chain.from_iterable(ids)) or (whole and pieces.library.decode(whole).encode() != back):
+                            raise AssertionError("the agenda and the sentencepiece library differ on a text")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(digest), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
