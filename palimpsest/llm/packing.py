@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_bytes, slices, small_batches, written
-from .word_tokens import Encoder, with_end
+from .word_tokens import encoder_of, with_end
 
 #: Pieces in a group, and the most steps of the local search per group.
 GROUP, STEPS = 40_000, 3_000
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 doc, piece, start, length, crc = [], [], [], [], []

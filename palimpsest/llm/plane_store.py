@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import as_bytes, slices, small_batches
-from .word_tokens import Encoder, with_end
+from .word_tokens import encoder_of, with_end
 
 BLOCK, BLOCKS_PER_CHUNK = 65_536, 4
 
@@ -82,7 +82,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, bits: bool = True, block:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
         def chunk() -> pa.RecordBatch:

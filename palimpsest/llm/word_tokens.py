@@ -1,13 +1,14 @@
 """Ids of whole texts by a vocabulary file of the tokenizers library, with a bounded memory of words.
 
-The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in turn. A task encodes
-each distinct word once; a memory that has grown too large is emptied.
+The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in turn. A Python worker
+encodes each distinct word once; a memory that has grown too large is emptied.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from functools import cache
 
 import numpy as np
 
@@ -25,7 +26,7 @@ def _letters(word: bytes) -> bool:
 class Encoder:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,5 +87,11 @@ class Encoder:
         return [b"".join(map(get, own) if None in ids else ids) for own, ids in zip(words, found, strict=True)]
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One vocabulary, and one memory of words, for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
 def with_end(ids: bytes) -> bytes:
     return ids + END_ID.to_bytes(4, "little")
