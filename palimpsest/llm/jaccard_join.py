@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_bytes, bloom, cells, checked, drop, folded, may_hold, slices, small_batches, written
+from .shared import as_bytes, bloom, cells, checked, drop, folded, may_hold, mixed, slices, small_batches, word_hashes, written
 
 SKETCH = 1 << 21
 #: A list with at most so many members gives all its pairs; a longer one has pivots, so many in its first round.
@@ -44,36 +44,19 @@ SHORT, PIVOTS = 12, 16
 PARITY = ["b0", "b1", "b2", "b3"]
 
 
-class _WordHash(dict):
-    """64-bit hashes of words; emptied when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_sets(texts: list[bytes], words: dict, k: int = 3) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int = 3) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each text: A-Z in lower case, words, ``k`` at a time."""
     sets = []
-    for text in texts:
-        tokens = text.lower().split()
-        h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    for h in word_hashes([t.lower() for t in texts]):
         if 0 < len(h) < k:
-            h = _mix(np.array([len(h)], np.uint64) + sum(_mix(h[i : i + 1] + np.uint64(i + 1)) for i in range(len(h))))
+            h = mixed(np.array([len(h)], np.uint64) + sum(mixed(h[i : i + 1] + np.uint64(i + 1)) for i in range(len(h))))
         elif len(h):
             n = len(h) - k + 1
-            mixed = np.zeros(n, np.uint64)
+            shingles = np.zeros(n, np.uint64)
             for i in range(k):
-                mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-            h = np.unique(mixed)
+                shingles = mixed(shingles * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+            shingles.sort()
+            h = shingles[np.r_[True, shingles[1:] != shingles[:-1]]]
         sets.append(h)
     return sets
 
@@ -137,10 +120,10 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, load, held, schema = _WordHash(), np.zeros(SKETCH, np.int64), [], None
+        load, held, schema = np.zeros(SKETCH, np.int64), [], None
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
-                sets = shingle_sets(texts, words, k)
+                sets = shingle_sets(texts, k)
                 held += sets
                 if sum(map(len, held)) > 2_000_000:
                     load += counted(held)
@@ -183,20 +166,20 @@ def _entries(docs: DataFrame, reps: DataFrame, gone: DataFrame, k: int, pct: int
     scanned_from = -(-pct * (light + 1) // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rare = _WordHash(), order.value
+        rare = order.value
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 s1, s2, low, place, has = [], [], [], [], []
-                sets = shingle_sets(texts, words, k)
+                sets = shingle_sets(texts, k)
                 rows = np.zeros(len(sets), np.int64)
                 for i, s in enumerate(sets):
                     n = len(s)
                     if 0 < n <= light:
-                        a, b = _mix(s), _mix(s ^ np.uint64(0x5851F42D4C957F2D))
+                        a, b = mixed(s), mixed(s ^ np.uint64(0x5851F42D4C957F2D))
                         for small, high, o in light_pairs(n, pct, light):
                             gone_of = left_out(n, n - o)
                             tag = np.uint64((small << 32) | (high << 16) | o)
-                            s1.append(_mix(a.sum() - a[gone_of].sum(axis=1, dtype=np.uint64) + tag))
+                            s1.append(mixed(a.sum() - a[gone_of].sum(axis=1, dtype=np.uint64) + tag))
                             s2.append(b.sum() - b[gone_of].sum(axis=1, dtype=np.uint64))
                             low.append(np.full(len(gone_of), small))
                             place.append(np.zeros(len(gone_of), np.int64))
@@ -300,25 +283,28 @@ def _long_pairs(rows: DataFrame, pivots: int, pct: int) -> tuple[DataFrame, Data
 
 
 def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rep, items): the whole sets of the representatives in ``wanted`` (rep, k1, k2), read from the texts again."""
+    """(rep, items): the whole sets of the representatives in ``wanted`` (rep, k1, k2), made of the texts again. A Bloom filter of their
+    ids spares the other texts."""
     spark = docs.sparkSession
-    passing = spark.sparkContext.broadcast(bloom(wanted.select("k1"), wanted.count()))
+    passing = spark.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("rep")), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = _WordHash(), passing.value
+        bits = passing.value
         for batch in batches:
-            for _, texts in slices(batch, as_bytes(batch.column(0))):
-                sets = [s for s in shingle_sets(texts, words, k) if len(s)]
-                keys = np.array([keys_of(s) for s in sets], np.int64).reshape(-1, 2)
-                some = np.flatnonzero(may_hold(bits, np.ascontiguousarray(keys[:, 0])))
-                if not len(some):
-                    continue
-                offsets = np.r_[0, np.cumsum([len(sets[i]) for i in some])].astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([sets[i] for i in some]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some, 0]), pa.array(keys[some, 1]), items], names=["k1", "k2", "items"])
-
-    arrays = docs.select("text").mapInArrow(run, "k1 long, k2 long, items array<bigint>")
-    # copies of one set meet here; the wanted side names each once
+            some = np.flatnonzero(may_hold(bits, batch.column(0).to_numpy()))
+            if not len(some):
+                continue
+            batch = batch.take(pa.array(some))
+            for _, texts in slices(batch, as_bytes(batch.column(1))):
+                sets = [s for s in shingle_sets(texts, k) if len(s)]
+                if sets:
+                    keys = np.array([keys_of(s) for s in sets], np.int64)
+                    offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                    items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), items], names=["k1", "k2", "items"])
+
+    arrays = docs.where("doc_id is not null").select(F.xxhash64("doc_id"), "text").mapInArrow(run, "k1 long, k2 long, items array<bigint>")
+    # rows that repeat a doc_id may have other sets, and a set may be read twice; the wanted side names each set once
     return arrays.join(checked(wanted), ["k1", "k2"]).select("rep", "items").dropDuplicates(["rep"])
 
 

@@ -8,12 +8,15 @@ Bundling is linear, so a language needs only its trigram counts: they are summed
 by Spark (each document weighs alike), and the prototypes are bundled from the sums.
 
 Defined results: ``und`` with score 0 if the text is null, has no letter, or nothing was learned. Ties go to the
-language that sorts first. A null doc_id counts as held out. Letters are a-z and 13 classes of all others.
+language that sorts first. A null doc_id counts as held out. Letters are a-z and 13 classes of all others, of any script. A text
+may be of any length. Repeated rows are learned from and predicted each on its own; an empty table gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,10 @@ UNKNOWN = "und"
 WEIGHT = 1_000_000
 
 
+@cache
 def letter_table() -> np.ndarray:
     table = np.zeros(0x110000, np.int16)
-    for c in range(0x80, 0x30000):
+    for c in range(0x80, 0x110000):
         if chr(c).isalpha():
             table[c] = 27 + c % 13
     for c in range(26):
@@ -52,6 +56,7 @@ def letters() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
 
 
+@cache
 def trigram_vectors() -> np.ndarray:
     """The bound vector of each trigram code: first letter rolled by two, second by one."""
     one = letters()
@@ -67,10 +72,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sums = letter_table(), {}
         for batch in batches:
-            for lang, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(0)), strict=True):
-                code, count = trigrams(text.decode("utf-8", "replace"), table)
-                if len(code):
-                    sums.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[code] += WEIGHT * count // count.sum()
+            for part, texts in slices(batch, as_bytes(batch.column(0))):
+                for lang, text in zip(part.column(1).to_pylist(), texts, strict=True):
+                    code, count = trigrams(text.decode("utf-8", "replace"), table)
+                    if len(code):
+                        sums.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[code] += WEIGHT * count // count.sum()
         for lang, s in sums.items():
             codes = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(s[codes])], names=["lang", "code", "weight"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,97 @@ def slices(batch: pa.RecordBatch, texts: list[bytes], most: int = 1 << 20) -> It
         yield batch.slice(start), texts[start:]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+#: The bytes of a word weigh by a random table and by powers of an odd number, modulo 2**64.
+_WEIGHTS = np.random.default_rng(97).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; a word of more bytes than LONG_WORD is hashed on its own.
+BLOCK, LONG_WORD = 1 << 20, 1 << 16
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Powers:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+
+    def __init__(self, base: int = _BASE) -> None:
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            made = []
+            for base in (self.base, pow(self.base, -1, 1 << 64)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                made.append(np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = made
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data`` and their first bytes' places."""
+    octets = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(octets) + 2, np.int8)
+    word[1:-1] = ~_SPACE[octets]
+    step = np.diff(word)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    up, down = _POWERS.get(len(octets) + 1)
+    sums = np.zeros(len(octets) + 1, np.uint64)
+    np.cumsum(_WEIGHTS[octets] * up[:-1], out=sums[1:])
+    found = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return found, starts
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words, in order: a word has one hash wherever it stands. Short texts are hashed together, a long
+    one in blocks that end at white space."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    held: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        found, starts = _hash_block(b" ".join(texts[i] for i in held))
+        begin = np.cumsum([0, *(len(texts[i]) + 1 for i in held)])
+        cut = np.searchsorted(starts, begin)
+        for i, a, b in zip(held, cut, cut[1:], strict=False):
+            out[i] = found[a:b]
+
+    for i, text in enumerate(texts):
+        if len(text) > BLOCK:
+            parts, at = [], 0
+            while at < len(text):
+                stop = _BREAK.search(text, min(len(text), at + BLOCK))
+                end = stop.start() if stop else len(text)
+                if end - at <= 4 * BLOCK:
+                    parts.append(_hash_block(text[at:end])[0])
+                else:  # a very long word, and others before it
+                    parts += [_hash_block(w)[0] if len(w) <= LONG_WORD else np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in text[at:end].split()]
+                at = end
+            out[i] = np.concatenate(parts)
+            continue
+        if held and size + len(text) > BLOCK:
+            flush()
+            held, size = [], 0
+        held.append(i)
+        size += len(text)
+    if held:
+        flush()
+    return out
+
+
 def checked(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow side of a join, broadcast if it has few enough rows."""
     return F.broadcast(df) if df.count() <= bound else df

@@ -33,11 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .jaccard_join import _WordHash
-from .shared import BROADCAST_ROWS, as_bytes, slices, small_batches, text_or_empty, written
+from .shared import BROADCAST_ROWS, Powers, as_bytes, drop, slices, small_batches, text_or_empty, word_hashes, written
 
 GRAM, CHUNK = 8, 1 << 20
-BASE = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A text, or the hashes of its words.
 Units = bytes | np.ndarray
@@ -61,24 +59,6 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            made = []
-            for base in (BASE, pow(BASE, -1, 1 << 64)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                made.append(np.cumprod(steps, dtype=np.uint64))
-            self.up, self.down = made
-        return self.up[:n], self.down[:n]
-
-
 class Text:
     """A stretch of bytes or words whose substrings have fingerprints: sums of mixed grams, each times a power of its offset.
     A gram is eight bytes or one word."""
@@ -106,8 +86,8 @@ class Shape:
         if self.off < 0 or length > 1000:
             raise ValueError("length: 16 to 1,000 bytes, or 2 to 1,000 words")
 
-    def units(self, texts: list[bytes], known: dict) -> list[Units]:
-        return [np.array([known[w] for w in t.split()], np.uint64) for t in texts] if self.words else texts
+    def units(self, texts: list[bytes]) -> list[Units]:
+        return word_hashes(texts) if self.words else texts
 
 
 def runs(text: Text, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,11 +166,11 @@ def _cores(keyed: DataFrame, shape: Shape) -> DataFrame:
     """A suffix for each run: leading bytes and fingerprint of its core, and fingerprint of all the run's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = Powers(), _WordHash()
+        powers = Powers()
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(1)), CHUNK):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
-                for data, bounds, number, shift in stretches(shape.units(texts, known), shape.length):
+                for data, bounds, number, shift in stretches(shape.units(texts), shape.length):
                     text = Text(data, powers)
                     anchor, first, last = runs(text, bounds, shape)
                     own = np.searchsorted(bounds[:, 0], first, "right") - 1
@@ -279,10 +259,10 @@ def _strings(joined: DataFrame, shape: Shape) -> DataFrame:
     """A suffix for each string of the runs that match in the core only, and of their witnesses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = Powers(), _WordHash()
+        powers = Powers()
         for batch in batches:
             for i, text in enumerate(as_bytes(batch.column(1))):
-                data = shape.units([text], known)[0]
+                data = shape.units([text])[0]
                 key, edges = batch.column(0)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
                 _, first, last = unpacked(np.unique(edges))
                 for a in range(0, len(data), CHUNK):
