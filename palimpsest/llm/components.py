@@ -17,10 +17,10 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    """Each larger neighbour of a node is linked to the smallest of the node and its neighbours. Links may repeat."""
     both = _both(edges)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").selectExpr("b as a", "m as b").where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").selectExpr("b as a", "m as b").where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -344,10 +344,13 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     stars, pivots = None, PIVOTS
     while True:
         found = _verified(docs, reps, pairs, k, pct)
-        edges = links.unionByName(found) if stars is None else stars.selectExpr("node as a", "component as b").unionByName(found)
-        then = components(edges)
-        drop(pairs, found, *([links] if stars is None else [stars]))
-        stars = then
+        if stars is None:
+            stars = components(links.unionByName(found))
+            drop(links)
+        elif not found.isEmpty():
+            was, stars = stars, components(stars.selectExpr("node as a", "component as b").unionByName(found))
+            drop(was)
+        drop(pairs, found)
         rows = _open_lists(lists, stars)
         drop(lists)
         if rows.isEmpty():
