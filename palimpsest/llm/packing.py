@@ -1,13 +1,15 @@
 """Packing of token pieces into sequences: best-fit decreasing, then swap-based local search.
 
 Pieces are dealt by a hash into groups of bounded size, which are packed independently. In a group, bins that are not
-full exchange one piece for one, two for one, or pass a piece on; every step raises the sum of squared fills, so
-the emptiest bins drain and vanish. What stays in underfull bins is dealt again into fewer groups, until one
-group is left: the whole corpus ends with the waste of a few bins, and no task holds more than one group.
+full exchange one piece for one, two for one, or pass one or two pieces on; every step raises the sum of squared fills, so
+the emptiest bins drain and vanish. The search ends where no step is left, or at the least number of bins. What stays in
+underfull bins is dealt again into fewer groups, until one group is left or a deal empties no bin: the whole corpus ends with
+the waste of a few bins, and no task holds more than one group.
 
 Defined results: a null or empty text is one piece with the end id only. Only documents longer than a sequence
 are cut. Rows that repeat a doc_id are packed as documents of their own (their piece rows are alike). A null doc_id
-is packed like any other. An empty table gives no rows.
+is packed like any other. Rows are dealt by their place in a written table, so that equal ones spread too. A text may be of any
+length; an empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, slices, small_batches, written
+from .shared import as_bytes, drop, slices, small_batches, written
 from .word_tokens import encoder_of, with_end
 
-#: Pieces in a group, and the most steps of the local search per group.
-GROUP, STEPS = 40_000, 3_000
-#: Bins that lack more than this share of the capacity are dealt again.
+#: Pieces in a group: what one task packs.
+GROUP = 10_000
+#: Of several groups, bins that lack no more than this share of the capacity are final; the others are dealt again.
 LOOSE = 0.005
 
 
@@ -77,50 +79,61 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int = STEPS) -> np.ndarray:
-    """Drains the emptiest bins by moves and exchanges; each step raises the sum of squared fills."""
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Drains the emptiest bins by moves and exchanges; each step raises the sum of squared fills. Of the emptiest bin's pieces, each
+    one and each two are tried; pieces of one size are alike, so a bin has few of them to try."""
     bins = bins.copy()
     least = -(-int(sizes.sum()) // capacity)
     fill = np.bincount(bins, sizes).astype(np.int64)
-    loose = np.flatnonzero(np.isin(bins, np.flatnonzero(fill < capacity)))
+    loose = np.flatnonzero(fill[bins] < capacity)
     size, at = sizes[loose].astype(np.int64), bins[loose].copy()
-    count, stuck = int((fill > 0).sum()), set()
-    while count > least and steps > 0:
-        live = np.flatnonzero((fill > 0) & (fill < capacity))
-        live = live[~np.isin(live, list(stuck))] if stuck else live
-        if len(live) < 2:
-            break
+    count, stuck, stepped = int((fill > 0).sum()), np.zeros(len(fill), bool), False
+    while count > least:
+        live = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(live):
+            if not stepped:
+                break
+            stuck[:], stepped = False, False  # steps may have made room for those that found none
+            continue
         a = int(live[np.argmin(fill[live])])
         mine = np.flatnonzero(at == a)
-        mine = mine[np.argsort(-size[mine])][:12]
-        best = None  # (gain, pieces that leave a, piece that comes or -1, other bin)
+        kinds, first, number = np.unique(size[mine], return_index=True, return_counts=True)
+        i, j = np.triu_indices(len(kinds))
+        pair = (i != j) | (number[i] > 1)
+        i, j = i[pair], j[pair]
+        out = np.r_[kinds, kinds[i] + kinds[j]]
+        order = np.argsort(out, kind="stable")
+        out = out[order]
         room = capacity - fill
         room[a] = -1
-        room[fill == 0] = -1
-        sets = [(int(size[i]), (int(i),)) for i in mine] + [(int(size[i] + size[j]), (int(i), int(j))) for x, i in enumerate(mine) for j in mine[x + 1 :]]
-        for total, out in sets:
-            enough = np.flatnonzero((room >= total) & (fill + total > fill[a]))
-            if len(enough):
-                b = int(enough[np.argmin(room[enough])])
-                gain, back = total, -1
-            else:
-                delta = total - size
-                good = np.flatnonzero((delta > 0) & (delta <= room[at]) & (at != a) & (fill[at] + delta > fill[a]))
-                if not len(good):
-                    continue
-                back = int(good[np.argmax(delta[good])])
-                b, gain = int(at[back]), int(delta[back])
-            if best is None or gain > best[0]:
-                best = (gain, out, back, b)
-        steps -= 1
-        if best is None:
-            stuck.add(a)
-            if len(stuck) > 20:
-                break
+        room[(fill == 0) | (fill >= capacity)] = -1
+        gain, back, b, chosen = 0, -1, -1, -1
+        others = np.flatnonzero(room > 0)
+        others = others[np.argsort(room[others], kind="stable")]
+        to = np.searchsorted(room[others], out)  # the fullest bin with room for each
+        fits = np.flatnonzero(to < len(others))
+        fits = fits[fill[others[to[fits]]] + out[fits] > fill[a]]
+        if len(fits):
+            chosen = int(fits[-1])
+            gain, b = int(out[chosen]), int(others[to[chosen]])
+        best = np.searchsorted(out, size + np.maximum(room[at], 0), "right") - 1
+        more = np.where((best >= 0) & (room[at] > 0), out[best] - size, 0)
+        more[fill[at] + more <= fill[a]] = 0
+        if len(more) and int(more.max()) > gain:
+            back = int(np.argmax(more))
+            gain, b, chosen = int(more[back]), int(at[back]), int(best[back])
+        if gain <= 0:
+            stuck[a] = True
             continue
-        stuck.clear()  # a step may have made room for those that found none
-        gain, out, back, b = best
-        at[list(out)] = b
+        stepped = True
+        kind = int(order[chosen])
+        if kind < len(kinds):
+            leave = [mine[first[kind]]]
+        else:
+            x, y = i[kind - len(kinds)], j[kind - len(kinds)]
+            same = mine[size[mine] == kinds[x]]
+            leave = [same[0], same[1] if x == y else mine[first[y]]]
+        at[leave] = b
         if back >= 0:
             at[back] = a
         fill[a] -= gain
@@ -134,6 +147,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return improve(sizes, best_fit(sizes, capacity), capacity)
 
 
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PLACED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, dealt long, turn int, sequence_id long, offset long, fill long"
 
 
@@ -153,29 +167,29 @@ def _packed(rows: DataFrame, groups: int, turn: int, capacity: int, kind: str) -
         group = int(frame["dealt"].iloc[0])
         return frame.assign(turn=turn, sequence_id=(turn << 58) | (group << 24) | bins, offset=offset, fill=np.bincount(bins, sizes).astype(np.int64)[bins])
 
-    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)))
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index", F.lit(turn))
+    dealt = rows.select(*PIECE, F.pmod(place, F.lit(groups)).alias("dealt"))
     return dealt.groupBy("dealt").applyInPandas(run, PLACED.format(kind=kind))
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, done, turn = written(pieces(docs, tokenizer, capacity), "pieces"), [], 0
+    rows, done, turn, before = written(pieces(docs, tokenizer, capacity), "pieces"), [], 0, None
     while True:
-        count = rows.count()
-        groups = max(1, -(-count // GROUP))
+        groups = max(1, -(-rows.count() // GROUP))
         placed = written(_packed(rows, groups, turn, capacity, kind), "packed")
-        if groups == 1:
+        if turn == 0:
+            drop(rows)
+        tight = F.col("fill") >= int(capacity * (1 - LOOSE))
+        loose = placed.where(~tight)
+        now = placed.select("sequence_id", "fill").distinct().agg(F.count(F.lit(1)).alias("all"), F.count_if(~tight).alias("loose")).first()
+        if groups == 1 or not now["loose"] or (before is not None and now["all"] >= before):
             done.append(placed)
             break
-        tight = F.col("fill") >= int(capacity * (1 - LOOSE))
         done.append(placed.where(tight))
-        left = placed.where(~tight)
-        if 2 * left.count() > count:  # nothing more to gain by dealing these again
-            done.append(left)
-            break
-        rows, turn = left.select("doc_id", "piece", "start", "length", "ids_crc32"), turn + 1
+        rows, before, turn = loose, now["loose"], turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(*PIECE, "sequence_id", "offset")
