@@ -111,7 +111,8 @@ q AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FR
 u AS (SELECT doc_id, span, min(s) AS s, max(e) AS e FROM q GROUP BY doc_id, span),
 f AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM u),
 z AS (SELECT f.doc_id, sum(e - s + 1)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - 1 - before)), '' ORDER BY s) || any_value(substr(h, 2 * (SELECT max(y.e) FROM u y WHERE y.doc_id = f.doc_id) + 1)) AS kept FROM f JOIN g USING (doc_id) GROUP BY f.doc_id)
-SELECT g.doc_id, g.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM g LEFT JOIN z USING (doc_id)""",
+SELECT g.doc_id, g.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+ decode(unhex(regexp_replace(coalesce(kept, h), '((?:[0-7].)|(?:(?:c[2-9a-f]|d.)[89ab].)|(?:e.[89ab].[89ab].)|(?:f[0-4][89ab].[89ab].[89ab].))|..', '\1', 'g'))) AS text FROM g LEFT JOIN z USING (doc_id)""",
     "op8_streaming_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
