@@ -25,6 +25,15 @@ def quality(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), failed
 
 
+def covered_chars(text: str | None) -> int:
+    """Code points of the words that lie in a repeat of five words or more."""
+    words = WORD.findall(text or "")
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(words) - 4):
+        places.setdefault(tuple(words[i : i + 5]), []).append(i)
+    return sum(len(words[j]) for j in {j for v in places.values() if len(v) > 1 for i in v for j in range(i, i + 5)})
+
+
 def longest_repeat(words: list[str]) -> int:
     """Length of the longest run of words that starts at two places."""
     best = 0
@@ -119,3 +128,107 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def languages(rows: list[tuple], vectors: np.ndarray, table: np.ndarray) -> dict[int, tuple]:
+    """held_out, language and score of each row, one trigram at a time; ``vectors`` of letters and the ``table`` of their symbols."""
+
+    def bundle(text: str | None) -> np.ndarray | None:
+        symbols = [0]
+        for c in (text or "").lower():
+            s = int(table[ord(c)])
+            if s or symbols[-1]:
+                symbols.append(s)
+        if not any(symbols):
+            return None
+        symbols += [0] if symbols[-1] else []
+        out, n = np.zeros(vectors.shape[1]), 0
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+            out += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c].astype(float)
+            n += 1
+        return out / max(n, 1)
+
+    made = {i: bundle(t) for i, t, _ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    names = sorted({lang for i, _, lang in rows if lang is not None and not held[i] and made[i] is not None})
+    prototypes = np.array([np.mean([made[i] for i, _, lang in rows if lang == name and not held[i] and made[i] is not None], axis=0) for name in names])
+    mean = prototypes.mean(axis=0) if len(names) > 1 else 0
+    out = {}
+    for i, _, _ in rows:
+        if made[i] is None or not names:
+            out[i] = (held[i], "und", 0.0)
+            continue
+        own = made[i] - mean
+        cosines = [(p - mean) @ own / np.linalg.norm(p - mean) / max(np.linalg.norm(own), 1e-12) for p in prototypes]
+        best = int(np.argmax(cosines))
+        out[i] = (held[i], names[best], min(1.0, max(0.0, (1 + cosines[best]) / 2)))
+    return out
+
+
+def weak_labels(rows: list[tuple[int, bytes]], order: dict[int, tuple], m) -> dict[int, tuple]:
+    """votes_good, votes_bad, posterior and score of each row; ``m`` has the labellers, features and constants. The estimation, the sample
+    and the training are written out here."""
+    import math
+
+    votes = {i: m.votes(m.statistics(t)) for i, t in rows}
+    weight = Counter(map(tuple, votes.values()))
+    total = sum(weight.values())
+    good = {v: 1 / (1 + math.exp(2.5 * v.count(-1) - 0.5 * v.count(1))) for v in weight}
+    for _ in range(100):
+        share = sum(weight[v] * good[v] for v in weight) / total
+        table = {}
+        for c in (0, 1):
+            for k in range(m.LABELLERS):
+                cells = [1e-4 + sum(weight[v] / total * (good[v] if c else 1 - good[v]) for v in weight if v[k] == x) for x in (-1, 0, 1)]
+                table[c, k] = [x / sum(cells) for x in cells]
+        then = {}
+        for v in weight:
+            log = [sum(math.log(table[c, k][v[k] + 1]) for k in range(m.LABELLERS)) + math.log(max(share if c else 1 - share, 1e-6)) for c in (0, 1)]
+            then[v] = 1 / (1 + math.exp(min(500, max(-500, log[0] - log[1]))))
+        done = max(abs(then[v] - good[v]) for v in good) < 1e-9
+        good = then
+        if done:
+            break
+    sample = sorted({order[i]: (t, good[tuple(votes[i])]) for i, t in rows}.items())[: m.SAMPLE]
+    labels = [y for _, (_, y) in sample]
+    share = min(max(sum(labels) / len(labels), 0.02), 0.98)
+    w, g = [0.0] * (m.DIMENSIONS + 1), [1e-3] * (m.DIMENSIONS + 1)
+
+    def features(t: bytes) -> list[tuple[int, float]]:
+        place, value = m.features(t, m.statistics(t))
+        return [*zip(place.tolist(), value.tolist(), strict=True), (m.DIMENSIONS, 1.0)]
+
+    made = [[(p, float(np.float32(x))) for p, x in features(t)] for _, (t, _) in sample]
+    for _ in range(m.PASSES):
+        for own, y in zip(made, labels, strict=True):
+            p = 1 / (1 + math.exp(-min(30, max(-30, sum(w[i] * x for i, x in own)))))
+            steps = [(i, (p - y) * x * (0.5 * y / share + 0.5 * (1 - y) / (1 - share))) for i, x in own]
+            for i, s in steps:
+                g[i] += s * s
+            for i, s in steps:
+                w[i] -= m.RATE * s / math.sqrt(g[i])
+    out = {}
+    for i, t in rows:
+        z = sum(w[k] * x for k, x in features(t))
+        out[i] = (votes[i].count(1), votes[i].count(-1), good[tuple(votes[i])], 1 / (1 + math.exp(-min(30, max(-30, z)))))
+    return out
+
+
+def cleaned(rows: list[tuple[int, str | None]], length: int, words: int) -> dict[int, str]:
+    """The texts without strings of ``length`` bytes and runs of ``words`` words that start at two places or more."""
+    data = {i: (t or "").encode() for i, t in rows}
+    grams = Counter(b[s : s + length] for b in data.values() for s in range(len(b) - length + 1))
+    places = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for i, b in data.items()}
+    run = lambda i, s: tuple(data[i][a:z] for a, z in places[i][s : s + words])
+    runs = Counter(run(i, s) for i in data for s in range(len(places[i]) - words + 1))
+    out = {}
+    for i, b in data.items():
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if grams[b[s : s + length]] > 1:
+                gone[s : s + length] = True
+        for s in range(len(places[i]) - words + 1):
+            if runs[run(i, s)] > 1:
+                gone[places[i][s][0] : places[i][s + words - 1][1]] = True
+        out[i] = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
+    return out

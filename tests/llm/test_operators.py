@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm import components, exact_dedup, jaccard_join, language_id, packing, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
+from palimpsest.llm import components, exact_dedup, jaccard_join, language_id, packing, piece_tokens, plane_store, quality_repeats, shared, suffix_dedup, warc_archive, weak_labels
 from palimpsest.llm.queries import QUERIES, vocabulary
 
 WORDS, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -38,18 +38,21 @@ def test_quality_rules(table):
     texts = dict(pairs(table))
     for r in got:
         if r["n_words"] < 400:
-            assert r["longest_repeat"] == max(brute.longest_repeat(brute.WORD.findall(texts[r["doc_id"]] or "")), 0) or r["longest_repeat"] == 0
+            longest = brute.longest_repeat(brute.WORD.findall(texts[r["doc_id"]] or ""))
+            assert r["longest_repeat"] == (longest if longest >= limits.window else 0)
+        assert r["covered_chars"] == brute.covered_chars(texts[r["doc_id"]])
         fine = 100 * r["covered_chars"] <= limits.covered_chars_pct * r["word_chars"] and r["longest_repeat"] <= limits.longest_repeat
         assert r["kept"] == (not r["base_failed"] and fine)
     kept = quality_repeats.clean(table)
     assert kept.schema == table.schema and kept.count() == sum(r["kept"] for r in got)
 
 
+@pytest.mark.parametrize("kept_ranks", [0, 1 << 20])
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=40))
-def test_longest_repeats(symbols):
+@given(symbols=st.lists(st.integers(0, 3), max_size=40))
+def test_longest_repeats(kept_ranks, symbols):
     s = np.array(symbols, np.int64)
-    got = quality_repeats.longest_repeats(s)
+    got = quality_repeats.longest_repeats(s, kept_ranks)
     for i in range(len(s)):
         want = 0
         for j in range(len(s)):
@@ -60,6 +63,19 @@ def test_longest_repeats(symbols):
         assert got[i] == want
 
 
+def test_quality_of_a_very_long_text():
+    """Three million words, mostly one passage over and over: within half a gigabyte, and by the walk."""
+    import tracemalloc
+
+    text = b"a b c d e f g h " * 190_000 + b" ".join(b"w%d" % i for i in range(10_000))
+    tracemalloc.start()
+    got = quality_repeats.measure([text], quality_repeats.Limits())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0][0] == 1_530_000 and got[4][0] == 1_520_000 and got[6][0] == 1_520_000 - 8 and not got[8][0]
+    assert peak < 500e6
+
+
 # --- 2 ---
 
 
@@ -152,6 +168,22 @@ def test_language_held_out_accuracy(spark):
     assert len(got) > 250 and sum(a == b for a, b in got) / len(got) > 0.97
 
 
+def test_language_like_plain(spark, docs):
+    """Trigrams, bundles and cosines counted one by one in Python give the same languages and scores."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = brute.languages(rows, language_id.letters(), language_id.letter_table())
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
+    assert {i: g[:2] for i, g in got.items()} == {i: w[:2] for i, w in want.items()}
+    assert all(abs(got[i][2] - w[2]) < 1e-3 for i, w in want.items())
+
+
+def test_letters_of_all_scripts(spark):
+    rows = [(1, "\U00030000\U00030001 \U00030002"), (2, "12 34"), (3, None)]
+    names, prototypes = ["xx"], np.ones((1, language_id.DIMENSIONS))
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), names, prototypes).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "xx", 2: "und", 3: "und"}
+
+
 def test_binding_is_by_place():
     v, k = language_id.trigram_vectors(), language_id.SYMBOLS
     one, two = v[(1 * k + 2) * k + 3].astype(int), v[(3 * k + 2) * k + 1].astype(int)
@@ -301,6 +333,17 @@ def test_weak_labels_table(table):
     assert all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 for r in got)
 
 
+def test_weak_labels_like_plain(spark, docs):
+    """The votes counted, EM, the sample, the scorer's steps and the scores, each as a plain loop."""
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    order = {r["doc_id"]: (r["h"], r["t"]) for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h", "xxhash64(text) as t").collect()}
+    want = brute.weak_labels(rows, order, weak_labels)
+    got = {r["doc_id"]: r for r in weak_labels.classify(docs).collect()}
+    for i, (good, bad, posterior, score) in want.items():
+        assert (got[i]["votes_good"], got[i]["votes_bad"]) == (good, bad)
+        assert abs(got[i]["posterior"] - posterior) < 1e-6 and abs(got[i]["score"] - score) < 1e-4 and got[i]["kept"] == (got[i]["score"] >= 0.5)
+
+
 def test_weak_labels_against_labels(spark):
     """No label was used: clean documents stay, and most junk goes."""
     folder = "/root/testdata/sf0.01"
@@ -334,9 +377,27 @@ def test_exact_dedup_resumes(spark, tmp_path):
     folder = f"file://{tmp_path}/state"
     rows = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id bigint, text string")
     exact_dedup.dedup(rows, folder)
-    log = exact_dedup.digest_log(spark.createDataFrame([(3, "a  b"), (7, "d")], "doc_id bigint, text string"), f"{folder}/log")
-    state = exact_dedup.keyed_state(spark, f"{folder}/log", log.schema, f"{folder}/checkpoint", f"{folder}/state").collect()
-    assert sorted((r["keep_id"], r["group_size"]) for r in state) == [(3, 2), (6, 1), (7, 1)]
+    got = exact_dedup.dedup(spark.createDataFrame([(3, "a  b"), (7, "d"), (8, "c")], "doc_id bigint, text string"), folder).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(3, 3, 2, True), (7, 7, 1, True), (8, 6, 2, False)]
+
+
+def test_exact_dedup_compares_with_earlier_calls(spark, tmp_path, monkeypatch):
+    """A digest that collides with that of a text of an earlier call: the bytes of that text are fetched and compared."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda c: F.unhex(F.lpad(F.hex(F.length(c)), 8, "0")))
+    folder = f"file://{tmp_path}/state"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    exact_dedup.dedup(table([(1, "aa"), (2, "ccc")]), folder)
+    got = exact_dedup.dedup(table([(3, "bb"), (4, "aa"), (None, "ccc"), (5, "bb"), (5, "bb")]), folder).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == Counter([(3, 3, 3, True), (4, 1, 2, False), (None, 2, 2, False), (5, 3, 3, False), (5, 3, 3, False)])
+
+
+def test_exact_dedup_spreads_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SPREAD", 3)
+    rows = [(i, "same  text" if i % 2 else f"own {i}") for i in range(60)]
+    got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum(r["kept"] for r in got) == 31 and all(r["group_size"] == (30 if r["doc_id"] % 2 else 1) for r in got)
 
 
 def test_exact_dedup_checks_bytes(spark, monkeypatch):
@@ -361,7 +422,7 @@ def test_warc(spark, tmp_path):
     digest = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     want = Counter((i, len((h or "").encode()), digest(h), "revisit" if h == big and i != 6 else "response", 6 if h == big and i != 6 else None) for i, _, h in rows)
     assert Counter(map(tuple, got)) == want
-    assert spark.read.parquet(f"{path}/payloads").distinct().count() == 4
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
     records = {r["page_id"]: bytes(r["record"]) for r in warc_archive.records(spark, path).collect()}
     for i, _, h in rows:
         record = records[i]
@@ -372,6 +433,17 @@ def test_warc(spark, tmp_path):
         assert body == (b"" if h == big and i != 6 else (h or "").encode())
 
 
+def test_warc_spreads_a_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc_archive, "SPREAD", 3)
+    rows = [(i, "u", "same" if i % 3 else None) for i in range(40)]
+    got = warc_archive.archived(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, 4 if i % 3 else 0) for i in range(40)]
+
+
+def test_warc_of_no_pages(spark):
+    assert warc_archive.archived(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
 def test_warc_refuses_other_bytes(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc_archive.write(spark.createDataFrame([(1, "u", "a" * 2000)], "page_id bigint, url string, html string"), path)
@@ -406,13 +478,48 @@ def vocabulary_pieces():
 def test_agenda_like_library(vocabulary_pieces, text):
     p = vocabulary_pieces
     want = p.library.encode(text)
-    assert p.encode([text])[0] == want
+    own = p.encode([text])[0]
+    assert [i for c in own for i in c.ids] == want
+    assert b"".join(c.text for c in own)[1:].decode() == p.library.decode(want)
     if text:
         assert list(p.merge_heap(piece_tokens.SPACE + text.replace(" ", piece_tokens.SPACE))) == want
 
 
+def test_pieces_of_long_segments(vocabulary_pieces):
+    """Segments that can't be cut at spaces: long runs of one letter, of one word, of random letters, and other scripts."""
+    p, rng = vocabulary_pieces, np.random.default_rng(4)
+    for text in ("a" * 5000, "the" * 2000, "".join(rng.choice(list("abcdefghij"), 3000)), "\u65e5\u672c\u8a9e" * 500, "".join(map(chr, rng.integers(32, 0x2FFF, 3000)))):
+        assert [i for c in p.encode([text])[0] for i in c.ids] == p.library.encode(text)
+        assert list(p.merge_heap(piece_tokens.SPACE + text.replace(" ", piece_tokens.SPACE))) == p.library.encode(text)
+
+
 # --- all ---
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=12), st.integers(1, 30))
+def test_word_hashes(texts, block):
+    """A word has one hash wherever it stands, in one block or many; words that differ have others."""
+    before = shared.BLOCK
+    shared.BLOCK = block
+    try:
+        got = shared.word_hashes(texts)
+    finally:
+        shared.BLOCK = before
+    known: dict = {}
+    for text, hashes in zip(texts, got, strict=True):
+        assert len(hashes) == len(text.split())
+        for word, h in zip(text.split(), hashes.tolist(), strict=True):
+            assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+def test_bloom_filter(spark):
+    rows = spark.range(2000).selectExpr("xxhash64(id) as h")
+    bits = shared.bloom(rows, 2000)
+    keys = np.array([r["h"] for r in rows.collect()], np.int64)
+    assert shared.may_hold(bits, keys).all() and shared.may_hold(bits, keys + 1).mean() < 0.05
+
+
 def test_names():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
