@@ -112,37 +112,54 @@ def pushed_height(script: Column) -> Column:
     return F.when(F.length(script) < 2, F.lit(None).cast("bigint")).when(first == 0, F.lit(0).cast("bigint")).when((first >= 0x51) & (first <= 0x60), (first - 0x50).cast("bigint")).otherwise(pushed)
 
 
+def find(script: Column, needle: Column) -> Column:
+    """The byte offset at which ``needle`` first begins, -1 if it doesn't occur. On borders of bytes only, as on hex digits it could
+    match between two bytes. The first match of a regular expression is the leftmost, and the lazy group makes it so on bytes."""
+    pattern = F.concat(F.lit("^((?:..)*?)"), needle)
+    before = F.call_function("regexp_extract", script, pattern, F.lit(1))
+    return F.when(F.call_function("regexp_like", script, pattern), (F.length(before) / 2).cast("int")).when(script.isNotNull(), F.lit(-1))
+
+
 MARKER = "fabe6d6d"
 
 
 def marker(script: Column) -> Column:
-    """The merge-mining marker: byte offset, root, size, nonce; status present, truncated or absent.
-
-    The search is on borders of bytes, as on hex digits it could match between two bytes."""
-    before = F.regexp_extract(script, f"^((?:[0-9a-f]{{2}})*?){MARKER}", 1)
-    at = F.when(script.rlike(f"^(?:[0-9a-f]{{2}})*?{MARKER}"), F.length(before) / 2 + 1).otherwise(0).cast("int")
-    body = F.substring(script, at * 2 + 7, F.lit(80))
-    whole = (at > 0) & (F.length(body) == 80)
+    """The merge-mining marker: byte offset, root, size, nonce; status present, truncated or absent."""
+    at = find(script, F.lit(MARKER))
+    body = F.substring(script, at * 2 + 9, F.lit(80))
+    whole = (at >= 0) & (F.length(body) == 80)
     field = lambda start, size: F.substring(body, 2 * start + 1, 2 * size)
     return F.struct(
-        F.when(whole, "present").when(at > 0, "truncated").otherwise("absent").alias("status"),
-        F.when(whole, at - 1).alias("offset"),
+        F.when(whole, "present").when(at >= 0, "truncated").otherwise("absent").alias("status"),
+        F.when(whole, at).alias("offset"),
         F.when(whole, field(0, 32)).alias("root"),
         F.when(whole, le_int(field(32, 4), 4)).alias("size"),
         F.when(whole, le_int(field(36, 4), 4)).alias("nonce"),
     )
 
 
+HATHOR = b"Hath".hex()
+
+
+def script_extras(script: Column, marker_offset: Column) -> Column:
+    """Markers in a script beside the merge-mining one: an array of structs (class, name, offset, payload), empty if there is none."""
+    at = find(script, F.lit(HATHOR))
+    payload = F.substring(script, at * 2 + 9, F.lit(64))
+    hit = (at >= 0) & (F.length(payload) == 64) & (marker_offset.isNull() | (at != marker_offset))
+    found = F.struct(F.lit("mm_scriptsig").alias("class"), F.lit("hathor_scriptsig").alias("name"), at.alias("offset"), payload.alias("payload_hex"))
+    return F.when(hit, F.array(found)).otherwise(F.array().cast("array<struct<class:string,name:string,offset:int,payload_hex:string>>"))
+
+
 def op_return_payload(script: Column) -> Column:
-    """The first push after OP_RETURN as hex: empty for a bare one, null if not OP_RETURN or cut short."""
+    """The first push after OP_RETURN as hex: empty for a bare one or another opcode, null if not OP_RETURN or cut short."""
     code = F.substring(script, 3, 2)
     n = F.conv(F.nullif(code, F.lit("")), 16, 10).cast("int")
-    le = lambda size: F.conv(rev(F.substring(script, 5, 2 * size), size), 16, 10).cast("int")
-    size = F.when(n <= 75, n).when(n == 76, le(1)).when(n == 77, le(2))
-    start = F.when(n <= 75, 5).when(n == 76, 7).when(n == 77, 9)
-    body = F.substring(script, start, size * 2)
+    le = lambda size: F.when(F.length(script) >= 4 + 2 * size, F.conv(rev(F.substring(script, 5, 2 * size), size), 16, 10).cast("bigint"))
+    size = F.when(n.between(1, 75), n.cast("bigint")).when(n == 76, le(1)).when(n == 77, le(2)).when(n == 78, le(4))
+    start = F.when(n <= 75, 5).when(n == 76, 7).when(n == 77, 9).otherwise(13)
+    body = F.substr(script, start, F.least(size * 2, F.lit(2**31 - 1)).cast("int"))
     cut = F.when(F.length(body) == size * 2, body)
-    return F.when(F.substring(script, 1, 2) == "6a", F.when(F.length(script) == 2, F.lit("")).otherwise(cut))
+    return F.when((F.substring(script, 1, 2) == "6a") & (F.length(script) >= 4), F.when(size.isNull(), F.lit("")).otherwise(cut))
 
 
 MULTIPLIER, INCREMENT, MASK32 = 1103515245, 12345, 0xFFFFFFFF

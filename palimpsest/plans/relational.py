@@ -21,16 +21,17 @@ col = F.col
 _VERSION = """CASE WHEN height >= 388381 AND version < 4 THEN 'REJECTED: version ' || version || ' below 4' WHEN height >= 363725 AND height < 388381 AND version < 3 THEN 'REJECTED: version ' || version || ' below 3'
  WHEN height >= 227931 AND height < 363725 AND version < 2 THEN 'REJECTED: version ' || version || ' below 2' END"""
 _LENGTH = "CASE WHEN script = '' THEN 'UNKNOWN: missing script' WHEN length(script) // 2 NOT BETWEEN 2 AND 100 THEN 'REJECTED: script length ' || (length(script) // 2) END"
-_PUSHED = "CASE id % 6 WHEN 1 THEN height WHEN 2 THEN height + 1 WHEN 3 THEN height END"
-_NUMBER = "CASE WHEN id % 9 = 2 THEN height + 5 WHEN id % 9 > 2 THEN height END"
 
 
-def _push_sql(declared: bool) -> str:
+def _push_sql(declared: bool, own: str = "height") -> str:
+    """The height push at ``height``, for scripts and declarations that were made for the height ``own``."""
+    pushed = f"CASE id % 6 WHEN 1 THEN {own} WHEN 2 THEN {own} + 1 WHEN 3 THEN {own} END"
+    number = f"CASE WHEN id % 9 = 2 THEN {own} + 5 WHEN id % 9 > 2 THEN {own} END"
     told = """WHEN declared <> '' AND id % 9 = 1 THEN 'REJECTED: malformed declared height'""" if declared else ""
-    agree = f"WHEN declared <> '' AND ({_PUSHED}) IS NOT NULL AND ({_NUMBER}) <> ({_PUSHED}) THEN 'REJECTED: declared height ' || ({_NUMBER}) || ' disagrees with push ' || ({_PUSHED})" if declared else ""
+    agree = f"WHEN declared <> '' AND ({pushed}) IS NOT NULL AND ({number}) <> ({pushed}) THEN 'REJECTED: declared height ' || ({number}) || ' disagrees with push ' || ({pushed})" if declared else ""
     return f"""CASE WHEN height < 224413 THEN NULL WHEN height >= 227931 AND version < 2 THEN 'REJECTED: version ' || version || ' below 2' WHEN height < 227931 AND version < 2 THEN NULL
  {told} WHEN script = '' THEN 'REJECTED: missing script for height'
- WHEN id % 6 NOT IN (1, 3) THEN coalesce('REJECTED: height push mismatch (got ' || ({_PUSHED}) || ', expected ' || height || ')', 'REJECTED: missing height push') {agree} END"""
+ WHEN ({pushed}) IS DISTINCT FROM height THEN coalesce('REJECTED: height push mismatch (got ' || ({pushed}) || ', expected ' || height || ')', 'REJECTED: missing height push') {agree} END"""
 
 
 _TIME = "CASE WHEN mtp IS NOT NULL AND t <= mtp THEN 'REJECTED: time ' || t || ' not above ' || mtp END"
@@ -88,11 +89,17 @@ def f07_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RETARGET = "(height % 2016 = 0 AND bits <> eb AND bits = pb)"
-_RULES = f"""list_filter([CASE WHEN {_RETARGET} THEN 'nbits_retarget_not_applied' END, CASE WHEN mtp IS NOT NULL AND t <= mtp THEN 'time_below_mtp' END,
+
+
+def _rules_sql(retarget: str = _RETARGET, own: str = "height") -> str:
+    return f"""list_filter([CASE WHEN {retarget} THEN 'nbits_retarget_not_applied' END, CASE WHEN mtp IS NOT NULL AND t <= mtp THEN 'time_below_mtp' END,
  CASE WHEN ({_VERSION}) IS NOT NULL THEN CASE WHEN height >= 388381 THEN 'bip65_block_version_below_4' WHEN height >= 363725 THEN 'bip66_block_version_below_3' ELSE 'bip34_block_version_below_2' END END,
  CASE WHEN length(script) > 200 THEN 'coinbase_scriptsig_length_above_100' WHEN length(script) = 2 THEN 'coinbase_scriptsig_length_below_2' END,
- CASE WHEN ({_VERSION}) IS NULL AND ({_push_sql(False)}) LIKE 'REJECTED: height push mismatch%' THEN CASE WHEN height < 227931 THEN 'bip34_v2_coinbase_height_mismatch' ELSE 'bip34_coinbase_height_mismatch' END
-  WHEN ({_VERSION}) IS NULL AND ({_push_sql(False)}) LIKE 'REJECTED: missing height push%' THEN CASE WHEN height < 227931 THEN 'bip34_v2_coinbase_height_missing' ELSE 'bip34_coinbase_height_missing' END END], lambda r: r IS NOT NULL)"""
+ CASE WHEN ({_VERSION}) IS NULL AND ({_push_sql(False, own)}) LIKE 'REJECTED: height push mismatch%' THEN CASE WHEN height < 227931 THEN 'bip34_v2_coinbase_height_mismatch' ELSE 'bip34_coinbase_height_mismatch' END
+  WHEN ({_VERSION}) IS NULL AND ({_push_sql(False, own)}) LIKE 'REJECTED: missing height push%' THEN CASE WHEN height < 227931 THEN 'bip34_v2_coinbase_height_missing' ELSE 'bip34_coinbase_height_missing' END END], lambda r: r IS NOT NULL)"""
+
+
+_RULES = _rules_sql()
 _EPOCH_JOIN = "h LEFT JOIN p USING (prev) LEFT JOIN (SELECT height AS eh, bits AS eb FROM e) ON eh = height - height % 2016 LEFT JOIN (SELECT height AS ph, bits AS pb FROM e) ON ph = height - height % 2016 - 2016"
 
 
@@ -540,38 +547,6 @@ def t06_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers(spark, sf_dir).select("chain", "id", F.row_number().over(w).alias("n")).where("n <= 10").select("chain", "id")
 
 
-_CLASS = f"""r AS (SELECT h.*, parent_height, parent_confirmations, mtp, expected, m.hash IS NOT NULL AS main,
- hash <= CASE h.bits WHEN '207fffff' THEN '7fffff' || repeat('0', 58) WHEN '1f7fffff' THEN '007fffff' || repeat('0', 56) ELSE '00000000ffff' || repeat('0', 52) END AS meets
- FROM h LEFT JOIN p USING (prev) LEFT JOIN x ON x.height = h.height LEFT JOIN (SELECT hash FROM c WHERE confirmations > 0) m USING (hash)),
-k AS (SELECT chain, CASE WHEN main THEN 'canonical' WHEN parent_height IS NOT NULL AND parent_confirmations > 0 THEN 'stale' ELSE 'unknown' END AS classification,
- CASE WHEN main OR parent_height IS NULL OR parent_confirmations <= 0 THEN NULL ELSE coalesce({_TIME}, {_VERSION}, {_LENGTH}, {_push_sql(True)}, 'VALID') END AS status FROM r WHERE meets)"""
-
-
-def classified(h: DataFrame) -> DataFrame:
-    """Own proof of work, then the canonical lookup, then the parent lookup and the context gates."""
-    worked = h.where(X.meets(col("hash"), X.target(col("bits"))))
-    main = canonical(h).where("confirmations > 0").select("hash", F.lit(True).alias("main"))
-    joined = worked.join(main, "hash", "left").join(_parents(h), "prev", "left")
-    placed = col("parent_height").isNotNull() & (col("parent_confirmations") > 0)
-    kind = F.when(col("main"), "canonical").when(placed, "stale").otherwise("unknown")
-    context = G.first_failure(col("height"), col("header_hex"), col("t"), col("mtp"), col("declared"), col("script"))
-    return joined.withColumn("classification", kind).withColumn("status", F.when(col("classification") == "stale", F.coalesce(context, F.lit("VALID"))))
-
-
-@query(with_h("SELECT chain, classification, split_part(status, ':', 1) AS verdict, count(*) AS n FROM k GROUP BY ALL", C, _PARENT, _BITS_AT, _CLASS))
-def p01_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three-phase classifier, counted by chain, class and verdict."""
-    return classified(headers(spark, sf_dir)).groupBy("chain", "classification", F.split_part("status", F.lit(":"), F.lit(1)).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(with_h(f"SELECT id, array_to_string({_RULES}, '|') AS derived, CASE WHEN id % 11 = 0 THEN 'time_below_mtp' ELSE array_to_string({_RULES}, '|') END = array_to_string({_RULES}, '|') AS proven FROM {_EPOCH_JOIN} WHERE len({_RULES}) > 0", C, _PARENT, E))
-def p09_error_block_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every claimed rule is derived again from the bytes; every 11th row claims a wrong one."""
-    r = _rules(headers(spark, sf_dir)).where(F.size("rules") > 0).withColumn("derived", F.array_join("rules", "|"))
-    claimed = F.when(col("id") % 11 == 0, G.MTP).otherwise(col("derived"))
-    return r.select("id", "derived", (claimed == col("derived")).alias("proven"))
-
-
 @query(with_h("SELECT chain, count(*) AS keys, count_if(NOT up) AS isolated, count_if(NOT up AND first_seen IS NULL) AS cumulative FROM (SELECT k.chain, k.key, u.key IS NOT NULL AS up, min_by(o.chain, o.birth_rank) AS first_seen FROM k LEFT JOIN u ON u.key = k.key LEFT JOIN k o ON o.key = k.key AND o.birth_rank < k.birth_rank GROUP BY ALL) GROUP BY chain", _CLAIMS))
 def p13_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = j10_novelty(spark, sf_dir)

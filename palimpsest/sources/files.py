@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 POINTER = "version https://git-lfs.github.com/spec/v1"
 
@@ -48,16 +50,33 @@ def read_json_map(spark: SparkSession, path: str | list[str], key: Column | None
 FRAMES = "path string, number int, offset long, block binary"
 
 
+def masked(data: bytes, mask: bytes) -> bytes:
+    """``data`` XORed with ``mask`` over and over from offset 0; twice gives ``data`` again."""
+    pad = np.resize(np.frombuffer(mask, np.uint8), len(data)) if data else np.zeros(0, np.uint8)
+    return (np.frombuffer(data, np.uint8) ^ pad).tobytes()
+
+
+def unmasked(content: str, mask: bytes) -> Column:
+    return pandas_udf(lambda s: s.map(lambda x: None if x is None else masked(bytes(x), mask)), T.BinaryType())(content)
+
+
+#: A frame's size must lie from that of a header and a transaction count up to this.
+LEAST_BLOCK, MOST_BLOCK = 1, 8_000_000
+
+
 def split_frames(data: bytes, magic: bytes, mask: bytes = b"") -> Iterator[tuple[int, bytes]]:
-    """(offset, payload) of frames: magic, little-endian size, payload. Noise is skipped up to the next magic; a frame
-    that is cut short ends the file. ``mask`` is XORed cyclically from offset 0."""
+    """(offset, payload) of frames: magic, little-endian size, payload. Noise is skipped up to the next magic. A frame
+    that is cut short by the end of the file ends it, as a file may still be written; a size out of range is an error."""
     if mask:
-        pad = (mask * (len(data) // len(mask) + 1))[: len(data)]
-        data = (int.from_bytes(data, "big") ^ int.from_bytes(pad, "big")).to_bytes(len(data), "big")
+        data = masked(data, mask)
     at = data.find(magic)
     while at >= 0:
         start = at + len(magic) + 4
+        if start > len(data):
+            return
         size = int.from_bytes(data[start - 4 : start], "little")
+        if not LEAST_BLOCK <= size <= MOST_BLOCK:
+            raise ValueError(f"the frame at {at} has a size of {size}")
         if start + size > len(data):
             return
         yield at, data[start : start + size]
@@ -79,3 +98,40 @@ def frames(files: DataFrame, magic: bytes, mask: bytes = b"") -> DataFrame:
 def best_source(catalogue: DataFrame) -> DataFrame:
     """Of each chain's sources (chain, precedence, path) the one that comes first."""
     return catalogue.groupBy("chain").agg(F.min_by("path", "precedence").alias("path"), F.min("precedence").alias("precedence"))
+
+
+def authenticated(read: DataFrame, index: DataFrame, failures: DataFrame) -> DataFrame:
+    """``index`` (height, txid, ...) with the state of each height: read, or a documented failure. A height that is read but not in
+    the index, missing without a document, or read with another txid fails the query."""
+    fail = lambda text: F.raise_error(F.lit(text)).cast("string")
+    r = read.select("height", F.col("txid").alias("_read"))
+    f = failures.select("height", F.lit(True).alias("_failed")).distinct()
+    joined = index.withColumn("_known", F.lit(True)).join(r, "height", "full_outer").join(f, "height", "full_outer")
+    state = (
+        F.when(F.col("_known").isNull(), fail("a height isn't in the index"))
+        .when(F.col("_read").isNotNull() & F.col("_failed"), fail("a height is read and documented as missing"))
+        .when(F.col("_read").isNotNull() & (F.col("_read") != F.col("txid")), fail("a file has another txid than the index"))
+        .when(F.col("_read").isNotNull(), F.lit("read"))
+        .when(F.col("_failed"), F.lit("documented failure"))
+        .otherwise(fail("a height is missing"))
+    )
+    return joined.withColumn("state", state).drop("_read", "_failed", "_known")
+
+
+def refreshed_epochs(kept: DataFrame, source: DataFrame, tip: int, confirmations: int = 6, interval: int = 2016) -> DataFrame:
+    """(height, bits, hash, fetched): ``kept`` and the starts of later epochs that ``source`` has, up to ``confirmations`` under the tip."""
+    last = kept.agg(F.max("height").alias("height"), F.max_by("hash", "height").alias("kept_hash"))
+    wrong = last.join(source, "height").where("kept_hash <> hash")
+    if not wrong.isEmpty():
+        raise ValueError("the last kept epoch is no longer on the chain")
+    starts = source.where((F.col("height") % interval == 0) & (F.col("height") <= tip - confirmations))
+    fresh = starts.join(kept.select("height"), "height", "left_anti").withColumn("fetched", F.lit(True))
+    return kept.withColumn("fetched", F.lit(False)).unionByName(fresh)
+
+
+def builder_rows(rows: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the array of their ``chains``: at least one, all different, each with a known prefix; else the read fails."""
+    chains = F.split("source_chains", "\\|")
+    known = F.forall(chains, lambda c: F.array_contains(F.transform(F.array(*map(F.lit, prefixes)), lambda p: c.startswith(p)), True))
+    good = (F.size(chains) > 0) & (F.size(F.array_distinct(chains)) == F.size(chains)) & known
+    return rows.withColumn("chains", F.when(good, chains).otherwise(F.raise_error(F.lit("a row's chains are malformed")).cast("array<string>")))

@@ -14,7 +14,7 @@ def project(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def distinct_destinations(paths: list[str]) -> None:
-    if len(set(paths)) < len(paths):
+    if len({p.rstrip("/") for p in paths}) < len(paths):
         raise ValueError("two outputs have one destination")
 
 
@@ -54,3 +54,24 @@ def publish(df: DataFrame, staging: str, final: str) -> None:
             fs.rename(old, target)
         raise OSError(f"could not publish {final}")
     fs.delete(old, True)
+
+
+MANUAL = "<!-- manual -->"
+
+
+def report_lines(table: DataFrame, columns: list[str], prior: str = "") -> DataFrame:
+    """(line): the rows of a small summary as a table in Markdown, and the part of the report before that was written by hand."""
+    head = "| " + " | ".join(columns) + " |"
+    cell = lambda c: F.col(c).cast("string")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    kept = [x for x in prior.partition(MANUAL)[2].split("\n") if x]
+    fixed = table.sparkSession.createDataFrame([(x,) for x in (head, *kept)], "line string")
+    return fixed.unionByName(table.select(row.alias("line")))
+
+
+def write_complete_or_partial(rows: DataFrame, path: str) -> None:
+    """Chains whose rows are all verified go to ``path``; the others, whole, to its sibling for partial runs."""
+    open_chains = rows.groupBy("chain").agg((F.count_if(F.col("verification") == "") > 0).alias("open"))
+    told = rows.join(F.broadcast(open_chains), "chain")
+    told.where("not open").drop("open").write.parquet(path)
+    told.where("open").drop("open").write.parquet(path + ".partial")
