@@ -45,7 +45,7 @@ def _siblings(tag: str, n: Column) -> Column:
 
 
 def _counted(hashes: Column) -> Column:
-    return F.concat(F.lpad(F.size(hashes).cast("string"), 2, "0"), F.array_join(hashes, ""))
+    return F.concat(F.lpad(F.lower(F.hex(F.size(hashes))), 2, "0"), F.array_join(hashes, ""))
 
 
 def _proof(tx: Column, branch: Column, position: Column, chain: Column, chain_position: Column, header: Column) -> Column:
