@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -26,7 +27,7 @@ def _letters(word: bytes) -> bool:
 class Encoder:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,12 +80,12 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # the tokenizer ignores case, but for the text of its special tokens
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        found = [list(map(self.known.get, w)) for w in words]
-        self._learn({w for own, ids in zip(words, found, strict=True) if None in ids for w, x in zip(own, ids, strict=True) if x is None})
-        get = self.known.__getitem__
-        return [b"".join(map(get, own) if None in ids else ids) for own, ids in zip(words, found, strict=True)]
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        self._learn({w for w in set(chain.from_iterable(words)) if w not in known})
+        get = known.__getitem__
+        return [b"".join(map(get, own)) for own in words]
 
 
 @cache
