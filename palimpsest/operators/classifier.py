@@ -67,9 +67,9 @@ def routed(rows: DataFrame) -> DataFrame:
 
 
 def classified(rows: DataFrame, canonical: DataFrame, expected: DataFrame, order: str = "id", coinbase_rules: bool = True, refuse_unknown: bool = False) -> DataFrame:
-    """All phases. What has its own work is written between validation and routing, as the gates' expressions are long and routing names
-    the status often. ``refuse_unknown``: a stale row whose validation is UNKNOWN fails the run, so that it replaces no output."""
-    out = routed(written(validated(placed(worked(rows, order), canonical), expected, coinbase_rules), "validated"))
+    """All phases. Candidates that have their own work, few of all, are written after placement and after validation, as the gates'
+    expressions are long and routing names the status often. ``refuse_unknown``: a stale row whose validation is UNKNOWN fails the run, so that it replaces no output."""
+    out = routed(written(validated(written(placed(worked(rows, order), canonical), "placed"), expected, coinbase_rules), "validated"))
     if refuse_unknown:
         bad = (F.col("classification") == "stale") & F.col("validation_status").startswith("UNKNOWN")
         out = out.withColumn("validation_status", F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("stale validation is incomplete")).cast("string")).otherwise(F.col("validation_status")))

@@ -13,7 +13,7 @@ from ..sources.folder import fresh_path
 from ..streaming.tips import chain_tips
 from .evidence import events, headers, with_h
 from .registry import Registry
-from .pipelines import classes
+from .pipelines import classes, stored
 
 R = Registry()
 query = R.query
@@ -180,5 +180,5 @@ def s12_chain_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k02_published_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's output as class buckets, as a reader of the published table sees it."""
     path = fresh_path(spark, "classes")
-    sinks.write_buckets(classes(headers(spark, sf_dir)).select("id", "chain", "btc_height", "hash", "classification", "validation_status"), path)
+    sinks.write_buckets(classes(stored(spark, sf_dir)).select("id", "chain", "btc_height", "hash", "classification", "validation_status"), path)
     return spark.read.parquet(path)

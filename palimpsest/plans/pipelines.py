@@ -14,7 +14,7 @@ from ..operators import gates as G
 from ..operators.ancestry import walk
 from ..operators.relevance import relevance, with_epoch_bits
 from ..sources import sinks
-from ..sources.folder import fresh_path
+from ..sources.folder import fresh_path, written
 from .evidence import C, E, by_case, canonical, epochs, headers, sql_dsha, sql_rev, with_h
 from .registry import Registry
 from .relational import _BITS_AT, _EPOCH_JOIN, _LENGTH, _PARENT, _TIME, _VERSION, _expected, _parents, _push_sql, _rules, _rules_sql
@@ -42,6 +42,11 @@ _FULL = _classes_sql(f"coalesce({_TIME}, {_VERSION}, {_LENGTH}, {_push_sql(True,
 _NO_COINBASE = _classes_sql(f"coalesce({_TIME}, {_VERSION})", f"list_filter(list_slice({_rules_sql('false', 'own')}, 1, 9), lambda r: r = 'time_below_mtp' OR r LIKE '%version%')")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers as a table: their columns are long expressions on the events, which every join and filter would repeat."""
+    return written(headers(spark, sf_dir), "headers")
+
+
 def classes(h: DataFrame, coinbase_rules: bool = True) -> DataFrame:
     return A.classified(h.drop("height"), canonical(h), _expected(h), coinbase_rules=coinbase_rules)
 
@@ -49,19 +54,19 @@ def classes(h: DataFrame, coinbase_rules: bool = True) -> DataFrame:
 @query(with_h("SELECT id, chain, classification, btc_height, validation_status, rules FROM z", *_FULL))
 def p01_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own work and first row of each hash, canonical and parent lookups, context gates, routing of rejected rows."""
-    return classes(headers(spark, sf_dir)).select("id", "chain", "classification", "btc_height", "validation_status", F.array_join("rules_violated", "|").alias("rules"))
+    return classes(stored(spark, sf_dir)).select("id", "chain", "classification", "btc_height", "validation_status", F.array_join("rules_violated", "|").alias("rules"))
 
 
 @query(with_h("SELECT id, classification, btc_height, CASE WHEN classification = 'canonical' THEN 'VALID (canonical block)' ELSE validation_status END AS validation_status, CASE WHEN classification = 'canonical' THEN true ELSE bits = expected_nbits END AS nbits_match, btc_height >= 478559 AS post_bch_fork FROM z WHERE classification = 'canonical' OR (classification = 'stale' AND validation_status LIKE 'VALID%')", *_FULL))
 def p02_family_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a family of chains publishes: canonical parents and valid stale ones, with the fork annotation."""
-    return A.published(classes(headers(spark, sf_dir))).select("id", "classification", "btc_height", "validation_status", "nbits_match", "post_bch_fork")
+    return A.published(classes(stored(spark, sf_dir))).select("id", "classification", "btc_height", "validation_status", "nbits_match", "post_bch_fork")
 
 
 @query(with_h("SELECT id, classification, btc_height, validation_status, rules FROM z", *_NO_COINBASE))
 def p03_classifier_without_coinbase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier for chains that don't keep the coinbase: its rules are left out."""
-    return classes(headers(spark, sf_dir), False).select("id", "classification", "btc_height", "validation_status", F.array_join("rules_violated", "|").alias("rules"))
+    return classes(stored(spark, sf_dir), False).select("id", "classification", "btc_height", "validation_status", F.array_join("rules_violated", "|").alias("rules"))
 
 
 _GRAPH = "sha256('f' || id) || sha256('g' || id)"
@@ -106,7 +111,7 @@ v AS (SELECT id, CASE WHEN id % 101 = 0 THEN 'excluded|malformed_prev_hash' WHEN
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, chain, bucket, reason; the bucket of accepted rows is null."""
     i = col("id")
-    h = headers(spark, sf_dir)
+    h = stored(spark, sf_dir)
     rows = with_epoch_bits(h, "t", epochs(h))
     main = canonical(h).where("confirmations > 0").select("hash", F.lit(True).alias("main"))
     rows = rows.join(main, "hash", "left")
@@ -136,7 +141,7 @@ def _descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forks of 40 blocks with a known root at their start and one in their middle; a third of the first roots have no height."""
     i = col("id")
     pushed = 300_000 + i % 40 + F.when(i % 17 == 0, 1).otherwise(0)
-    n = headers(spark, sf_dir).select(i.alias("node"), F.when(i % 40 == 0, -1 - i).otherwise(i - 1).alias("prev"), "hash", "bits", pushed.alias("pushed"))
+    n = stored(spark, sf_dir).select(i.alias("node"), F.when(i % 40 == 0, -1 - i).otherwise(i - 1).alias("prev"), "hash", "bits", pushed.alias("pushed"))
     stops = n.where("node % 40 in (0, 20)").select("node", F.lit("known").alias("kind"))
     walks = walk(n.select("node", "prev"), stops)
     roots = stops.where("node % 3 <> 1 or node % 40 = 20").select("node", (300_000 + col("node") % 40).alias("height"))
@@ -208,7 +213,7 @@ w AS (SELECT id::VARCHAR AS source_row_number, id, chain, btc_hash AS btc_header
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two sources, without canonical ones that a companion table has, with child identities."""
-    h = headers(spark, sf_dir)
+    h = stored(spark, sf_dir)
     rows = V.normalised(_alpha(h), ALPHA).unionByName(V.normalised(_beta(h), BETA))
     companion = h.where("id % 7 = 0").select(col("hash").alias("btc_header_hash"))
     main = rows.where("classification = 'canonical'").join(companion, "btc_header_hash", "left_anti")
@@ -243,7 +248,7 @@ fl AS (SELECT *, list_concat(list_transform(list_filter(claimed, lambda r: NOT l
 
 def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that break a rule, with claims of which some are wrong."""
-    r = _rules(headers(spark, sf_dir)).where(F.size("rules") > 0)
+    r = _rules(stored(spark, sf_dir)).where(F.size("rules") > 0)
     claimed = F.when(col("id") % 11 == 0, F.array(F.lit(G.MTP))).when(col("id") % 13 == 0, F.slice("rules", 2, 9)).otherwise(col("rules"))
     r = r.select("id", "chain", "height", "hash", "header_hex", "rules", claimed.alias("claimed"))
     reason = F.when(col("id") % 19 == 0, "another").otherwise(F.get("claimed", F.lit(0)))
@@ -270,8 +275,8 @@ def p10_error_block_build(spark: SparkSession, sf_dir: str) -> DataFrame:
  C, _PARENT, _BITS_AT, f"sw AS (SELECT h.*, mtp, expected FROM h LEFT JOIN p USING (prev) LEFT JOIN (SELECT height AS xh, expected FROM x) ON xh = height WHERE id % 25 <> 0 AND {_MEETS} AND {_MEETS.replace('CASE bits', 'CASE expected')} AND expected IS NOT NULL)"))
 def p11_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sweeps for rows that break a rule, meet their own and the main chain's target, and aren't known yet."""
-    h = headers(spark, sf_dir)
-    rows = h.join(_parents(h), "prev", "left").join(_expected(h), "height", "left")
+    h = stored(spark, sf_dir)
+    rows = written(h.join(_parents(h), "prev", "left").join(_expected(h), "height", "left"), "context")
     known = h.where("id % 25 = 0").select("height", "hash")
     findings = {
         "version": G.version_gate(col("height"), col("header_hex")).startswith("REJECTED"),
