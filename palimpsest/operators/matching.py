@@ -17,35 +17,41 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def intervals(table: DataFrame, start: str, end: str = "_until") -> DataFrame:
-    """Each row with the start of the next one; the last has none. For tables of a few hundred rows."""
-    return table.withColumn(end, F.lead(start).over(Window.orderBy(start)))
+def intervals(table: DataFrame, start: str, end: str = "_until", bound: int = 10_000) -> DataFrame:
+    """Each row with the start of the next one; the last has none. A table of over ``bound`` rows is ranked in ranges first."""
+    if table.count() <= bound:
+        return table.withColumn(end, F.lead(start).over(Window.orderBy(start)))
+    placed = ranked(table, start)
+    after = placed.select((F.col("place") - 1).alias("place"), F.col(start).alias(end))
+    return placed.join(after, "place", "left").select(*table.columns, end)
 
 
 def asof_backward(rows: DataFrame, at: str, table: DataFrame, start: str, bound: int = 10_000) -> DataFrame:
-    """Each row of ``rows`` with the last row of ``table`` that starts at or before it; nulls before the first.
+    """Each row of ``rows`` with the last row of ``table`` that starts at or before it; nulls before the first. ``at`` and ``start`` are whole
+    numbers.
 
-    A table of up to ``bound`` rows is broadcast as intervals. A larger one is merged: both sides in buckets of equal
-    length in ``start``, each bucket also carrying the last entry before it.
+    An entry holds until the next one starts. It is put into every bucket of time that it touches, about two of them, so an
+    equi-join on the bucket finds it; what lies after the last entry counts to its bucket. Up to ``bound`` entries are broadcast.
     """
-    columns = [c for c in table.columns if c != start]
-    if table.count() <= bound:
-        spans = intervals(table, start)
-        fits = (rows[at] >= spans[start]) & (spans["_until"].isNull() | (rows[at] < spans["_until"]))
-        return rows.join(F.broadcast(spans), fits, "left").drop("_until")
     low, high, n = table.agg(F.min(start), F.max(start), F.count(F.lit(1))).first()
-    width = max(1, (high - low) // max(1, n // 1000))
-    bucket = lambda c: F.floor((F.col(c) - low) / width)
-    marked = table.withColumn("_bucket", bucket(start))
-    last = marked.groupBy("_bucket").agg(F.max(F.struct(start, *columns)).alias("_last"))
-    spans = rows.select(bucket(at).alias("_bucket")).distinct()
-    known = last.unionByName(spans.join(last, "_bucket", "left_anti").withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType)))
-    before = Window.partitionBy(F.floor(F.col("_bucket") / 100_000)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = known.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).select("_bucket", "_before")
-    in_bucket = rows.withColumn("_bucket", bucket(at)).withColumn("_row", F.monotonically_increasing_id())
-    inside = in_bucket.join(marked, "_bucket").where(F.col(start) <= F.col(at)).groupBy("_row").agg(F.max(F.struct(start, *columns)).alias("_inside"))
-    found = in_bucket.join(inside, "_row", "left").join(carried, "_bucket", "left").withColumn("_hit", F.coalesce("_inside", "_before"))
-    return found.select(*rows.columns, *(F.col(f"_hit.{c}").alias(c) for c in table.columns))
+    if not n:
+        return rows.select("*", *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+    width = max(1, (high - low) // n)
+    bucket = lambda c: F.floor((F.least(F.col(c), F.lit(high)) - low) / width)
+    spans = intervals(table, start, bound=bound)
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.coalesce(bucket("_until"), bucket(start)))))
+    spans = F.broadcast(spans) if n <= bound else spans
+    held = rows.withColumn("_at", bucket(at))
+    fits = (F.col("_at") == F.col("_bucket")) & (F.col(start) <= F.col(at)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    return held.join(spans, fits, "left").drop("_at", "_bucket", "_until")
+
+
+def lagged(rows: DataFrame, group: str, order: list[str], n: int, **values: str) -> DataFrame:
+    """``rows`` with columns of the row that is ``n`` places before them in their group (null if there is none). Rows are ranked in ranges
+    and joined by rank, so that a group may hold most of them."""
+    placed = ranked(rows, group, *order)
+    before = placed.select(group, (F.col("place") + n).alias("place"), *(F.col(c).alias(name) for name, c in values.items()))
+    return placed.join(before, [group, "place"], "left").select(*rows.columns, *values)
 
 
 def ranked(rows: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hexbytes as X
 from ..operators import gates as G
 from ..operators.ancestry import walk
-from ..operators.matching import anti_exact, asof_backward, first_by, ranked
+from ..operators.matching import anti_exact, asof_backward, first_by, lagged, ranked
 from .evidence import C, E, H, canonical, epochs, headers, with_h
 from .registry import Registry
 
@@ -490,15 +490,16 @@ def w03_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_h("SELECT id, CASE WHEN span IS NOT NULL THEN least(greatest(span, 300), 4800) END AS timespan FROM (SELECT id, t - lag(t, 10) OVER (PARTITION BY chain ORDER BY height, id) AS span FROM h)"))
 def w04_trailing_timespan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clamped time over the last ten headers of a chain."""
-    w = Window.partitionBy("chain").orderBy("height", "id")
-    span = col("t") - F.lag("t", 10).over(w)
-    return headers(spark, sf_dir).select("id", F.when(span.isNotNull(), F.least(F.greatest(span, F.lit(300)), F.lit(4800))).alias("timespan"))
+    h = headers(spark, sf_dir).select("id", "chain", "height", "t")
+    span = col("t") - col("before")
+    return lagged(h, "chain", ["height", "id"], 10, before="t").select("id", F.when(span.isNotNull(), F.least(F.greatest(span, F.lit(300)), F.lit(4800))).alias("timespan"))
 
 
 @query(with_h("SELECT id, coalesce(lag(hash) OVER w = prev, false) AS linked, lag(id) OVER w AS before FROM h WINDOW w AS (PARTITION BY chain ORDER BY height, id)"))
 def w05_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("chain").orderBy("height", "id")
-    return headers(spark, sf_dir).select("id", F.coalesce(F.lag("hash").over(w) == col("prev"), F.lit(False)).alias("linked"), F.lag("id").over(w).alias("before"))
+    h = headers(spark, sf_dir).select("id", "chain", "height", "hash", "prev")
+    linked = lagged(h, "chain", ["height", "id"], 1, before="id", last="hash")
+    return linked.select("id", F.coalesce(col("last") == col("prev"), F.lit(False)).alias("linked"), "before")
 
 
 @query(with_h("SELECT prev, min_by(script, id) FILTER (WHERE script <> '') AS script, min_by(header_hex, id) FILTER (WHERE id % 2 = 0) AS header FROM h GROUP BY prev"))

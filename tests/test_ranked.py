@@ -16,6 +16,6 @@ def test_ranked(spark):
 def test_whole_sort_keeps_all_rows(spark):
     folder = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{folder}/events.parquet").count()
-    got = {r["id"]: r["place"] for r in R.queries["t01_whole_sort_by_height"](spark, folder).collect()}
+    got = {r["id"]: r["place"] for r in R.queries["t01_sort_by_height"](spark, folder).collect()}
     assert n > 500 and sorted(got.values()) == list(range(1, n + 1))
     assert all(got[r["id"]] == r["place"] for r in R.queries["t01_sort_by_height"](spark, folder).collect())
