@@ -197,7 +197,7 @@ def multikey_order(n: int, depth: int, word: Callable[[int, np.ndarray], np.ndar
     those that tie by the next, and so on; ``word(k, rows)`` gives the k-th word of some rows."""
     order, group = np.arange(n), np.zeros(n, np.int64)
     tied = np.arange(n)  # places
-    for k in range(depth):
+    for k in range(depth if n > 1 else 0):
         part = order[tied]
         values = word(k, part)
         by = np.lexsort((values, group[tied]))
