@@ -320,8 +320,10 @@ def j13_two_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inner join of two archives on (height, parent), each side unique and without a missing partner."""
     h = headers(spark, sf_dir)
     left = h.groupBy("height", "prev").agg(F.count(F.lit(1)).alias("n"))
-    right = h.select("height", "prev").distinct()
-    joined = left.join(right, ["height", "prev"], "full_outer").withColumn("n", F.when(col("n").isNull(), F.raise_error(F.lit("a row has no partner")).cast("bigint")).otherwise(col("n")))
+    right = h.groupBy("height", "prev").agg(F.count(F.lit(1)).alias("m"))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("bigint")
+    told = F.when(col("n").isNull() | col("m").isNull(), fail("a row has no partner")).when((col("n") > 1) | (col("m") > 1), fail("a key is not unique")).otherwise(col("n"))
+    joined = left.join(right, ["height", "prev"], "full_outer").withColumn("n", told)
     return joined.select("height", "prev", "n")
 
 

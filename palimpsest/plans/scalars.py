@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hexbytes as X
 from ..functions.hexbytes import shift_left
-from ..functions.registry import TAGS, tags
+from ..functions.registry import CHAIN_IDS, TAGS, tags
 from .evidence import H, by_case, events, headers, sql_dsha, sql_le32, sql_push3, sql_rev, sql_u32, with_h
 from .registry import Registry
 
@@ -128,14 +128,17 @@ def e15_op_return_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged_scripts(spark, sf_dir).select("id", X.op_return_payload(F.col("script")).alias("payload"))
 
 
-@query(f"""WITH {_SCRIPT_SQL} SELECT o.id, coalesce(min_by(g.tag, g.ordinal), CASE WHEN any_value(k) = 13 THEN 'malformed' ELSE 'unknown' END) AS tag, min_by(g.class, g.ordinal) AS class
+@query(f"""WITH {_SCRIPT_SQL} SELECT o.id, coalesce(min_by(g.tag, g.ordinal), CASE WHEN any_value(k) = 13 THEN 'malformed' ELSE 'unknown' END) AS tag, min_by(g.class, g.ordinal) AS class,
+ CASE WHEN min(g.ordinal) IS NULL AND any_value(k) <> 13 THEN substr(any_value(payload), 1, 8) END AS first_bytes, CASE WHEN any_value(k) = 13 THEN any_value(script) END AS raw
 FROM o LEFT JOIN g ON k <> 13 AND starts_with(payload, prefix) GROUP BY o.id""")
 def e16_tag_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tag whose prefix fits; a broadcast prefix join, then the least ordinal."""
+    """The first tag whose prefix fits; a broadcast prefix join, then the least ordinal. What has no tag is told by its first bytes,
+    what is malformed as it is."""
     s = _tagged_scripts(spark, sf_dir).withColumn("payload", X.op_return_payload(F.col("script")))
     hit = s.join(F.broadcast(tags(spark)), F.startswith("payload", F.col("prefix")), "left")
-    best = hit.groupBy("id").agg(F.min_by("tag", "ordinal").alias("tag"), F.min_by("class", "ordinal").alias("class"), F.first("payload").alias("payload"))
-    return best.select("id", F.coalesce("tag", F.when(F.col("payload").isNull(), "malformed").otherwise("unknown")).alias("tag"), "class")
+    best = hit.groupBy("id").agg(F.min_by("tag", "ordinal").alias("tag"), F.min_by("class", "ordinal").alias("class"), F.first("payload").alias("payload"), F.first("script").alias("script"))
+    malformed = F.col("payload").isNull()
+    return best.select("id", F.coalesce("tag", F.when(malformed, "malformed").otherwise("unknown")).alias("tag"), "class", F.when(F.col("tag").isNull() & ~malformed, F.substring("payload", 1, 8)).alias("first_bytes"), F.when(malformed, F.col("script")).alias("raw"))
 
 
 _STEP = "((({}) * 1103515245 + 12345) & 4294967295)"
@@ -152,17 +155,18 @@ def e18_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", "slot", X.residue(F.col("n"), F.col("slot"), F.col("depth")).alias("residue"))
 
 
-_IDS = list(range(1, 31))
+_CHAINS_SQL = ", ".join(f"({k}, '{name}', {i})" for k, (name, i) in enumerate(CHAIN_IDS))
 
 
-@query("""WITH a AS (SELECT event_id AS id, event_id % 6 AS depth, event_id % (1 << (event_id % 6)) AS residue FROM events), g AS (SELECT k AS chain_id FROM range(1, 31) r(k))
-SELECT id, string_agg(chain_id::VARCHAR, ',' ORDER BY chain_id) AS candidates, count(chain_id) AS n FROM a LEFT JOIN g ON chain_id % (1 << depth) = residue GROUP BY id""")
+@query(f"""WITH a AS (SELECT event_id AS id, event_id % 6 AS depth, event_id % (1 << (event_id % 6)) AS residue FROM events), g AS (SELECT * FROM (VALUES {_CHAINS_SQL}) r(k, name, chain_id))
+SELECT id, string_agg(name, ',' ORDER BY k) AS candidates, count(chain_id) AS n FROM a LEFT JOIN g ON chain_id % (1 << depth) = residue GROUP BY id""")
 def e19_residue_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered chains whose id is congruent to a residue; the registry is one array, so nothing is joined."""
+    """Registered chains whose id is congruent to a residue, in the registry's order; it is one array, so nothing is joined."""
     a = events(spark, sf_dir).select(F.col("event_id").alias("id"), shift_left(F.lit(1).cast("bigint"), (F.col("event_id") % 6).cast("int")).alias("m"))
     a = a.withColumn("residue", F.col("id") % F.col("m"))
-    found = F.filter(F.array(*(F.lit(i).cast("bigint") for i in _IDS)), lambda c: F.pmod(c, F.col("m")) == F.col("residue"))
-    return a.select("id", F.when(F.size(found) > 0, F.array_join(found.cast("array<string>"), ",")).alias("candidates"), F.size(found).cast("bigint").alias("n"))
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).cast("bigint").alias("chain_id")) for name, i in CHAIN_IDS))
+    found = F.filter(known, lambda c: F.pmod(c["chain_id"], F.col("m")) == F.col("residue"))
+    return a.select("id", F.when(F.size(found) > 0, F.array_join(found["name"], ",")).alias("candidates"), F.size(found).cast("bigint").alias("n"))
 
 
 def _fold_sql() -> str:
