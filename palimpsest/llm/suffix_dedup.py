@@ -322,6 +322,8 @@ class Bucket:
 
 #: Found repeats have a start and a size in units. Rows of groups at a bucket's ends have the bucket, the window and its cut as well.
 FOUND = "k1 long, k2 long, at long, start long, size int, bucket int, cut int, window binary"
+#: So many suffixes in a bucket, about; some 20 MB of windows.
+SUFFIXES = 40_000
 #: Groups with more different windows than this are compared by classes, not pair by pair.
 PAIRWISE = 24
 
@@ -434,7 +436,7 @@ def spans(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
     counted = written(counted, "cores")
     cores, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     suffixes = _suffixes(rows, shape, bloom(counted.select("core"), cores))
-    found = written(_sorted_buckets(suffixes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 100_000 + 1), shape), "buckets")
+    found = written(_sorted_buckets(suffixes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SUFFIXES + 1), shape), "buckets")
     drop(counted)
     across = _across(found.where("bucket is not null"), shape)
     every = found.where("bucket is null").select(*ROW, "start", "size").unionByName(across)

@@ -27,7 +27,7 @@ def _letters(word: bytes) -> bool:
 class Encoder:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
