@@ -193,7 +193,7 @@ def test_binding_is_by_place():
 # --- 5 ---
 
 
-def check_packing(rows, table, capacity: int) -> None:
+def check_packing(rows, table, capacity: int, slack: int) -> None:
     ids = defaultdict(list)
     for (i, _), x in zip(pairs(table), brute.token_ids([t for _, t in pairs(table)], WORDS), strict=True):
         ids[i].append(x)
@@ -214,13 +214,21 @@ def check_packing(rows, table, capacity: int) -> None:
             at += length
         assert at <= capacity
     least = -(-sum(r["length"] for r in rows) // capacity)
-    assert len(by) <= least + 1 + len(rows) // 50
+    assert len(by) <= least + slack
 
 
-@pytest.mark.parametrize("group", [40_000, 64])
-def test_packing(table, monkeypatch, group):
+@pytest.mark.parametrize(("group", "slack"), [(10_000, 2), (64, 15)])
+def test_packing(table, monkeypatch, group, slack):
+    """In one group, two sequences over the lower bound at most; in many small ones, a few more."""
     monkeypatch.setattr(packing, "GROUP", group)
-    check_packing(packing.sequences(table, WORDS, 512).collect(), table, 512)
+    check_packing(packing.sequences(table, WORDS, 512).collect(), table, 512, slack)
+
+
+def test_local_search_beats_best_fit():
+    sizes = np.random.default_rng(3).integers(1200, 2600, 2000)
+    first = packing.best_fit(sizes, 4096)
+    then = packing.improve(sizes, first, 4096)
+    assert np.bincount(then, sizes).max() <= 4096 and len(set(then)) < len(set(first))
 
 
 @settings(max_examples=80, deadline=None)
