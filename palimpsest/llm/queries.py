@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, packing, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
+from . import exact_dedup, fill_middle, jaccard_join, language_id, packing, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
 from .shared import documents, fresh_path
 
 
@@ -60,6 +61,11 @@ def op10_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(documents(spark, sf_dir))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_streaming_exact_dedup,
         op9_content_addressed_warc,
         op10_piece_agenda,
+        op12_fill_in_middle,
     )
 }
 
@@ -122,4 +129,11 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS response FROM p GROUP BY h)
 SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN octet_length(encode(h)) >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN octet_length(encode(h)) >= 1000 AND page_id <> response THEN response END AS refers_to FROM p JOIN g USING (h)""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT for i in range(4)] AS r FROM d),
+c AS (SELECT *, len(us)::BIGINT AS n, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 AS plain, least(r[1] % (len(us) + 1), r[2] % (len(us) + 1)) AS a, greatest(r[1] % (len(us) + 1), r[2] % (len(us) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:], '') AS suffix, CASE WHEN plain THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
