@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_middle, jaccard_join, language_id, packing, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
+from . import exact_dedup, fill_middle, jaccard_join, language_id, packing, periodic_runs, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
 from .shared import documents, fresh_path
 
 
@@ -61,6 +61,21 @@ def op10_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic(periodic_runs.planted(documents(spark, sf_dir))).withColumn("best", periodic_runs.strongest())
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.transform(documents(spark, sf_dir))
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
@@ -79,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_streaming_exact_dedup,
         op9_content_addressed_warc,
         op10_piece_agenda,
+        op11_periodic_runs,
         op12_fill_in_middle,
     )
 }
