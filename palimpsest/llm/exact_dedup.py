@@ -21,14 +21,16 @@ Parquet files is written to the shared folder first, as it has no locators.
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACES, checked, drop, fresh_path, text_or_empty, written
+from .shared import SPACES, by_place, checked, drop, fresh_path, text_or_empty, written
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -106,6 +108,12 @@ def keyed_state(spark: SparkSession, log: str, schema: T.StructType, checkpoint:
     return told.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.file").alias("keep_file"), F.col("first.row").alias("keep_row"), "group_size")
 
 
+def as_path(uri: str) -> str:
+    """A file's URI, in which Spark tells where rows are from, as a path that the reader takes literally: percent signs are decoded, and what a
+    pattern would read otherwise is escaped."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", unquote(uri))
+
+
 def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` (file, row, and more) with the normalised text that each holds. Files of earlier calls are read by name; their
     names reach the driver, as those of any scan do."""
@@ -113,7 +121,7 @@ def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     own = {r["file"] for r in here.select("file").distinct().collect()}
     other = [r["file"] for r in places.select("file").distinct().collect() if r["file"] not in own]
     if other:
-        here = here.unionByName(placed(docs.sparkSession.read.schema(T.StructType([docs.schema["text"]])).parquet(*other)))
+        here = here.unionByName(placed(docs.sparkSession.read.schema(T.StructType([docs.schema["text"]])).parquet(*map(as_path, other))))
     return here.join(checked(places), PLACE).withColumn("norm", normalised()).drop("text")
 
 
@@ -134,7 +142,7 @@ def false_hits(docs: DataFrame, log: DataFrame, groups: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, file, row: one row per row of ``docs``."""
-    spark, docs = docs.sparkSession, from_files(docs)
+    spark, docs = docs.sparkSession, from_files(by_place(docs, "doc_id", "text"))
     folder = folder or fresh_path(spark, "dedup")
     log = digest_log(docs, f"{folder}/log/{uuid.uuid4().hex}")
     if log.isEmpty():
@@ -163,7 +171,8 @@ def dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    docs = from_files(docs)
-    gone = written(dedup(docs).where("not kept").select(F.struct(*PLACE).alias("_gone")), "gone")
-    at = docs.withColumn("_gone", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    return at.join(checked(gone), "_gone", "left_anti").select(docs.columns)
+    names = docs.columns
+    docs = from_files(by_place(docs, "doc_id", "text"))
+    gone = written(dedup(docs).where("not kept").select(F.struct(*PLACE).alias("place")), "gone")
+    at = docs.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return at.join(checked(gone), "place", "left_anti").select(docs.columns).toDF(*names)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_bytes, bloom, cells, checked, drop, folded, may_hold, mixed, slices, small_batches, word_hashes, written
+from .shared import as_bytes, bloom, by_place, cells, checked, drop, folded, may_hold, mixed, slices, small_batches, word_hashes, written
 
 SKETCH = 1 << 21
 #: A list with at most so many members gives all its pairs; a longer one has pivots, so many in its first round.
@@ -329,6 +329,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, pct: i
 def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     small_batches(docs.sparkSession)
+    docs = by_place(docs, "doc_id", "text")
     measured = written(_measured(docs, k), "sets")
     sized = measured.where("cell is null").select("doc_id", "n", "k1", "k2", *PARITY)
     load, total, beside = _sketch(measured)
@@ -367,5 +368,6 @@ def join(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, pct: int = 90, k: int = 3) -> DataFrame:
     """The rows of ``docs`` without those that are linked, over any number of links, with a smaller doc_id."""
-    gone = written(join(docs, pct, k).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(checked(gone), "doc_id", "left_anti").select(docs.columns)
+    placed = by_place(docs, "doc_id", "text")
+    gone = written(join(placed, pct, k).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return placed.join(checked(gone), "doc_id", "left_anti").select(placed.columns).toDF(*docs.columns)

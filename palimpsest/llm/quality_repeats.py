@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import as_bytes, slices, small_batches
+from .shared import as_bytes, by_place, slices, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -164,17 +164,17 @@ def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, measure(texts, limits))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return by_place(docs, "doc_id", "text").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; no shuffle, the text is read once."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, placed = docs.columns.index("text"), by_place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, as_bytes(batch.column(at))):
                 yield pc.filter(part, pa.array(measure(texts, limits)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_middle, jaccard_join, language_id, packing, periodic_runs, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
+from . import exact_dedup, fill_middle, gated_lm, jaccard_join, language_id, packing, periodic_runs, piece_tokens, plane_store, quality_repeats, suffix_dedup, warc_archive, weak_labels
 from .shared import documents, fresh_path
 
 
@@ -81,6 +81,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
 
 
+def op13_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.scored(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_piece_agenda,
         op11_periodic_runs,
         op12_fill_in_middle,
+        op13_gated_recurrent_lm,
     )
 }
 

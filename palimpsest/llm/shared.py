@@ -24,9 +24,22 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts stay small: a task holds one batch at a time. All operators set the same number, so the
-    order in which their lazy results run makes no difference."""
+    """Arrow batches of whole texts stay small: a task holds one batch at a time. All operators set the same numbers, so the
+    order in which their lazy results run makes no difference; for the same reason they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+
+
+def by_place(docs: DataFrame, *named: str) -> DataFrame:
+    """``docs`` with the columns ``named`` under their names, in any order of columns, and all others under names of their places: whatever
+    they were called, no expression can confuse them. ``toDF(*docs.columns)`` brings the names back."""
+    left = list(named)
+    names = []
+    for i, c in enumerate(docs.columns):
+        names.append(c if c in left else f"_extra{i}")
+        if c in left:
+            left.remove(c)
+    return docs.toDF(*names)
 
 
 def text_or_empty(col: str = "text") -> Column:

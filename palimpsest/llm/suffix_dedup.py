@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .shared import BROADCAST_ROWS, Powers, as_bytes, bloom, checked, drop, may_hold, slices, small_batches, text_or_empty, word_hashes, written
+from .shared import BROADCAST_ROWS, Powers, as_bytes, bloom, by_place, checked, drop, may_hold, slices, small_batches, text_or_empty, word_hashes, written
 
 GRAM, CHUNK = 8, 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -465,6 +465,7 @@ def _with_repeats(docs: DataFrame, length: int, words: int | None = None) -> Dat
 def removed(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: one row per row of ``docs``. ``text`` is what is left, without the bytes of
     a character that a cut has split."""
+    docs = by_place(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,11 +499,14 @@ def clean(docs: DataFrame, length: int = 400, words: int | None = None) -> DataF
                     texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]], names=["text", *batch.schema.names[3:]])
 
-    rest = [c for c in docs.columns if c != "text"]
-    boxed = docs.select(F.struct(*rest).alias("rest"), "doc_id", "text")
+    placed = by_place(docs, "doc_id", "text", "n_chars")
+    rest = [c for c in placed.columns if c != "text"]
+    boxed = placed.select(F.struct(*rest).alias("rest"), "doc_id", "text")
     joined = _with_repeats(boxed, length, words)
     of_words = F.col("word_repeats") if words else F.lit(None).cast("array<bigint>").alias("word_repeats")
     joined = joined.select("text", "repeats", of_words, "rest")
-    out = joined.mapInArrow(run, StructType([docs.schema["text"], StructField("rest", joined.schema["rest"].dataType)]))
-    out = out.select("text", "rest.*").select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = joined.mapInArrow(run, StructType([placed.schema["text"], StructField("rest", joined.schema["rest"].dataType)]))
+    out = out.select("text", "rest.*").select(placed.columns)
+    if "n_chars" in placed.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(placed.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)

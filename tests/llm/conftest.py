@@ -55,7 +55,7 @@ def hostile(spark, tmp_path_factory):
     """The hostile rows as a table read from files, with one row repeated, one without a doc_id and clashing extra columns."""
     rows = [*hostile_rows(), hostile_rows()[0], (None, "no id here at all", "en", "s", 1)]
     path = str(tmp_path_factory.mktemp("hostile"))
-    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "doc_id as key", "'q' as n", "array(1) as repeats", "1 as k1", "true as kept", "'z' as digest", "2 as score", "3 as length")
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "doc_id as key", "'q' as n", "array(1) as repeats", "1 as k1", "true as kept", "'z' as digest", "2 as score", "3 as length", "1 as `a.b`", "'g' as _gone", "named_struct('file_path', 'here', 'row_index', 1) as _metadata", "'f' as place", "5 as _extra3")
     df.repartition(3).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
