@@ -206,11 +206,12 @@ class Pieces:
         cuts = (np.flatnonzero(self.beside[at] != pair) + 1).tolist()
         return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
 
-    def coded(self, segment: str, ids: tuple[int, ...]) -> Coded:
-        text = self.library.decode(list(ids))
-        if segment[0] == SPACE:  # the library drops one leading space
-            text = " " + text
-        return Coded(ids, len(ids), ",".join(map(str, ids)).encode(), text.encode())
+    def coded(self, segments: list[str], ids: list[tuple[int, ...]]) -> Iterator[Coded]:
+        """What is remembered of segments; the library decodes them in one call."""
+        for segment, own, text in zip(segments, ids, self.library.decode([list(x) for x in ids], num_threads=1), strict=True):
+            if segment[0] == SPACE:  # the library drops one leading space
+                text = " " + text
+            yield Coded(own, len(own), ",".join(map(str, own)).encode(), text.encode())
 
     def encode(self, texts: list[str]) -> list[list[Coded]]:
         """The segments of each text."""
@@ -222,8 +223,8 @@ class Pieces:
         for s in distinct.difference(self.known):
             by_length.setdefault(len(s), []).append(s)
         for length, new in by_length.items():
-            ids = map(self.merge_heap, new) if length > ROW else self.merge_rows(new)
-            self.known.update((s, self.coded(s, i)) for s, i in zip(new, ids, strict=True))
+            ids = list(map(self.merge_heap, new)) if length > ROW else self.merge_rows(new)
+            self.known.update(zip(new, self.coded(new, ids), strict=True))
         get = self.known.__getitem__
         return [list(map(get, own)) for own in cut]
 
