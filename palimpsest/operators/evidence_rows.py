@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hexbytes import header_fields, is_hex
 from ..functions.proofs import coinbase
@@ -116,12 +117,40 @@ def normalised(df: DataFrame, source: Source, row_number: str = "source_row_numb
     return rows.select(*(values[c].alias(c) for c in FIELDS), errors.alias("errors"), fault.alias("child_fault"))
 
 
+def with_companions(primary: DataFrame, canonical: DataFrame | None = None, unknown: DataFrame | None = None) -> DataFrame:
+    """The rows of a chain's primary table, which all stay, and those of its companions. A canonical companion's canonical rows go where the primary table has a canonical row of
+    the same (btc_height, btc_header_hash), in any case of letters. An unknown companion beside a primary table that holds unknown rows itself fails the query."""
+    out = primary
+    if canonical is not None:
+        key = lambda df: [df["chain"].alias("_chain"), df["btc_height"].alias("_height"), F.lower(F.trim(df["btc_header_hash"])).alias("_hash")]
+        seen = primary.where("classification = 'canonical'").select(*key(primary)).distinct()
+        same = (F.col("chain") == F.col("_chain")) & (F.col("btc_height") == F.col("_height")) & (F.lower(F.trim("btc_header_hash")) == F.col("_hash")) & (F.col("classification") == "canonical")
+        out = out.unionByName(canonical.join(seen, same, "left_anti"))
+    if unknown is not None:
+        mixed = primary.where("classification = 'unknown'").select(F.col("chain").alias("_chain")).distinct().withColumn("_mixed", F.lit(True))
+        held = unknown.join(mixed, F.col("chain") == F.col("_chain"), "left")
+        checked = F.when(F.col("_mixed"), F.raise_error(F.lit("unknown rows stand in the inventory and beside it")).cast("string")).otherwise(F.col("chain"))
+        out = out.unionByName(held.withColumn("chain", checked).select(unknown.columns))
+    return out
+
+
+#: Verdicts on unknown rows, the strongest first.
+STRENGTH = ("strict_btc_orphan", "weak_btc_orphan")
+
+
 def hydrated(rows: DataFrame, identity: DataFrame, live: tuple[str, ...]) -> DataFrame:
     """``rows`` with child hashes from ``identity`` (chain, btc_header_hash, child_height, child_block_hash, child_block_time), and the
-    ``outcome`` of each. Rows that have a hash are left alone unless their chain is live; heights must agree."""
-    i = identity.select("chain", "btc_header_hash", *(F.col(c).alias(f"_{c}") for c in ("child_height", "child_block_hash", "child_block_time")), F.lit(True).alias("_found"))
-    with_identity = identity.select("chain").distinct().withColumn("_known", F.lit(True))  # a row for each chain
-    joined = rows.join(F.broadcast(with_identity), "chain", "left").join(i, ["chain", "btc_header_hash"], "left")
+    ``outcome`` of each. Rows that have a hash are left alone unless their chain is live; heights must agree. Of identities of one hash
+    the one with the greatest ``file`` counts, where there is such a column; without one, identities that differ fail the query."""
+    values = ("child_height", "child_block_hash", "child_block_time")
+    one = F.struct(*(F.col(c).alias(f"_{c}") for c in values))
+    if "file" in identity.columns:
+        last = F.max_by(one, F.struct("file", one))
+    else:
+        last = F.when(F.min(one).eqNullSafe(F.max(one)), F.min(one)).otherwise(F.raise_error(F.lit("a child has two identities")).cast(T.StructType([T.StructField(f"_{c}", identity.schema[c].dataType) for c in values])))
+    i = identity.groupBy("chain", "btc_header_hash").agg(last.alias("_last")).select("chain", "btc_header_hash", "_last.*", F.lit(True).alias("_found"))
+    with_identity = identity.select("chain").distinct().withColumn("_known", F.lit(True))
+    joined = rows.join(with_identity, "chain", "left").join(i, ["chain", "btc_header_hash"], "left")
     is_live = F.col("chain").isin(*live)
     target = (is_live | (F.coalesce("_known", F.lit(False)) & (F.col("child_block_hash") == ""))) & is_hex(F.col("btc_header_hash"), 32)
     number = lambda c: F.col(c).try_cast("bigint")
@@ -144,9 +173,10 @@ def hydrated(rows: DataFrame, identity: DataFrame, live: tuple[str, ...]) -> Dat
 
 def admitted(rows: DataFrame, observed: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows that a monitor publishes, with their ``verdict``: canonical ones; stale ones that are VALID; unknown ones that were
-    observed as descendants (chain, btc_header_hash) or have a verdict (btc_header_hash, verdict). Others go."""
+    observed as descendants (chain, btc_header_hash) or have a verdict (btc_header_hash, verdict). Others go. Of several verdicts on a hash the
+    strongest counts; what is neither strict nor weak is none."""
     seen = observed.select("chain", "btc_header_hash", F.lit(True).alias("_seen")).distinct()
-    told = verdicts.select("btc_header_hash", F.col("verdict").alias("_verdict"))
+    told = verdicts.where(F.col("verdict").isin(*STRENGTH)).groupBy("btc_header_hash").agg(F.min_by("verdict", F.array_position(F.array(*map(F.lit, STRENGTH)), F.col("verdict"))).alias("_verdict"))
     joined = rows.join(seen, ["chain", "btc_header_hash"], "left").join(told, "btc_header_hash", "left")
     c, s = F.col("classification"), F.col("validation_status")
     verdict = F.when(c == "canonical", "canonical").when((c == "stale") & F.startswith(s, F.lit("VALID")), "stale").when((c == "stale_descendant") & (s == "VALID_STALE_DESCENDANT"), "stale_descendant")

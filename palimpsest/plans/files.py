@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hexbytes as X
 from ..functions import parsers as P
-from ..sources import files, sinks
+from ..functions.retarget import compact_bits
+from ..sources import blkdat, files, sinks
 from ..sources.folder import fresh_path
 from ..streaming.tips import chain_tips
 from .evidence import events, headers, with_h
@@ -60,6 +61,37 @@ def s04_framed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(X.le_int(F.substring(h, 1, 14), 7).alias("id"), F.substring(h, 17, 64).alias("payload"))
 
 
+def _block_files(spark: SparkSession, sf_dir: str, bad: Column) -> str:
+    """A folder of masked block files of 500 events each, with two bytes of noise before every frame; a frame that is ``bad`` tells a size of none."""
+    path = fresh_path(spark, "blocks")
+    i = col("event_id")
+    payload = F.sha2(F.concat(F.lit("b"), i.cast("string")), 256)
+    size = X.le32(F.when(bad, 0).otherwise(40))
+    frame = F.concat(F.lit("00ff" + MAGIC), size, X.rev(F.lpad(F.lower(F.hex(i)), 16, "0"), 8), payload)
+    frames = events(spark, sf_dir).select(F.floor(i / 500).cast("int").alias("file"), i.alias("number"), frame.alias("frame"))
+    blkdat.write_blocks(frames, path, bytes.fromhex("0123456789abcdef")).collect()  # a row for each file
+    return path
+
+
+def _frames_read(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    h = F.lower(F.hex("block"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return blkdat.read_blocks(spark, path, MAGIC, **options).select(X.le_int(F.substring(h, 1, 14), 7).alias("id"), name.alias("file"), "offset", F.substring(h, 17, 64).alias("payload"))
+
+
+@query("SELECT event_id AS id, printf('blk%05d.dat', event_id // 500) AS file, (event_id % 500) * 50 + 2 AS offset, sha256('b' || event_id) AS payload FROM events")
+def s05_masked_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real files, read by ranges that cut frames, unmasked by the key beside them."""
+    return _frames_read(spark, _block_files(spark, sf_dir, F.lit(False)), rangeBytes=4096)
+
+
+@query("SELECT event_id AS id, printf('blk%05d.dat', event_id // 500) AS file, (event_id % 500) * 50 + 2 AS offset, sha256('b' || event_id) AS payload FROM events WHERE NOT ((event_id // 500) % 3 = 0 AND event_id % 500 >= 250)")
+def s04_stopped_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of no bytes in the middle of every third file: what comes after it in its file is left out."""
+    bad = (F.floor(col("event_id") / 500) % 3 == 0) & (col("event_id") % 500 == 250)
+    return _frames_read(spark, _block_files(spark, sf_dir, bad), rangeBytes=10_000, onBadFrame="stop")
+
+
 @query("SELECT (event_id % 400)::VARCHAR AS key, max(printf('%08x', event_id)) AS value FROM events GROUP BY 1")
 def s07_json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects in several files, the last file wins; here each file holds the ids of one block of 400."""
@@ -147,7 +179,7 @@ def e10_compact_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets to their compact form: the inverse of e09 for bits that are normal."""
     i = col("event_id")
     bits = F.lower(F.concat(F.lpad(F.hex(4 + i % 28), 2, "0"), F.lpad(F.hex(32_768 + (i * 7919) % 8_355_840), 6, "0")))
-    return events(spark, sf_dir).select(i.alias("id"), P.compact_bits(X.target(bits)).alias("bits"))
+    return events(spark, sf_dir).select(i.alias("id"), compact_bits(X.target(bits)).alias("bits"))
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

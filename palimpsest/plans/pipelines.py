@@ -14,6 +14,8 @@ from ..operators import gates as G
 from ..operators.ancestry import walk
 from ..operators.relevance import relevance, with_epoch_bits
 from ..sources import sinks
+from ..sources.discovery import listing, sources
+from ..sources.family import publish_family, read_family
 from ..sources.folder import fresh_path, written
 from .evidence import C, E, by_case, canonical, epochs, headers, sql_dsha, sql_rev, with_h
 from .registry import Registry
@@ -59,8 +61,12 @@ def p01_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_h("SELECT id, classification, btc_height, CASE WHEN classification = 'canonical' THEN 'VALID (canonical block)' ELSE validation_status END AS validation_status, CASE WHEN classification = 'canonical' THEN true ELSE bits = expected_nbits END AS nbits_match, btc_height >= 478559 AS post_bch_fork FROM z WHERE classification = 'canonical' OR (classification = 'stale' AND validation_status LIKE 'VALID%')", *_FULL))
 def p02_family_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a family of chains publishes: canonical parents and valid stale ones, with the fork annotation."""
-    return A.published(classes(stored(spark, sf_dir))).select("id", "classification", "btc_height", "validation_status", "nbits_match", "post_bch_fork")
+    """What a family of chains publishes: canonical parents and valid stale ones, with the fork annotation, as two tables at once."""
+    path = fresh_path(spark, "family")
+    rows = written(A.published(classes(stored(spark, sf_dir))).select("id", "classification", "btc_height", "validation_status", "nbits_match", "post_bch_fork"), "published")
+    publish_family({k: rows.where(col("classification") == k) for k in ("canonical", "stale")}, path)
+    told = read_family(spark, path)
+    return told["canonical"].unionByName(told["stale"])
 
 
 @query(with_h("SELECT id, classification, btc_height, validation_status, rules FROM z", *_NO_COINBASE))
@@ -205,38 +211,89 @@ def e37_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_row_number", "chain", "btc_height", "btc_header_hash", "btc_prev_hash", "btc_time", "btc_bits", "coinbase_scriptsig_hex", "coinbase_outputs", "classification", "validation_status", "rejection_reason", F.array_join("errors", "|").alias("errors"))
 
 
-_IDENTITY = "CASE WHEN id % 2 = 0 THEN CASE WHEN btc_hash = '' THEN 'not a target' WHEN id % 12 >= 10 THEN CASE WHEN kind = 'canonical' THEN 'canonical_unhydrated' ELSE 'missing_identity' END WHEN id % 12 = 8 THEN CASE WHEN kind = 'canonical' THEN 'canonical_unhydrated' ELSE 'height_mismatch' END ELSE 'hydrated' END ELSE 'not a target' END"
-_EXPORT = f"""y AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'alpha' ELSE 'beta' END AS chain, CASE WHEN id % 2 = 0 THEN {_ALPHA_HASH} ELSE hash END AS btc_hash, CASE WHEN id % 2 = 0 THEN {_ALPHA_KIND} ELSE 'stale' END AS kind, CASE WHEN id % 2 = 1 THEN 'VALID: b' WHEN id % 8 = 4 THEN 'REJECTED_x' ELSE '' END AS status, hash FROM h),
-o AS (SELECT y.*, {_IDENTITY} AS outcome FROM y WHERE NOT (id % 8 = 2 AND id % 7 = 0)),
-w AS (SELECT id::VARCHAR AS source_row_number, id, chain, btc_hash AS btc_header_hash, kind AS classification, status AS validation_status, CASE WHEN outcome = 'hydrated' THEN sha256('child' || id) WHEN id % 2 = 1 THEN hash ELSE '' END AS child_block_hash, outcome FROM o)"""
+# Rows of an export before hydration: of alpha's inventory, which has heights for its canonical rows, and of its canonical companion; of beta's published stales and its unknown companion.
+_EXPORT = f"""a AS (SELECT id::VARCHAR AS source_row_number, id, 'alpha' AS chain, CASE WHEN id % 8 IN (2, 4) THEN height::VARCHAR ELSE '' END AS btc_height, {_ALPHA_HASH} AS btc_hash, {_ALPHA_KIND} AS kind, CASE WHEN id % 8 = 4 THEN 'REJECTED_x' ELSE '' END AS status, id AS child, 'archive' AS provenance FROM h WHERE id % 2 = 0),
+k AS (SELECT 'c' || id AS source_row_number, id, 'alpha' AS chain, (height + CASE WHEN id % 5 = 1 THEN 1 ELSE 0 END)::VARCHAR AS btc_height, hash AS btc_hash, 'canonical' AS kind, '' AS status, id AS child, 'repo-data' AS provenance FROM h WHERE (id % 8 = 2 AND id % 5 < 2) OR (id % 8 = 1 AND id % 5 = 0)),
+y AS (SELECT * FROM a UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.kind = 'canonical' AND a.btc_height = k.btc_height AND a.btc_hash = k.btc_hash)
+  UNION ALL SELECT id::VARCHAR, id, 'beta', height::VARCHAR, hash, 'stale', 'VALID: b', id, 'repo-data' FROM h WHERE id % 2 = 1
+  UNION ALL SELECT 'u' || id, id, 'beta', '', hash, 'unknown', '', id, 'repo-data' FROM h WHERE id % 16 = 3),
+o AS (SELECT y.*, CASE WHEN chain = 'beta' OR btc_hash = '' THEN 'not a target' WHEN id % 2 = 1 OR id % 12 >= 10 THEN CASE WHEN kind = 'canonical' THEN 'canonical_unhydrated' ELSE 'missing_identity' END
+  WHEN id % 12 = 8 THEN CASE WHEN kind = 'canonical' THEN 'canonical_unhydrated' ELSE 'height_mismatch' END ELSE 'hydrated' END AS outcome, own FROM y JOIN (SELECT id, hash AS own FROM h) USING (id)),
+w AS (SELECT source_row_number, id, chain, btc_height, btc_hash AS btc_header_hash, kind AS classification, status AS validation_status, CASE WHEN outcome = 'hydrated' THEN sha256('child' || id) WHEN id % 2 = 1 AND chain = 'beta' AND source_row_number NOT LIKE 'u%' THEN own ELSE '' END AS child_block_hash, outcome, provenance FROM o)"""
+
+
+def _laid_out(h: DataFrame, root: str) -> None:
+    """Source files as an archive and the repository's data hold them: an inventory in the archive, with an older one in the data that doesn't count; published stales; companions of both kinds."""
+    i = col("id")
+    put = lambda df, place: df.write.option("header", True).option("emptyValue", "").csv(f"{root}/{place}")
+    inventory = _alpha(h)
+    heights = h.where("id % 2 = 0").select(i.cast("string").alias("source_row_number"), F.when(i % 8 == 2, col("height")).alias("btc_height"))
+    put(inventory.join(heights, "source_row_number"), "archive/alpha/classified/alpha_stale_blocks.csv")
+    put(inventory.limit(3), "data/alpha_stale_blocks.csv")
+    companion = h.where("(id % 8 = 2 and id % 5 < 2) or (id % 8 = 1 and id % 5 = 0)")
+    put(companion.select(F.concat(F.lit("c"), i).alias("source_row_number"), F.upper("hash").alias("btc_header_hash"), (col("height") + F.when(i % 5 == 1, 1).otherwise(0)).alias("btc_height"), (col("height") - 7).alias("alpha_height"), F.lit("canonical").alias("classification")), "data/alpha_canonical_blocks.csv")
+    put(_beta(h), "data/validated-stales/beta_validated_stales.csv")
+    put(h.where("id % 16 = 3").select(F.concat(F.lit("u"), i).alias("source_row_number"), col("hash").alias("btc_header_hash")), "data/beta_unknown_blocks.csv")
+
+
+def exported(spark: SparkSession, roots: list[str], data_root: str, chains: list[str], height_columns: dict[str, str]) -> DataFrame:
+    """The rows of all chains in one schema, from the files that are found under ``roots``: each chain's inventory, or else its published stales, with its companions."""
+    names = spark.createDataFrame([(c,) for c in chains], "chain string")
+    told = {(r["chain"], r["role"]): r for r in sources(names, listing(spark, roots), data_root).collect()}  # a few for each chain
+    parts = []
+    for chain in chains:
+        rows = {}
+        for role in ("primary", "canonical", "unknown"):
+            r = told.get((chain, role))
+            if r is not None and r["path"] is not None:
+                table = spark.read.option("header", True).csv(r["path"])
+                rows[role] = V.normalised(table, V.Source(chain, r["source_kind"], r["path"].rpartition("/")[2], r["artifact_scope"], r["provenance"], height_columns.get(chain)))
+        if rows:
+            primary = rows.get("primary", next(iter(rows.values())).limit(0))
+            parts.append(V.with_companions(primary, rows.get("canonical"), rows.get("unknown")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two sources, without canonical ones that a companion table has, with child identities."""
+    """The rows that are found, with child identities, of which there are two files; the last one's count."""
     h = stored(spark, sf_dir)
-    rows = V.normalised(_alpha(h), ALPHA).unionByName(V.normalised(_beta(h), BETA))
-    companion = h.where("id % 7 = 0").select(col("hash").alias("btc_header_hash"))
-    main = rows.where("classification = 'canonical'").join(companion, "btc_header_hash", "left_anti")
-    rows = main.unionByName(rows.where("classification <> 'canonical'"))
+    root = fresh_path(spark, "sources")
+    _laid_out(h, root)
+    rows = exported(spark, [f"{root}/archive", f"{root}/data"], f"{root}/data", ["alpha", "beta"], {"alpha": "alpha_height"})
     ids = h.where("id % 2 = 0 and id % 12 < 10").select(F.lit("alpha").alias("chain"), col("hash").alias("btc_header_hash"), (col("height") - 7 + F.when(col("id") % 12 == 8, 1).otherwise(0)).cast("string").alias("child_height"), F.sha2(F.concat(F.lit("child"), col("id").cast("string")), 256).alias("child_block_hash"), col("t").cast("string").alias("child_block_time"))
-    return V.hydrated(rows, ids, ())
+    older = ids.withColumn("child_block_hash", F.sha2("child_block_hash", 256)).withColumn("file", F.lit(1))
+    return V.hydrated(rows, older.unionByName(ids.withColumn("file", F.lit(2))), ())
+
+
+_SHOWN = ["source_row_number", "chain", "btc_height", "btc_header_hash", "classification", "validation_status", "child_block_hash", "outcome", "provenance"]
 
 
-@query(with_h("SELECT source_row_number, chain, btc_header_hash, classification, validation_status, child_block_hash, outcome FROM w", _EXPORT))
+@query(with_h(f"SELECT {', '.join(_SHOWN)} FROM w", _EXPORT))
 def p07_full_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full-evidence export, written in its 25 columns and read back."""
+    """The full-evidence export: sources and companions as they are found, in one schema, with child identities; published with its counts, in its 25 columns, and read back."""
     path = fresh_path(spark, "evidence")
-    sinks.project(_export(spark, sf_dir), [*V.FIELDS, "outcome"]).write.parquet(path)
-    return spark.read.parquet(path).select("source_row_number", "chain", "btc_header_hash", "classification", "validation_status", "child_block_hash", "outcome")
+    rows = written(sinks.project(_export(spark, sf_dir), [*V.FIELDS, "outcome"]), "export")
+    publish_family({"evidence": rows, "counts": sinks.manifest(rows)}, path)
+    return read_family(spark, path)["evidence"].select(*_SHOWN)
 
 
-@query(with_h("""SELECT source_row_number, btc_header_hash, CASE classification WHEN 'canonical' THEN 'canonical' WHEN 'stale' THEN 'stale' ELSE CASE WHEN id % 5 = 0 THEN 'valid_stale_descendant' ELSE 'strict_btc_orphan' END END AS verdict, CASE WHEN classification = 'unknown' AND id % 5 = 0 THEN 'VALID_STALE_DESCENDANT' ELSE validation_status END AS validation_status
- FROM w WHERE classification = 'canonical' OR (classification = 'stale' AND validation_status LIKE 'VALID%') OR (classification = 'unknown' AND btc_header_hash <> '' AND (id % 5 = 0 OR id % 9 = 0))""", _EXPORT))
+@query(with_h("SELECT chain, '{' || array_to_string(list_sort(list('\"' || classification || '\":' || n)), ',') || '}' AS counts FROM (SELECT chain, classification, count(*) AS n FROM w GROUP BY 1, 2) GROUP BY chain", _EXPORT))
+def p07_evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that are published beside the export."""
+    return sinks.manifest(_export(spark, sf_dir))
+
+
+@query(with_h("""SELECT source_row_number, btc_header_hash, CASE classification WHEN 'canonical' THEN 'canonical' WHEN 'stale' THEN 'stale' ELSE CASE WHEN id % 5 = 0 AND chain = 'alpha' THEN 'valid_stale_descendant' WHEN id % 18 = 0 OR id % 9 = 3 THEN 'strict_btc_orphan' ELSE 'weak_btc_orphan' END END AS verdict, CASE WHEN classification = 'unknown' AND id % 5 = 0 AND chain = 'alpha' THEN 'VALID_STALE_DESCENDANT' ELSE validation_status END AS validation_status
+ FROM w WHERE classification = 'canonical' OR (classification = 'stale' AND validation_status LIKE 'VALID%') OR (classification = 'unknown' AND btc_header_hash <> '' AND ((id % 5 = 0 AND chain = 'alpha') OR id % 9 IN (0, 3)))""", _EXPORT))
 def p08_monitor_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the full export that a monitor admits."""
-    h = headers(spark, sf_dir)
+    """Rows of the full export that a monitor admits. Some hashes have both verdicts."""
+    h = stored(spark, sf_dir)
     observed = h.where("id % 5 = 0 and id % 2 = 0").select(F.lit("alpha").alias("chain"), col("hash").alias("btc_header_hash"))
-    verdicts = h.where("id % 9 = 0").select(col("hash").alias("btc_header_hash"), F.lit("strict_btc_orphan").alias("verdict"))
+    told = lambda rows, verdict: h.where(rows).select(col("hash").alias("btc_header_hash"), F.lit(verdict).alias("verdict"))
+    verdicts = told("id % 9 in (0, 3)", "weak_btc_orphan").unionByName(told("id % 18 = 0 or id % 9 = 3", "strict_btc_orphan")).unionByName(told("id % 9 = 5", "excluded"))
     return V.admitted(_export(spark, sf_dir), observed, verdicts).select("source_row_number", "btc_header_hash", "verdict", "validation_status")
 
 

@@ -239,14 +239,6 @@ def s17_pointer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-@query("SELECT k * 2016 AS height, k >= 90 AS fetched, printf('%08x', 486604799 - k) AS bits FROM range(100) r(k)")
-def s18_epoch_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of epochs brought up to date: only missing starts are fetched, up to six blocks under the tip; the last kept
-    epoch must still be on the chain."""
-    source = spark.range(0, 200_000, 2016).select(col("id").alias("height"), F.lower(F.lpad(F.hex(F.lit(486_604_799) - (col("id") / 2016).cast("bigint")), 8, "0")).alias("bits"), F.sha2(col("id").cast("string"), 256).alias("hash"))
-    return files.refreshed_epochs(source.where("height < 90 * 2016"), source, 99 * 2016 + 6).select("height", "fetched", "bits")
-
-
 @query(with_h("SELECT height, hash, n FROM (SELECT height, hash, id, CASE WHEN id % 4 = 0 THEN 2 ELSE 1 END AS n FROM h WHERE id % 5 = 0) WHERE n > 0"))
 def s19_builder_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows from a JSON export whose delimited chains must be distinct and of known prefixes; others fail the read."""

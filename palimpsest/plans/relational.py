@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hexbytes as X
 from ..operators import gates as G
 from ..operators.ancestry import walk
+from ..operators.evidence_rows import with_companions
 from ..operators.matching import anti_exact, asof_backward, first_by, lagged, ranked
 from .evidence import C, E, H, canonical, epochs, headers, with_h
 from .registry import Registry
@@ -241,12 +242,15 @@ def j04_error_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anti_exact(h, h.where("id % 50 = 7").select("height", "hash"), ["height", "hash"]).select("id", "height", "hash")
 
 
-@query(with_h("SELECT id, id % 2 = 0 AS is_canonical FROM h WHERE NOT (id % 2 = 0 AND id % 7 = 0)"))
+@query(with_h("""SELECT id, side, classification FROM (SELECT id, 'primary' AS side, CASE WHEN id % 2 = 0 THEN 'canonical' ELSE 'unknown' END AS classification, true AS stays FROM h WHERE id % 3 < 2
+ UNION ALL SELECT c.id, 'companion', CASE WHEN c.id % 6 = 5 THEN 'stale' ELSE 'canonical' END, c.id % 6 = 5 OR NOT EXISTS (SELECT 1 FROM h p WHERE p.id % 3 < 2 AND p.id % 2 = 0 AND p.height = c.height + CASE WHEN c.id % 8 = 0 THEN 1 ELSE 0 END AND CASE WHEN p.id % 10 = 0 THEN '' ELSE p.hash END = c.hash) FROM h c WHERE c.id % 4 <> 1) WHERE stays"""))
 def j05_companion_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical rows that a companion table holds go; other rows stay, companions or not."""
-    h = headers(spark, sf_dir).select("id", "hash", (col("id") % 2 == 0).alias("is_canonical"))
-    companion = h.where("id % 7 = 0").select("hash")
-    return h.where("is_canonical").join(companion, "hash", "left_anti").unionByName(h.where("not is_canonical")).select("id", "is_canonical")
+    """A canonical companion beside a primary table: what both hold, by height and hash, is taken once. Primary rows all stay, those without a hash too."""
+    h, i = headers(spark, sf_dir), col("id")
+    told = lambda df, side, height, hashed, kind: df.select("id", F.lit(side).alias("side"), "chain", height.cast("string").alias("btc_height"), hashed.alias("btc_header_hash"), kind.alias("classification"))
+    primary = told(h.where("id % 3 < 2"), "primary", col("height"), F.when(i % 10 == 0, "").otherwise(col("hash")), F.when(i % 2 == 0, "canonical").otherwise("unknown"))
+    companion = told(h.where("id % 4 <> 1"), "companion", col("height") + F.when(i % 8 == 0, 1).otherwise(0), F.upper("hash"), F.when(i % 6 == 5, "stale").otherwise("canonical"))
+    return with_companions(primary, companion).select("id", "side", "classification")
 
 
 @query(with_h("""SELECT prev, bucket, id FROM (SELECT prev, id, CASE WHEN id % 2 = 0 THEN 'strict' ELSE 'weak' END AS bucket, row_number() OVER (PARTITION BY prev ORDER BY id % 2, id) AS n FROM h WHERE id % 5 <> 0) WHERE n = 1"""))

@@ -118,17 +118,6 @@ def authenticated(read: DataFrame, index: DataFrame, failures: DataFrame) -> Dat
     return joined.withColumn("state", state).drop("_read", "_failed", "_known")
 
 
-def refreshed_epochs(kept: DataFrame, source: DataFrame, tip: int, confirmations: int = 6, interval: int = 2016) -> DataFrame:
-    """(height, bits, hash, fetched): ``kept`` and the starts of later epochs that ``source`` has, up to ``confirmations`` under the tip."""
-    last = kept.agg(F.max("height").alias("height"), F.max_by("hash", "height").alias("kept_hash"))
-    wrong = last.join(source, "height").where("kept_hash <> hash")
-    if not wrong.isEmpty():
-        raise ValueError("the last kept epoch is no longer on the chain")
-    starts = source.where((F.col("height") % interval == 0) & (F.col("height") <= tip - confirmations))
-    fresh = starts.join(kept.select("height"), "height", "left_anti").withColumn("fetched", F.lit(True))
-    return kept.withColumn("fetched", F.lit(False)).unionByName(fresh)
-
-
 def builder_rows(rows: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """``rows`` with the array of their ``chains``: at least one, all different, each with a known prefix; else the read fails."""
     chains = F.split("source_chains", "\\|")

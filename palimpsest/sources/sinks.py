@@ -72,6 +72,6 @@ def report_lines(table: DataFrame, columns: list[str], prior: str = "") -> DataF
 def write_complete_or_partial(rows: DataFrame, path: str) -> None:
     """Chains whose rows are all verified go to ``path``; the others, whole, to its sibling for partial runs."""
     open_chains = rows.groupBy("chain").agg((F.count_if(F.col("verification") == "") > 0).alias("open"))
-    told = rows.join(F.broadcast(open_chains), "chain")
+    told = rows.join(open_chains, "chain")
     told.where("not open").drop("open").write.parquet(path)
     told.where("open").drop("open").write.parquet(path + ".partial")

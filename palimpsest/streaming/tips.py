@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from .settings import held
 
 
 def chain_tips(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, out: str, files: int = 4) -> DataFrame:
@@ -15,13 +15,13 @@ def chain_tips(spark: SparkSession, source: str, schema: T.StructType, checkpoin
     Each batch writes the chains that it changed; a batch that is run again after a failure replaces its own output,
     and a later call with the same checkpoint reads new files only.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     tips = stream.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("height", "hash")).alias("tip"))
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    tips.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with held(spark):
+        tips.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     told = spark.read.parquet(out)
     return told.groupBy("chain").agg(F.max_by("n", "batch").alias("n"), F.max_by("tip", "batch").alias("tip")).select("chain", "n", F.col("tip.height").alias("tip_height"), F.col("tip.hash").alias("tip_hash"))

@@ -53,11 +53,10 @@ def test_addresses():
     assert P.address_of(b"\x6a") is None and P.script_of("0OIl") is None
 
 
-def test_retarget_is_clamped():
+def test_compact_form():
     target = int("00000000ffff" + "0" * 52, 16)
-    assert P.compact_of(target) == 0x1D00FFFF
-    assert P.next_target(target, 1, 1_209_600, target) == target // 4
-    assert P.next_target(target, 10**9, 1_209_600, target) == target
+    assert P.compact_of(target) == 0x1D00FFFF and P.target_of("1d00ffff") == target
+    assert P.target_of("1d80ffff") is None and P.target_of("zz") is None and P.target_of("1d00fff") is None
 
 
 def test_frames_mask_and_noise():
