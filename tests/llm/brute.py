@@ -130,21 +130,39 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def languages(rows: list[tuple], vectors: np.ndarray, table: np.ndarray) -> dict[int, tuple]:
-    """held_out, language and score of each row, one trigram at a time; ``vectors`` of letters and the ``table`` of their symbols."""
+def letter_vector(point: int) -> list[int]:
+    """1,024 times +1 or -1 from a code point, with whole numbers of Python."""
+    out, m = [], (1 << 64) - 1
+    for k in range(16):
+        x = ((point * 16 + k) * 0x9E3779B97F4A7C15 + 20_001) & m
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & m
+        x ^= x >> 33
+        out += [1 if x >> i & 1 else -1 for i in range(64)]
+    return out
+
+
+def languages(rows: list[tuple]) -> dict[int, tuple]:
+    """held_out, language and score of each row, one trigram at a time."""
+    known: dict[int, np.ndarray] = {}
+
+    def vector(point: int) -> np.ndarray:
+        if point not in known:
+            known[point] = np.array(letter_vector(point), float)
+        return known[point]
 
     def bundle(text: str | None) -> np.ndarray | None:
         symbols = [0]
         for c in (text or "").lower():
-            s = int(table[ord(c)])
+            s = ord(c) if c.isalpha() else 0
             if s or symbols[-1]:
                 symbols.append(s)
         if not any(symbols):
             return None
         symbols += [0] if symbols[-1] else []
-        out, n = np.zeros(vectors.shape[1]), 0
+        out, n = np.zeros(1024), 0
         for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
-            out += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c].astype(float)
+            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
             n += 1
         return out / max(n, 1)
 

@@ -171,7 +171,7 @@ def test_language_held_out_accuracy(spark):
 def test_language_like_plain(spark, docs):
     """Trigrams, bundles and cosines counted one by one in Python give the same languages and scores."""
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
-    want = brute.languages(rows, language_id.letters(), language_id.letter_table())
+    want = brute.languages(rows)
     got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
     assert {i: g[:2] for i, g in got.items()} == {i: w[:2] for i, w in want.items()}
     assert all(abs(got[i][2] - w[2]) < 1e-3 for i, w in want.items())
@@ -185,11 +185,38 @@ def test_letters_of_all_scripts(spark):
 
 
 def test_binding_is_by_place():
-    v, k = language_id.trigram_vectors(), language_id.SYMBOLS
-    one, two = v[(1 * k + 2) * k + 3].astype(int), v[(3 * k + 2) * k + 1].astype(int)
+    code = lambda a, b, c: a << 42 | b << 21 | c
+    one, two = language_id.trigram_vectors(np.array([code(1, 2, 3), code(3, 2, 1)])).astype(int)
     assert abs(one @ two) < 0.2 * language_id.DIMENSIONS and one @ one == language_id.DIMENSIONS
 
 
+def test_letters_have_vectors_of_their_own():
+    points = np.array([0, *range(0x41, 0x250), *range(0x400, 0x460), *range(0x4E00, 0x5000)])
+    v = language_id.letter_vectors(points).astype(int)
+    apart = v @ v.T - language_id.DIMENSIONS * np.eye(len(points), dtype=int)
+    assert np.abs(apart).max() < 0.25 * language_id.DIMENSIONS
+    assert v[5].tolist() == brute.letter_vector(int(points[5]))
+
+
+@pytest.mark.parametrize("held", [8, language_id.HELD])
+def test_two_languages_in_one_script(spark, monkeypatch, held):
+    """Two invented languages in Cyrillic and two in Chinese letters, told by their letters' order alone; also where few vectors are held at once."""
+    monkeypatch.setattr(language_id, "HELD", held)
+    monkeypatch.setattr(language_id, "COUNTED", 50 if held == 8 else language_id.COUNTED)
+    rng = np.random.default_rng(6)
+    rows = []
+    for script, base in (("cyr", 0x430), ("han", 0x4E00)):
+        alphabet = [chr(base + i) for i in range(26)]
+        for lang in range(2):
+            parts = ["".join(rng.permutation(alphabet)[:3]) for _ in range(12)]
+            for _ in range(60):
+                words = ["".join(rng.choice(parts, int(rng.integers(1, 4)))) for _ in range(40)]
+                rows.append((len(rows), " ".join(words), f"{script}{lang}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs).join(docs, "doc_id").where("held_out").select("lang_pred", "lang").collect()
+    assert len(got) > 60 and all(a == b for a, b in got)
+
+
 # --- 5 ---
 
 
