@@ -47,15 +47,16 @@ def validated(rows: DataFrame, expected: DataFrame, coinbase_rules: bool = True)
     c = F.col
     bits = G.bits_gate(c("btc_height"), c("bits"), c("expected_nbits"))
     place = G.placement_gate(c("prev"), c("btc_height") - 1, c("parent_confirmations"), c("btc_height"))
-    full = G.first_failure(c("btc_height"), c("header_hex"), c("t"), c("parent_mtp"), c("declared"), c("script"))
-    context = full if coinbase_rules else F.coalesce(G.time_gate(c("t"), c("parent_mtp")), G.version_gate(c("btc_height"), c("header_hex")))
+    script = c("script") if coinbase_rules else F.lit(None).cast("string")
+    declared = c("declared") if coinbase_rules else F.lit(None).cast("string")
+    rows, e = G.bound(rows, c("btc_height"), c("header_hex"), declared, script)
+    context = G.first_failure(e, c("t"), c("parent_mtp")) if coinbase_rules else F.coalesce(G.time_gate(c("t"), c("parent_mtp")), G.version_gate(c("btc_height"), c("header_hex")))
     stale = c("classification") == "stale"
     rows = rows.withColumn("_bits", bits).withColumn("_context", F.coalesce(place, context))
     status = F.when(stale, F.when(c("_context") == G.PLACEMENT, G.PLACEMENT).otherwise(overwritten(c("_bits"), c("_context"))))
-    script = c("script") if coinbase_rules else F.lit(None).cast("string")
-    rules = G.violations(c("btc_height"), c("header_hex"), c("t"), c("parent_mtp"), script, F.lit(None).cast("boolean"))
+    rules = G.violations(e, c("t"), c("parent_mtp"), F.lit(None).cast("boolean"))
     rows = rows.withColumns({"validation_status": status, "expected_nbits": F.when(stale, c("expected_nbits"))}).drop("_bits", "_context")
-    return rows.withColumn("rules_violated", F.when(stale & c("validation_status").startswith("REJECTED"), rules))
+    return G.unbound(rows.withColumn("rules_violated", F.when(stale & c("validation_status").startswith("REJECTED"), rules)))
 
 
 def routed(rows: DataFrame) -> DataFrame:

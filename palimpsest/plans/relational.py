@@ -73,14 +73,15 @@ def f04_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_h(f"SELECT id, {_push_sql(True)} AS error FROM h"))
 def f05_height_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers(spark, sf_dir).select("id", G.height_gate(col("height"), col("header_hex"), col("declared"), col("script")).alias("error"))
+    rows, evidence = G.bound(headers(spark, sf_dir), col("height"), col("header_hex"), col("declared"), col("script"))
+    return rows.select("id", G.push_gate(evidence).alias("error"))
 
 
 @query(with_h(f"SELECT id, coalesce({_TIME}, {_VERSION}, {_LENGTH}, {_push_sql(True)}) AS error FROM h LEFT JOIN p USING (prev)", C, _PARENT))
 def f06_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = headers(spark, sf_dir)
-    first = G.first_failure(col("height"), col("header_hex"), col("t"), col("mtp"), col("declared"), col("script"))
-    return h.join(_parents(h), "prev", "left").select("id", first.alias("error"))
+    rows, evidence = G.bound(h.join(_parents(h), "prev", "left"), col("height"), col("header_hex"), col("declared"), col("script"))
+    return rows.select("id", G.first_failure(evidence, col("t"), col("mtp")).alias("error"))
 
 
 @query(with_h("SELECT id, CASE WHEN parent_height IS NULL OR parent_confirmations <= 0 THEN 'REJECTED: predecessor is not the active-chain block before this height' WHEN parent_height + 1 <> height THEN 'UNKNOWN: parent height disagrees' END AS error FROM h LEFT JOIN p USING (prev)", C, _PARENT))
@@ -116,7 +117,8 @@ def _with_epochs(h: DataFrame) -> DataFrame:
 def _rules(h: DataFrame) -> DataFrame:
     joined = _with_epochs(h).join(_parents(h), "prev", "left")
     retarget = G.retarget_gate(col("height"), col("bits"), col("epoch_bits"), col("previous_bits"))
-    return joined.withColumn("rules", G.violations(col("height"), col("header_hex"), col("t"), col("mtp"), col("script"), retarget))
+    rows, evidence = G.bound(joined.withColumn("_retarget", retarget), col("height"), col("header_hex"), F.lit(None).cast("string"), col("script"))
+    return G.unbound(rows.withColumn("rules", G.violations(evidence, col("t"), col("mtp"), col("_retarget")))).drop("_retarget")
 
 
 @query(with_h(f"SELECT id, array_to_string({_RULES}, '|') AS rules FROM {_EPOCH_JOIN}", C, _PARENT, E))
