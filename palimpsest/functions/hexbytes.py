@@ -224,3 +224,58 @@ def hash_text(text: Column) -> Column:
     """A 64-digit hash in lower case, else null."""
     t = F.lower(F.trim(text))
     return F.when(is_hex(t, 32), t)
+
+
+def expanded(mantissa: Column, exponent: Column) -> Column:
+    """mantissa * 256 ** (exponent - 3), rounded down, as 64 hex digits; null if it is wider than 256 bits. ``mantissa`` has 24 bits."""
+    m = F.lpad(F.lower(F.hex(mantissa)), 6, "0")
+    short = F.substring(m, F.lit(1), (2 * exponent).cast("int"))
+    digits = F.ltrim(F.concat(m, F.repeat(F.lit("00"), F.greatest(exponent - 3, F.lit(0)))), F.lit("0"))
+    return F.when(exponent <= 3, F.lpad(short, 64, "0")).when(F.length(digits) <= 64, F.lpad(digits, 64, "0"))
+
+
+def target_variants(bits: Column, limit: str) -> Column:
+    """What readers of different chains make of compact bits, as a struct; null where a reader refuses them, all ones where it takes a target of over 256 bits.
+
+    ``signed``: the sign bit makes the target negative (a minus before the digits, rounded down). ``strict``: it makes it invalid. ``unsigned``: it is ignored. ``bounded``: also zero and
+    more than 256 bits are invalid. ``limited``: as ``bounded``, with a limit, and a sign without a mantissa is no sign. ``masked``: it counts as a digit."""
+    ok = is_hex(bits, 4)
+    exponent = F.conv(F.substring(bits, 1, 2), 16, 10).cast("int")
+    whole = big_endian(F.substring(bits, 3, 6))
+    sign, mantissa = whole >= 0x800000, whole % 0x800000
+    plain = expanded(mantissa, exponent)
+    wide = F.repeat(F.lit("f"), 64)
+    # rounding down a negative number adds one wherever digits are cut off
+    cut = F.when(exponent <= 2, F.substring(F.lpad(F.hex(mantissa), 6, "0"), 2 * exponent + 1, F.lit(6)).rlike("[^0]")).otherwise(F.lit(False))
+    up = expanded(F.floor(mantissa / F.pow(F.lit(256.0), 3 - exponent)).cast("bigint") + cut.cast("bigint"), F.lit(3))
+    negative = F.concat(F.lit("-"), F.when(exponent <= 2, up).otherwise(F.coalesce(plain, wide)))
+    none = F.lit(None).cast("string")
+    bounded = F.when(~sign & (plain > "0" * 64), plain)
+    return F.struct(
+        F.when(ok, F.when(sign & (mantissa > 0), negative).otherwise(F.coalesce(plain, wide))).alias("signed"),
+        F.when(ok, F.when(sign, none).otherwise(F.coalesce(plain, wide))).alias("strict"),
+        F.when(ok, F.coalesce(plain, wide)).alias("unsigned"),
+        F.when(ok, bounded).alias("bounded"),
+        F.when(ok & (plain > "0" * 64) & (plain <= limit) & ~sign, plain).alias("limited"),
+        F.when(ok, F.coalesce(expanded(whole, exponent), wide)).alias("masked"),
+    )
+
+
+def pushed_height_audit(script: Column) -> Column:
+    """As auditors read a height push: a direct push of one to five bytes, without a sign."""
+    size = F.conv(F.substring(script, 1, 2), 16, 10).cast("int")
+    body = F.substring(script, F.lit(3), 2 * size)
+    return F.when(is_hex(script) & size.between(1, 5) & (F.length(body) == 2 * size), big_endian(rev_any(body)))
+
+
+def compact_size(h: Column, maximum: Column | None = None) -> Column:
+    """The compact size that hex begins with: value (20 digits), bytes, and a ``fault``: cut short, not the shortest form, or above the maximum."""
+    first = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
+    size = F.when(first < 253, 1).when(first == 253, 3).when(first == 254, 5).otherwise(9)
+    body = F.when(first < 253, F.substring(h, 1, 2)).otherwise(F.substring(h, F.lit(3), 2 * size - 2))
+    whole = (F.length(h) >= 2) & (F.length(F.substring(h, F.lit(1), 2 * size)) == 2 * size)
+    value = F.when(whole, F.conv(rev_any(body), 16, 10).cast("decimal(20,0)"))
+    least = F.when(first == 253, 253).when(first == 254, 1 << 16).when(first == 255, 1 << 32).otherwise(0)
+    above = F.lit(False) if maximum is None else value > maximum
+    fault = F.when(~whole, "cut short").when(value < least, "not the shortest form").when(above, "above the maximum")
+    return F.struct(value.alias("value"), F.when(whole, size).alias("bytes"), fault.alias("fault"))

@@ -14,7 +14,6 @@ from ..sources.folder import fresh_path
 from ..streaming.tips import chain_tips
 from .evidence import events, headers, with_h
 from .registry import Registry
-from .pipelines import classes, stored
 
 R = Registry()
 query = R.query
@@ -206,11 +205,3 @@ def s12_chain_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = headers(spark, sf_dir).select("chain", "height", "hash")
     rows.repartition(8).write.parquet(f"{path}/in")
     return chain_tips(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", f"{path}/out")
-
-
-@query()
-def k02_published_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classifier's output as class buckets, as a reader of the published table sees it."""
-    path = fresh_path(spark, "classes")
-    sinks.write_buckets(classes(stored(spark, sf_dir)).select("id", "chain", "btc_height", "hash", "classification", "validation_status"), path)
-    return spark.read.parquet(path)

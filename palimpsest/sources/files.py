@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,76 @@ def read_json_blocks(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def first_parents(spark: SparkSession, path: str, schema: T.StructType, parent: str) -> DataFrame:
+    """Decoded blocks as JSON lines, of those that name one parent the first: in order of file names, places in a file, and lines. Blocks without a parent go."""
+    rows = read_json_blocks(spark, path, schema).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("_order"))
+    names = [c for c in rows.columns if c != "_order"]
+    first = rows.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("_parent")).agg(F.min_by(F.struct(*names), "_order").alias("_first"))
+    return first.select("_first.*")
+
+
+def read_json_list(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """The objects of files that hold one JSON list each; a file that holds none fails the read."""
+    text = spark.read.option("wholetext", True).text(path)
+    rows = text.select(F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"}).alias("rows"))
+    return rows.select(F.explode("rows").alias("row")).select("row.*")
+
+
+def read_cache(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(key, state, detail) of JSON maps whose values are true or an object (``present``, the object's text as ``detail``), false (``absent``), or null (``unknown``). Any
+    other value fails the read."""
+    rows = read_json_map(spark, path)
+    state = F.when(F.col("value").isNull() | (F.col("value") == "null"), "unknown").when(F.col("value") == "false", "absent").when((F.col("value") == "true") | F.col("value").startswith("{"), "present")
+    checked = F.coalesce(state, F.raise_error(F.lit("a cache holds a value that is neither true, false, an object nor null")).cast("string"))
+    return rows.select("key", checked.alias("state"), F.when(F.col("value").startswith("{"), F.col("value")).alias("detail"))
+
+
+def read_census(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, size) of a census of markers: hashes of 32 bytes in internal order, each once; a null size is a block without a marker. A row that breaks this fails the query."""
+    rows = spark.read.schema("hash binary, size bigint").parquet(path)
+    one = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    good = (F.octet_length("hash") == 32) & (F.col("n") == 1)
+    return one.select(F.when(F.coalesce(good, F.lit(False)), F.col("hash")).otherwise(F.raise_error(F.lit("a census row has no hash of its own")).cast("binary")).alias("hash"), "size")
+
+
+def in_census(rows: DataFrame, census: DataFrame) -> DataFrame:
+    """``rows`` (hash as it is shown, and more) with ``state`` (present, absent, not found) and the marker's ``size``."""
+    shown = census.select(F.regexp_replace(F.reverse(F.lower(F.hex("hash"))), "(.)(.)", "$2$1").alias("_shown"), "size", F.lit(True).alias("_found"))
+    state = F.when(F.col("_found").isNull(), "not found").when(F.col("size").isNull(), "absent").otherwise("present")
+    return rows.join(shown, F.lower("hash") == F.col("_shown"), "left").withColumn("state", state).drop("_shown", "_found")
+
+
+def write_block_files(blocks: DataFrame, folder: str) -> int:
+    """A file block_<height>.bin for each row (height, content) of ``blocks``, written by the tasks; how many."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, place = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for height, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with target.open_output_stream(f"{place}/block_{height}.bin") as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    return blocks.select(F.col("height").cast("bigint"), "content").mapInArrow(put, "height bigint").count()
+
+
+def block_files(spark: SparkSession, path: str, pattern: str = r"block_(\d+)\.bin$") -> DataFrame:
+    """(height, content) of files that hold one block each and have its height in their name; another name fails the read, as does a height that stands twice."""
+    found = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", pattern, 1).alias("height"), "content")
+    height = F.when(F.col("height") == "", F.raise_error(F.lit("a file's name has no height")).cast("bigint")).otherwise(F.col("height").cast("bigint"))
+    one = found.withColumn("height", height).groupBy("height").agg(F.count(F.lit(1)).alias("n"), F.first("content").alias("content"))
+    return one.select(F.when(F.col("n") > 1, F.raise_error(F.lit("two files have one height")).cast("bigint")).otherwise(F.col("height")).alias("height"), "content")
+
+
 def read_json_map(spark: SparkSession, path: str | list[str], key: Column | None = None) -> DataFrame:
     """(key, value) of files that hold one JSON object each; of equal keys the file that sorts last wins."""
     text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     rows = text.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
-    return rows.groupBy("key").agg(F.max_by("value", "file").alias("value"))
+    return rows.groupBy("key").agg(F.max_by(F.struct("value"), "file")["value"].alias("value"))
 
 
 FRAMES = "path string, number int, offset long, block binary"
