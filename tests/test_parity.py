@@ -6,23 +6,25 @@ import pytest
 from __spark_entry__ import REGISTRIES
 
 SF = "sf0.001"
+#: Queries of expressions, joins and pipelines are compared on ten times as many rows, as some cases don't occur among fewer.
+LARGER = "sf0.01"
 SQL = {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
 QUERIES = {name: f for r in REGISTRIES for name, f in r.queries.items()}
 
 
 @pytest.fixture(scope="module")
 def con():
-    return parity.connection(SF)
+    return {sf: parity.connection(sf) for sf in (SF, LARGER)}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_rows_equal_sql(spark, con, name):
-    assert parity.difference(spark, QUERIES[name], SQL[name], SF, con) == ""
+    sf = LARGER if name[0] in "pje" else SF
+    assert parity.difference(spark, QUERIES[name], SQL[name], sf, con[sf]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, f"/root/testdata/{SF}").count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
