@@ -17,33 +17,44 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def intervals(table: DataFrame, start: str, end: str = "_until", bound: int = 10_000) -> DataFrame:
-    """Each row with the start of the next one; the last has none. A table of over ``bound`` rows is ranked in ranges first."""
-    if table.count() <= bound:
-        return table.withColumn(end, F.lead(start).over(Window.orderBy(start)))
-    placed = ranked(table, start)
-    after = placed.select((F.col("place") - 1).alias("place"), F.col(start).alias(end))
-    return placed.join(after, "place", "left").select(*table.columns, end)
-
-
 def asof_backward(rows: DataFrame, at: str, table: DataFrame, start: str, bound: int = 10_000) -> DataFrame:
-    """Each row of ``rows`` with the last row of ``table`` that starts at or before it; nulls before the first. ``at`` and ``start`` are whole
-    numbers.
+    """Each row of ``rows`` with the last row of ``table`` that starts at or before it; nulls before the first, and where ``at`` is null. ``at`` and ``start`` are whole
+    numbers; of entries that start at once one counts.
 
-    An entry holds until the next one starts. It is put into every bucket of time that it touches, about two of them, so an
-    equi-join on the bucket finds it; what lies after the last entry counts to its bucket. Up to ``bound`` entries are broadcast.
+    Up to ``bound`` entries are broadcast: an entry holds until the next one starts, and is put into every bucket of time that it touches, about two of
+    them, so an equi-join on the bucket finds it. Beyond, rows and entries are sorted together in ranges that Spark cuts by their number, however they lie in time; the last entry
+    is carried on inside each range, and from range to range.
     """
+    table = table.where(F.col(start).isNotNull())
     low, high, n = table.agg(F.min(start), F.max(start), F.count(F.lit(1))).first()
     if not n:
         return rows.select("*", *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+    if n > bound:
+        return _asof_in_ranges(rows, at, table, start)
     width = max(1, (high - low) // n)
     bucket = lambda c: F.floor((F.least(F.col(c), F.lit(high)) - low) / width)
-    spans = intervals(table, start, bound=bound)
-    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.coalesce(bucket("_until"), bucket(start)))))
-    spans = F.broadcast(spans) if n <= bound else spans
+    one = table.groupBy(start).agg(F.min(F.struct(*table.columns)).alias("_entry")).select("_entry.*")
+    spans = one.withColumn("_until", F.lead(start).over(Window.orderBy(start)))
+    spans = F.broadcast(spans.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.coalesce(bucket("_until"), bucket(start))))))
     held = rows.withColumn("_at", bucket(at))
     fits = (F.col("_at") == F.col("_bucket")) & (F.col(start) <= F.col(at)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
-    return held.join(spans, fits, "left").drop("_at", "_bucket", "_until")
+    return held.join(spans, fits, "left").drop("_at", "_bucket", "_until").select(*rows.columns, *table.columns)
+
+
+def _asof_in_ranges(rows: DataFrame, at: str, table: DataFrame, start: str) -> DataFrame:
+    none = lambda df: F.lit(None).cast(df.schema)
+    one = table.groupBy(F.col(start).alias("_t")).agg(F.min(F.struct(*table.columns)).alias("_entry"))
+    both = one.select("_t", F.lit(0).alias("_kind"), none(rows).alias("_row"), "_entry").unionByName(rows.select(F.col(at).cast(table.schema[start].dataType).alias("_t"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"), none(table).alias("_entry")))
+    # rows of one time may be most of all, so they are cut apart by a hash
+    hashed = [f"_row.`{f.name}`" for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    keyed = both.withColumn("_salt", F.xxhash64(*hashed))
+    held = written(keyed.repartitionByRange("_t", "_kind", "_salt").withColumn("_range", F.spark_partition_id()), "ranges")
+    last = lambda w: F.last("_entry", ignorenulls=True).over(w)
+    told = held.withColumn("_own", last(Window.partitionBy("_range").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = held.groupBy("_range").agg(F.max_by("_entry", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_entry"))  # one row a range
+    carried = ends.withColumn("_before", last(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", "_before")
+    found = told.where("_kind = 1").join(carried, "_range").withColumn("_own", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_before")))
+    return found.select("_row.*", "_own.*")
 
 
 def lagged(rows: DataFrame, group: str, order: list[str], n: int, **values: str) -> DataFrame:

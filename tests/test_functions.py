@@ -82,6 +82,21 @@ def test_asof_large_table_as_small(spark):
     assert small == large and small[-20] is None and small[1] == 100
 
 
+def test_asof_of_hot_times_and_uneven_entries(spark):
+    """Nine rows in ten lie at one time or after the last entry, entries stand close together and far apart, some twice; nulls meet nothing."""
+    times = [*[5_000] * 400, *range(900_000, 900_400), *range(0, 6000, 50), None, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id long, at long")
+    entries = [*range(1000, 1100), 4_999, 5_001, 800_000, 800_000]
+    table = spark.createDataFrame([(s, f"v{s}") for s in entries] + [(None, "none")], "start long, v string")
+    want = {i: max((s for s in entries if t is not None and s <= t), default=None) for i, t in enumerate(times)}
+    for bound in (10_000, 1):
+        got = asof_backward(rows, "at", table, "start", bound=bound).collect()
+        assert len(got) == len(times) and {r["id"]: r["start"] for r in got} == want
+        assert all(r["v"] == (None if r["start"] is None else f"v{r['start']}") for r in got)
+    held = asof_backward(rows, "at", table, "start", bound=1)
+    assert held.columns == ["id", "at", "start", "v"]
+
+
 def test_pointer_is_refused(spark, tmp_path):
     (tmp_path / "x.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\n")
     with pytest.raises(ValueError, match="pointer"):
