@@ -321,23 +321,41 @@ class Bucket:
 
 
 #: Found repeats have a start and a size in units. Rows of groups at a bucket's ends have the bucket, the window and its cut as well.
-FOUND = "k1 long, k2 long, at long, start long, size int, bucket int, cut int, window binary"
+FOUND = "k1 long, k2 long, at long, start long, size int, bucket long, cut int, window binary"
 #: So many suffixes in a bucket, about; some 20 MB of windows.
 SUFFIXES = 40_000
+#: Partitions of the shuffle; beyond, a partition holds several buckets one after another.
+PARTITIONS = 20_000
 #: Groups with more different windows than this are compared by classes, not pair by pair.
 PAIRWISE = 24
 
 
 def _sorted_buckets(suffixes: DataFrame, buckets: int, shape: Shape) -> DataFrame:
+    """The repeats of each bucket, and the groups at its ends. With more than PARTITIONS buckets a partition is sorted by cores (Spark spills what doesn't fit) and cut into buckets of SUFFIXES as
+    it is read, so that a task holds one bucket at a time."""
     names = [x.split()[0] for x in FOUND.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    several, most = buckets > PARTITIONS, SUFFIXES
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if several and size >= most:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        for number, held in enumerate(cut_up(batches)):
+            yield from found(held, TaskContext.get().partitionId() << 32 | number)
+
+    def found(held: list[pa.RecordBatch], name: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         k1, k2, at, cut = (table.column(i).to_numpy() for i in range(4))
         whole = table.column(4)
@@ -348,7 +366,7 @@ def _sorted_buckets(suffixes: DataFrame, buckets: int, shape: Shape) -> DataFram
 
         def out(rows: np.ndarray, start: np.ndarray | None, size: np.ndarray | None, ends: bool) -> pa.RecordBatch:
             n = len(rows)
-            columns = [k1[rows], k2[rows], at[rows], start, size, np.full(n, TaskContext.get().partitionId(), np.int32) if ends else None, cut[rows] if ends else None]
+            columns = [k1[rows], k2[rows], at[rows], start, size, np.full(n, name, np.int64) if ends else None, cut[rows] if ends else None]
             arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=False)]
             return pa.RecordBatch.from_arrays([*arrays, whole.take(pa.array(rows)).combine_chunks() if ends and n else pa.nulls(n, pa.binary())], names=names)
 
@@ -359,7 +377,8 @@ def _sorted_buckets(suffixes: DataFrame, buckets: int, shape: Shape) -> DataFram
         yield out(np.array(list(kinds.values())), None, None, True)
 
     core = F.expr(f"substr(window, cut * {shape.unit} + 1, {shape.core * shape.unit})")
-    return suffixes.repartitionByRange(buckets, core, *ROW, "at").mapInArrow(run, FOUND)
+    dealt = suffixes.repartitionByRange(min(buckets, PARTITIONS), core, *ROW, "at")
+    return (dealt.sortWithinPartitions(core) if several else dealt).mapInArrow(run, FOUND)
 
 
 def _across(ends: DataFrame, shape: Shape) -> DataFrame:

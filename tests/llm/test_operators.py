@@ -288,10 +288,14 @@ def test_suffix_dedup(table):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for (_, i), t in brute.cleaned([((n, i), t) for n, (i, t) in enumerate(rows)], 400, 10**9).items())
 
 
-@pytest.mark.parametrize(("seed", "pairwise"), [(0, 24), (1, 24), (2, 1)])
-def test_suffix_dedup_short(spark, seed, pairwise, monkeypatch):
-    """Strings of 40 bytes over a small alphabet: overlaps, periods, edges, many buckets and long texts cut in stretches; groups compared
-    pair by pair and by classes."""
+@pytest.mark.parametrize(("seed", "pairwise", "partitions"), [(0, 24, 20_000), (1, 24, 20_000), (2, 1, 20_000), (3, 24, 2), (4, 1, 1)])
+def test_suffix_dedup_short(spark, seed, pairwise, partitions, monkeypatch):
+    """Strings of 40 bytes over a small alphabet: overlaps, periods, edges, many buckets, several of them in a partition, and long texts cut in
+    stretches; groups compared pair by pair and by classes."""
+    if partitions < 20_000:
+        monkeypatch.setattr(suffix_dedup, "PARTITIONS", partitions)
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", 30)
+        monkeypatch.setattr(suffix_dedup, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20"))
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     monkeypatch.setattr(suffix_dedup, "PAIRWISE", pairwise)
     rng = np.random.default_rng(seed)
