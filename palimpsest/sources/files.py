@@ -126,11 +126,11 @@ def unmasked(content: str, mask: bytes) -> Column:
     return pandas_udf(lambda s: s.map(lambda x: None if x is None else masked(bytes(x), mask)), T.BinaryType())(content)
 
 
-#: A frame's size must lie from that of a header and a transaction count up to this.
-LEAST_BLOCK, MOST_BLOCK = 1, 8_000_000
+#: Bytes of the largest frame, unless the caller names another size.
+MOST_BLOCK = 8_000_000
 
 
-def split_frames(data: bytes, magic: bytes, mask: bytes = b"") -> Iterator[tuple[int, bytes]]:
+def split_frames(data: bytes, magic: bytes, mask: bytes = b"", most: int = MOST_BLOCK) -> Iterator[tuple[int, bytes]]:
     """(offset, payload) of frames: magic, little-endian size, payload. Noise is skipped up to the next magic. A frame
     that is cut short by the end of the file ends it, as a file may still be written; a size out of range is an error."""
     if mask:
@@ -141,7 +141,7 @@ def split_frames(data: bytes, magic: bytes, mask: bytes = b"") -> Iterator[tuple
         if start > len(data):
             return
         size = int.from_bytes(data[start - 4 : start], "little")
-        if not LEAST_BLOCK <= size <= MOST_BLOCK:
+        if not 0 < size <= most:
             raise ValueError(f"the frame at {at} has a size of {size}")
         if start + size > len(data):
             return
@@ -149,13 +149,13 @@ def split_frames(data: bytes, magic: bytes, mask: bytes = b"") -> Iterator[tuple
         at = data.find(magic, start + size)
 
 
-def frames(files: DataFrame, magic: bytes, mask: bytes = b"") -> DataFrame:
+def frames(files: DataFrame, magic: bytes, mask: bytes = b"", most: int = MOST_BLOCK) -> DataFrame:
     """The blocks of a binaryFile table (path, content); one file is one row, so a task holds one file at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, i, at, block) for i, (at, block) in enumerate(split_frames(bytes(content), magic, mask))]
+                rows = [(path, i, at, block) for i, (at, block) in enumerate(split_frames(bytes(content), magic, mask, most))]
                 yield pd.DataFrame(rows, columns=["path", "number", "offset", "block"])
 
     return files.select("path", "content").mapInPandas(run, FRAMES)
