@@ -134,6 +134,23 @@ def with_companions(primary: DataFrame, canonical: DataFrame | None = None, unkn
     return out
 
 
+def with_headers(rows: DataFrame, candidates: DataFrame, chain: str) -> DataFrame:
+    """``rows`` whose missing headers of one ``chain`` are filled from ``candidates`` (hash, header_hex, ordinal of the file, place in it), with ``header_outcome``: not a target, hydrated, missing, or
+    hash mismatch. Files are taken in order until every wanted hash is found; of what they hold the last row counts, and only a header that hashes to the row's hash is written."""
+    wanted = (F.col("chain") == chain) & (F.col("btc_header_hex") == "") & is_hex(F.col("btc_header_hash"), 32)
+    targets = rows.where(wanted).select(F.col("btc_header_hash").alias("_hash")).distinct()
+    c = candidates.where(F.trim("header_hex") != "").select(F.lower(F.trim("hash")).alias("_hash"), F.trim("header_hex").alias("_header"), F.struct("ordinal", "place").alias("_at"))
+    first = targets.join(c, "_hash", "left").groupBy("_hash").agg(F.min("_at.ordinal").alias("first"))
+    last = first.agg(F.when(F.count_if(F.col("first").isNull()) == 0, F.max("first")).alias("_last"))  # one row
+    read = c.join(targets, "_hash", "left_semi").crossJoin(F.broadcast(last)).where("_last is null or _at.ordinal <= _last")
+    told = read.groupBy("_hash").agg(F.max_by("_header", "_at").alias("_header"))
+    joined = rows.join(told, F.when(wanted, F.col("btc_header_hash")) == F.col("_hash"), "left")
+    good = F.coalesce(header_fields(F.substring(F.lower("_header"), 1, 160))["hash"] == F.col("btc_header_hash"), F.lit(False))
+    outcome = F.when(~F.coalesce(wanted, F.lit(False)), "not a target").when(F.col("_header").isNull(), "missing").when(good, "hydrated").otherwise("hash mismatch")
+    joined = joined.withColumn("header_outcome", outcome)
+    return joined.withColumn("btc_header_hex", F.when(F.col("header_outcome") == "hydrated", F.col("_header")).otherwise(F.col("btc_header_hex"))).select(*rows.columns, "header_outcome")
+
+
 #: Verdicts on unknown rows, the strongest first.
 STRENGTH = ("strict_btc_orphan", "weak_btc_orphan")
 

@@ -164,3 +164,20 @@ def test_the_strongest_verdict_counts(spark):
     verdicts = spark.createDataFrame([(H, "weak_btc_orphan"), (H, "strict_btc_orphan"), (H, "weak_btc_orphan"), ("cd" * 32, "excluded")], "btc_header_hash string, verdict string")
     observed = spark.createDataFrame([], "chain string, btc_header_hash string")
     assert [(r["btc_header_hash"], r["verdict"]) for r in V.admitted(rows, observed, verdicts).collect()] == [(H, "strict_btc_orphan")]
+
+
+def test_headers_from_ordered_files(spark):
+    """Files are taken until all wanted hashes are found; the last row counts, and a wrong header is never written."""
+    from palimpsest.functions.hexbytes import display_hash
+    from pyspark.sql import functions as F
+
+    headers = [f"{i:02x}" * 80 for i in range(1, 5)]
+    hashes = [r[0] for r in spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, h string").orderBy("i").select(display_hash(F.col("h"))).collect()]
+    kind = "chain string, btc_header_hash string, btc_header_hex string"
+    rows = spark.createDataFrame([("n", hashes[0], ""), ("n", hashes[1], ""), ("n", hashes[2], "kept"), ("m", hashes[0], ""), ("n", "short", "")], kind)
+    said = lambda *c: {(r["chain"], r["btc_header_hash"]): (r["btc_header_hex"], r["header_outcome"]) for r in V.with_headers(rows, spark.createDataFrame(list(c), "hash string, header_hex string, ordinal int, place int"), "n").collect()}
+    rest = {("n", hashes[2]): ("kept", "not a target"), ("m", hashes[0]): ("", "not a target"), ("n", "short"): ("", "not a target")}
+    both = [(hashes[0].upper(), headers[0], 0, 1), (hashes[1], headers[1], 0, 2)]
+    assert said(*both, (hashes[0], headers[3], 1, 1)) == rest | {("n", hashes[0]): (headers[0], "hydrated"), ("n", hashes[1]): (headers[1], "hydrated")}
+    assert said(both[0], (hashes[0], headers[3], 1, 1)) == rest | {("n", hashes[0]): ("", "hash mismatch"), ("n", hashes[1]): ("", "missing")}
+    assert said(both[0], (hashes[0], headers[3], 0, 0), both[1])[("n", hashes[0])] == (headers[0], "hydrated")
