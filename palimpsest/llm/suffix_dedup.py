@@ -382,7 +382,8 @@ def _sorted_buckets(suffixes: DataFrame, buckets: int, shape: Shape) -> DataFram
 
 
 def _across(ends: DataFrame, shape: Shape) -> DataFrame:
-    """(k1, k2, start, size) of repeats of groups that go on in another bucket. Which do is told by the bytes of their cores."""
+    """(k1, k2, start, size) of repeats of groups that go on in another bucket. Which do is told by the bytes of their cores. A window that stands in several buckets is a repeat as a
+    whole; of each different window, one is compared with the others by digests of its strings."""
     core = F.expr(f"substr(window, cut * {shape.unit} + 1, {shape.core * shape.unit})")
     rows = ends.withColumn("core", core)
     wide = written(rows.groupBy("core").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo <> hi").select("core"), "wide")
@@ -398,11 +399,16 @@ def _across(ends: DataFrame, shape: Shape) -> DataFrame:
                     digests.append(hashlib.blake2b(window[x * shape.unit : (x + shape.length) * shape.unit], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(digests, pa.binary())], names=[*ROW, "start", "digest"])
 
-    some = rows.join(checked(wide), "core", "left_semi").select(*ROW, "at", "cut", "window")
-    strings = written(some.mapInArrow(run, "k1 long, k2 long, start long, digest binary"), "strings")
+    some = written(rows.join(checked(wide), "core", "left_semi").select(*ROW, "at", "cut", "window"), "ends")
+    kinds = some.groupBy("cut", "window").agg(F.min(F.struct(*ROW, "at")).alias("one"), F.count(F.lit(1)).alias("n"))
+    kinds = written(kinds.select("one.*", "cut", "window", "n"), "kinds")
+    alike = some.join(checked(kinds.where("n > 1").select("cut", "window")), ["cut", "window"], "left_semi")
+    alike = alike.select(*ROW, (F.col("at") - F.col("cut")).alias("start"), (F.octet_length("window") / shape.unit).cast("int").alias("size"))
+    strings = written(kinds.select(*ROW, "at", "cut", "window").mapInArrow(run, "k1 long, k2 long, start long, digest binary"), "strings")
     twice = written(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "twice")
-    out = written(strings.join(checked(twice), "digest", "left_semi").select(*ROW, "start", F.lit(shape.length).alias("size")), "across")
-    drop(wide, strings, twice)
+    found = strings.join(checked(twice), "digest", "left_semi").select(*ROW, "start", F.lit(shape.length).alias("size"))
+    out = written(alike.unionByName(found), "across")
+    drop(wide, some, kinds, strings, twice)
     return out
 
 
