@@ -14,7 +14,8 @@ from palimpsest.operators.classifier import overwritten
 from palimpsest.operators.claims import claim_failures, recovery_targets
 from palimpsest.operators.evidence_rows import Source, bundle_fault, normalised
 from palimpsest.operators.matching import lagged
-from palimpsest.sources.files import authenticated, builder_rows, masked, refreshed_epochs, split_frames
+from palimpsest.sources.files import authenticated, builder_rows, masked, split_frames
+from palimpsest.sources.reference import refresh_reference
 from palimpsest.sources.sinks import distinct_destinations
 
 twice = lambda x: hashlib.sha256(hashlib.sha256(x).digest()).digest()
@@ -126,11 +127,13 @@ def test_coverage_of_files(spark):
             authenticated(spark.createDataFrame(read, "height bigint, txid string"), index, failures).collect()
 
 
-def test_epochs_must_stay_on_the_chain(spark):
-    source = spark.createDataFrame([(0, "b", "h0"), (2016, "b", "h1")], "height bigint, bits string, hash string")
-    kept = spark.createDataFrame([(0, "b", "other")], "height bigint, bits string, hash string")
-    with pytest.raises(ValueError, match="no longer"):
-        refreshed_epochs(kept, source, 5000)
+def test_epochs_must_stay_on_the_chain(spark, tmp_path):
+    kind = "height bigint, bits string, hash string, time bigint"
+    source = spark.createDataFrame([(0, "b", "h0", 1), (2016, "b", "h1", 2)], kind)
+    kept = spark.createDataFrame([(0, "b", "other", 1)], kind)
+    refresh_reference(spark, kept, f"file://{tmp_path}/reference", 2000)
+    with pytest.raises(ValueError, match="not on the chain"):
+        refresh_reference(spark, source, f"file://{tmp_path}/reference", 5000)
 
 
 def test_rows_of_unknown_sources_fail(spark):
