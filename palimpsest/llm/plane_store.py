@@ -7,7 +7,8 @@ documents' lengths, the sizes of the planes and where its ids begin in the whole
 Parquet, so that any store that Spark writes will do and a task that is run again replaces its own output.
 
 Defined results: a null text is empty and has the end id only. A null doc_id sorts first. Rows that repeat a
-doc_id are stored one after the other. An empty table gives a store without chunks.
+doc_id are stored one after the other. A text may be of any length; its ids are in one chunk. An empty table gives a store without chunks.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
