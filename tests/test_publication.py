@@ -133,6 +133,14 @@ ROW = "chain string, btc_height string, btc_header_hash string, classification s
 H = "ab" * 32
 
 
+def test_listing_of_roots_without_a_scheme(spark, tmp_path):
+    """A root is as often told without its scheme, as Spark takes it: the paths below it are the same."""
+    (tmp_path / "one" / "a" / "classified").mkdir(parents=True)
+    (tmp_path / "one" / "a" / "classified" / "a_stale_blocks.csv").write_text("a\n")
+    for root in (f"{tmp_path}/one", f"{tmp_path}/one/", f"file:{tmp_path}/one", f"file://{tmp_path}/one"):
+        assert [r["path"] for r in listing(spark, [root]).collect()] == ["a/classified/a_stale_blocks.csv"]
+
+
 def evidence(spark, *rows):
     return spark.createDataFrame([(*r, *[""] * (9 - len(r))) for r in rows], ROW)
 
