@@ -97,6 +97,11 @@ def test_asof_of_hot_times_and_uneven_entries(spark):
     assert held.columns == ["id", "at", "start", "v"]
 
 
+@pytest.mark.parametrize("text,want", [("10016001", f"{10_016_001:08x}"), ("386924253", f"{386_924_253:08x}"), ("65597843877", f"{65_597_843_877:x}"), ("x", None), ("1" * 19, None)])
+def test_decimal_bits(spark, text, want):
+    assert spark.range(1).select(X.bits_text(F.lit(text), F.lit(True)).alias("b")).first()["b"] == want
+
+
 def test_pointer_is_refused(spark, tmp_path):
     (tmp_path / "x.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\n")
     with pytest.raises(ValueError, match="pointer"):
