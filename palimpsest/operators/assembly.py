@@ -10,15 +10,16 @@ COLUMNS = ["height", "hash", "header_hex", "expected_nbits", "script", "provenan
 
 def assembled(seeds: DataFrame, groups: DataFrame, evidence: DataFrame, upstream: DataFrame, recovered: DataFrame, self_contained: tuple[str, ...]) -> DataFrame:
     """COLUMNS of every seed (height, hash, header_hex, expected_nbits, script, provenance). One whose provenance starts with a prefix in ``self_contained`` stands as it is. Of the others
-    ``groups`` (height, source_group, chain) says where their header is: A in the evidence of the chain, with its script and bits; B there too, but the script is the seed's; C in ``upstream``;
+    ``groups`` (height, source_group, chain; and hash, where several rows share a height) says where their header is: A in the evidence of the chain, with its script and bits; B there too, but the script is the seed's; C in ``upstream``;
     all that it doesn't name are D, in ``recovered``. ``evidence``: chain, height, hash, header_hex, expected_nbits, script; ``upstream``: height, hash, header_hex; ``recovered``: those and
     ``source``. A seed whose source lacks it has an ``error`` and no header."""
     own = F.lit(False)
     for prefix in self_contained:
         own = own | F.startswith(F.coalesce("provenance", F.lit("")), F.lit(prefix))
     key = ["height", "hash"]
-    g = groups.select("height", F.col("source_group").alias("_group"), F.col("chain").alias("_chain"))
-    s = seeds.withColumn("_own", own).join(g, "height", "left").withColumn("_group", F.coalesce("_group", F.lit("D")))
+    by = [c for c in key if c in groups.columns]
+    g = groups.select(*by, F.col("source_group").alias("_group"), F.col("chain").alias("_chain"))
+    s = seeds.withColumn("_own", own).join(g, by, "left").withColumn("_group", F.coalesce("_group", F.lit("D")))
     one = lambda df, by, *rest: df.groupBy(*by).agg(F.min(F.struct(*rest)).alias("_x")).select(*by, "_x.*")  # noqa: E731  of several, the smallest
     e = one(evidence.withColumn("_chain", F.col("chain")), ["_chain", *key], F.col("header_hex").alias("_e"), F.col("expected_nbits").alias("_bits"), F.col("script").alias("_script"))
     u = one(upstream, key, F.col("header_hex").alias("_u"))

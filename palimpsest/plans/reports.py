@@ -64,7 +64,7 @@ def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = h.where("id % 5 < 4").select("height", "hash", F.when(i % 7 == 0, col("header_hex")).alias("header_hex"), F.lit("own").alias("expected_nbits"), F.lit("seed").alias("script"), F.when(i % 7 == 0, F.concat(F.lit("sweep:"), i.cast("string"))).otherwise("committed").alias("provenance"))
     group = F.when(i % 4 == 0, "A").when(i % 4 == 1, "B").when(i % 4 == 2, "C")
     chain = F.when(i % 4 == 0, col("chain")).when(i % 4 == 1, "rsk")
-    groups = h.where("id % 4 < 3").select("height", group.alias("source_group"), chain.alias("chain"))
+    groups = h.where("id % 4 < 3").select("height", "hash", group.alias("source_group"), chain.alias("chain"))
     there = h.where("id % 20 <> 1 and id % 22 <> 2 and id % 28 <> 3")
     evidence = there.where("id % 4 < 2").select(chain.alias("chain"), "height", "hash", "header_hex", F.concat(F.lit(" "), "bits").alias("expected_nbits"), "script")
     upstream = there.where("id % 4 = 2").select("height", "hash", "header_hex")

@@ -57,6 +57,17 @@ def test_assembly(spark):
     assert sorted(map(tuple, upserted(old, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_assembly_of_rows_at_one_height(spark):
+    """Groups that name hashes belong to one row each of a height."""
+    seeds = spark.createDataFrame([(1, x, None, "", "s", "c") for x in ("g", "h", "i")], "height long, hash string, header_hex string, expected_nbits string, script string, provenance string")
+    groups = spark.createDataFrame([(1, "g", "C", None), (1, "h", "B", "n")], "height long, hash string, source_group string, chain string")
+    evidence = spark.createDataFrame([("n", 1, "h", "eh", "1d", "es")], "chain string, height long, hash string, header_hex string, expected_nbits string, script string")
+    upstream = spark.createDataFrame([(1, "g", "ug"), (1, "h", "uh")], "height long, hash string, header_hex string")
+    recovered = spark.createDataFrame([(1, "i", "ri", "node")], "height long, hash string, header_hex string, source string")
+    got = sorted((r["hash"], r["header_hex"], r["source_group"]) for r in assembled(seeds, groups, evidence, upstream, recovered, ("sweep:",)).collect())
+    assert got == [("g", "ug", "C"), ("h", "eh", "B"), ("i", "ri", "D")]
+
+
 def test_classifier_outputs(spark):
     kind = "id long, classification string, validation_status string, expected_nbits string, rules_violated string"
     rows = spark.createDataFrame([(1, "canonical", "VALID", "b", "r"), (2, "stale", "VALID", "b", "r"), (3, "stale", "VALID: no", "b", "r"), (4, "unknown", "REJECTED: x", "b", "r"), (5, "error_block", "REJECTED: y", "b", "r")], kind)
