@@ -202,6 +202,6 @@ def e23_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s12_chain_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header stream: staged in files, ingested some at a time, state kept by chain."""
     path = fresh_path(spark, "stream")
-    rows = headers(spark, sf_dir).select("chain", "height", "hash")
+    rows = headers(spark, sf_dir).select("chain", "height", "hash", col("id").alias("place"))
     rows.repartition(8).write.parquet(f"{path}/in")
     return chain_tips(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", f"{path}/out")

@@ -125,6 +125,18 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_the_first_header_of_a_height_is_the_tip(spark, tmp_path):
+    from palimpsest.streaming.tips import chain_tips
+
+    kind = "chain string, height long, hash string, place long"
+    rows = [("c", 7, "zz", 9), ("c", 7, "bb", 4), ("c", 7, "cc", 5), ("c", 6, "yy", 1)]
+    for row in rows:
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.createDataFrame(rows, kind).schema
+    got = chain_tips(spark, f"{tmp_path}/in", schema, f"{tmp_path}/checkpoint", f"{tmp_path}/out", files=1).collect()
+    assert [tuple(r) for r in got] == [("c", 4, 7, "bb")]
+
+
 # --- rows that wait ---
 
 
