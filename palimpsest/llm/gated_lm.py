@@ -6,8 +6,8 @@
 3. The model is a gated recurrent network in numpy. A word's probability is that of its class times its own in the class, each by a softmax over the
    state; classes hold equal shares of the corpus. "Another word" is a class of its own, in which words have their smoothed shares of its count.
 4. It learns in rounds, each over documents of its own that together are all of them, and each larger than the one before. In a round, every task goes on
-   from the same weights over its documents, by truncated backpropagation: the state runs over all words, and of each ``window`` steps the gradient
-   comes from the last ``back``. The weights of a round's tasks are averaged on the executors, by their words, as whole numbers, so that order
+   from the same weights over its documents, by truncated backpropagation: the state runs over all words, and the gradient of each ``window`` comes from
+   all its steps. The weights of a round's tasks are averaged on the executors, by their words, as whole numbers, so that order
    makes no difference.
 5. All documents are scored whole. Many run side by side, and the state is carried from window to window until a document ends.
 
@@ -56,10 +56,9 @@ ROUNDS = (Round(1, 16, 16, 0.03), Round(3, 32, 16, 0.03), Round(12, 64, 32, 0.02
 
 @dataclass(frozen=True)
 class Shape:
-    """``hidden`` numbers are the state; of each window, the last ``back`` steps have a gradient."""
+    """``hidden`` numbers are the state."""
 
     hidden: int = 16
-    back: int = 16
     rounds: tuple[Round, ...] = ROUNDS
     seed: int = 71
 
@@ -389,7 +388,8 @@ class Learner:
         self.net.flat -= slope
 
     def stream(self, ids: np.ndarray) -> None:
-        """Learns from documents one after another: their numbers are cut into lanes, and the state runs along each."""
+        """Learns from all words of documents one after another: their numbers are cut into lanes, and the state runs along each; what is left, fewer words than lanes, comes
+        last, in a lane of its own."""
         shape, window = self.net.shape, self.turn.window
         lanes = min(self.turn.lanes, -(-len(ids) // window))
         length = len(ids) // lanes
@@ -400,10 +400,10 @@ class Learner:
         state = np.zeros((shape.hidden, lanes), np.float32)
         for at in range(0, length, window):
             end = min(length, at + window)
-            cut = max(at, end - shape.back)
-            if cut > at:
-                self.net.steps(before[at:cut], state)
-            self.step(self.net.slope(before[cut:end], after[cut:end], state))
+            self.step(self.net.slope(before[at:end], after[at:end], state))
+        rest = ids[lanes * length :, None]
+        if len(rest):
+            self.step(self.net.slope(ids[lanes * length - 1 : -1, None], rest, np.zeros((shape.hidden, 1), np.float32)))
 
 
 def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,6 +55,16 @@ def small(dtype=np.float32, hidden: int = 5) -> gated_lm.Network:
     return gated_lm.Network(counts, shape, (net.flat + rng.normal(0, 0.3, len(net.flat))).astype(dtype))
 
 
+def test_every_position_has_a_slope(monkeypatch):
+    """Also the first steps of long windows, and what is left beyond whole lanes."""
+    net, seen = small(), []
+    monkeypatch.setattr(net, "slope", lambda before, after, state: seen.append(after.size) or np.zeros_like(net.flat))
+    for n in (1, 63, 64, 1000, 1003):
+        seen.clear()
+        gated_lm.Learner(net, gated_lm.Round(1, 8, 64, 0.01)).stream((np.arange(n) % 12).astype(np.uint16))
+        assert sum(seen) == n
+
+
 def loss(net: gated_lm.Network, before: np.ndarray, after: np.ndarray) -> float:
     state = np.zeros((net.shape.hidden, before.shape[1]), net.flat.dtype)
     return -float(net.told(net.steps(before, state).reshape(net.shape.hidden, -1), after.ravel())[0].mean())
