@@ -8,7 +8,7 @@ Files lie where pyarrow's file systems reach (local folders that all machines mo
 ``binaryFile`` table.
 
 Options: ``path`` (a file, or a folder with blk<number>.dat), ``magic`` (hex), ``mask`` (hex, XORed from offset 0; by default what xor.dat beside the
-files holds), ``rangeBytes``, ``most`` (payload bytes of the largest frame), ``onBadFrame``: ``fail``, or ``stop`` to leave out the rest of the file. A
+files holds), ``rangeBytes``, ``taskBytes`` (ranges go to one task, one after another, up to so many bytes; opening one counts as ``OPENING``), ``most`` (payload bytes of the largest frame), ``onBadFrame``: ``fail``, or ``stop`` to leave out the rest of the file. A
 frame of no bytes, of more than ``most``, or that the file cuts short, is bad. Noise between frames is skipped.
 """
 
@@ -28,6 +28,7 @@ from .files import masked
 
 SCHEMA = "path string, offset long, block binary"
 WINDOW, BATCH = 1 << 16, 1 << 24
+OPENING, TASK = 1 << 16, 1 << 25
 NUMBERED = re.compile(r"blk\d+\.dat$")
 KEY_FILE = "xor.dat"
 
@@ -37,6 +38,26 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.mask = path, start, end, mask
 
 
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
+
+
+def dealt(ranges: list[Range], most: int) -> list[Ranges]:
+    """The ranges in their order, in as few tasks as ``most`` bytes each allow; a larger range is a task of its own."""
+    tasks, size = [], most
+    for r in ranges:
+        cost = r.end - r.start + OPENING
+        if size + cost > most:
+            tasks.append([])
+            size = 0
+        tasks[-1].append(r)
+        size += cost
+    return [Ranges(t) for t in tasks]
+
+
 class Bytes:
     """A file's bytes at any place, unmasked, through a window."""
 
@@ -86,6 +107,7 @@ class BlockReader(DataSourceReader):
         self.path, self.magic = options["path"], bytes.fromhex(options["magic"])
         self.mask = bytes.fromhex(options["mask"]) if "mask" in options else None
         self.step, self.most = int(options.get("rangeBytes", 128 << 20)), int(options.get("most", 1 << 31))
+        self.task = int(options.get("taskBytes", TASK))
         bad = options.get("onBadFrame", "fail")
         if bad not in ("fail", "stop") or self.step < 1 or not self.magic:
             raise ValueError("onBadFrame is fail or stop, rangeBytes and magic are not empty")
@@ -99,7 +121,10 @@ class BlockReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(path))
         return store, sorted((f for f in found if NUMBERED.match(f.base_name)), key=lambda f: f.base_name)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        return dealt(self._ranges(), self.task)
+
+    def _ranges(self) -> list[Range]:
         store, files = self._files()
         mask = self.mask
         if mask is None:
@@ -108,17 +133,18 @@ class BlockReader(DataSourceReader):
             mask = store.open_input_file(there[0]).read() if there else b""
         return [Range(f.path, at, min(f.size, at + self.step), mask) for f in files for at in range(0, f.size, self.step)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store = fs.FileSystem.from_uri(self.path)[0]
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("block", pa.binary())])
         rows, size = [], 0
-        with store.open_input_file(partition.path) as file:
-            for at, block in frames_in(Bytes(file, partition.mask), partition.start, partition.end, self.magic, self.most, self.stop, partition.path):
-                rows.append((partition.path, at, block))
-                size += len(block)
-                if size >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
-                    rows, size = [], 0
+        for part in partition.ranges:
+            with store.open_input_file(part.path) as file:
+                for at, block in frames_in(Bytes(file, part.mask), part.start, part.end, self.magic, self.most, self.stop, part.path):
+                    rows.append((part.path, at, block))
+                    size += len(block)
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
+                        rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
 
@@ -132,7 +158,7 @@ class BlockFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> BlockReader:
-        return BlockReader(dict(self.options) | {k: self.options[k] for k in ("rangeBytes", "onBadFrame") if k in self.options})
+        return BlockReader(dict(self.options) | {k: self.options[k] for k in ("rangeBytes", "taskBytes", "onBadFrame") if k in self.options})
 
 
 def read_blocks(spark: SparkSession, path: str, magic: str, **options: object) -> DataFrame:

@@ -247,6 +247,15 @@ def test_key_beside_the_files(spark, tmp_path):
     assert blkdat.read_blocks(spark, f"{root}/blk0.dat", MAGIC.hex(), mask="00").count() == 0
 
 
+def test_small_ranges_share_a_task():
+    """All ranges in their order, few tasks; a large range is alone."""
+    sizes = [4096] * 1000 + [1 << 30] + [4096] * 3
+    ranges = [blkdat.Range(str(n), 0, s, b"") for n, s in enumerate(sizes)]
+    tasks = blkdat.dealt(ranges, blkdat.TASK)
+    assert [r.path for t in tasks for r in t.ranges] == [r.path for r in ranges] and len(tasks) < 10
+    assert [len(t.ranges) for t in tasks][-2:] == [1, 3] and blkdat.dealt([], 1) == []
+
+
 def test_find_over_windows(tmp_path, monkeypatch):
     monkeypatch.setattr(blkdat, "WINDOW", 16)
     (tmp_path / "f").write_bytes(b"\0" * 29 + MAGIC + b"\0" * 40 + framed([b"end"]))
