@@ -102,6 +102,13 @@ def test_decimal_bits(spark, text, want):
     assert spark.range(1).select(X.bits_text(F.lit(text), F.lit(True)).alias("b")).first()["b"] == want
 
 
+@pytest.mark.parametrize("h", ["", "0a", "0a1b", "00ff" * 80, "0A1b", "abc", "zz00", "é1", None])
+def test_reversed_bytes(spark, h):
+    """Malformed texts and upper case go as they always went: the pairs from the end."""
+    want = None if h is None else "".join([h[max(0, i - 2) : i] for i in range(len(h), 0, -2)])
+    assert spark.createDataFrame([(h,)], "h string").select(X.rev_any(F.col("h")).alias("r")).first()["r"] == want
+
+
 def test_supplement_of_forks(spark, tmp_path):
     """Two events whose headers share a height, one with a supplement and one of the other's file."""
     from palimpsest.plans.relational import j14_supplement
