@@ -240,9 +240,9 @@ def s03_first_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_h("SELECT height, hash, bits FROM h WHERE id % 3 = 0"))
 def s07_header_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers in JSON lists, a file for each chain."""
+    """Headers in JSON lists, a file for each chain and 100,000 ids."""
     path = fresh_path(spark, "lists")
-    rows = headers(spark, sf_dir).where("id % 3 = 0").select("chain", F.floor(col("id") / 100).alias("part"), F.struct("height", "hash", "bits").alias("row"))
+    rows = headers(spark, sf_dir).where("id % 3 = 0").select("chain", F.floor(col("id") / 100_000).alias("part"), F.struct("height", "hash", "bits").alias("row"))
     rows.groupBy("chain", "part").agg(F.to_json(F.collect_list("row")).alias("value")).select(F.concat_ws("-", "chain", col("part").cast("string")).alias("file"), "value").write.partitionBy("file").text(path)
     return files.read_json_list(spark, f"{path}/*/*.txt", T.StructType.fromDDL("height bigint, hash string, bits string"))
 
