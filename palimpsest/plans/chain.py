@@ -51,6 +51,8 @@ def e10_next_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "height", next_bits(col("height"), col("bits"), col("t"), {k: col(f"first{k}") for k in first}).alias("next_bits"))
 
 
+#: Ids of a page of headers at most.
+PAGE_IDS = 1_000_000
 #: The rules of the chains below: every 12 headers, by the time of the 12 before, of which 11 lie between the first and the last.
 STEADY = Rules((Era(None, 12, 12, 6600 // 4, 6600 * 4, 6600),), {})
 
@@ -81,15 +83,20 @@ x AS (SELECT *, CASE WHEN height = 0 THEN 'accepted' WHEN prev <> last_hash THEN
 y AS (SELECT *, coalesce(max((own <> 'accepted')::INT) OVER (PARTITION BY chain ORDER BY height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM x)
 SELECT chain, height, hash, CASE WHEN stopped = 1 THEN 'out of order' ELSE own END AS status FROM y""")
 def s12_validated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of headers, ingested in two runs: links and bits in order, with the state of each chain kept between batches and runs."""
+    """Pages of headers, ingested in two runs: links and bits in order, with the state of each chain kept between batches and runs. A page has a million headers at most, in
+    several files."""
     path = fresh_path(spark, "pages")
-    rows = written(pages(spark, sf_dir), "headers")
-    most = rows.agg(F.max("id")).first()[0] or 0
+    least, most = events(spark, sf_dir).agg(F.min("event_id"), F.max("event_id")).first()
+    ids = (most or 0) - (least or 0) + 1
+    of_run, files = max(2, -(-ids // 2 // PAGE_IDS)), min(8, 1 + ids // 4 // 20_000)
+    page = F.floor((col("id") - (least or 0)) * 2 * of_run / ids).cast("int")
+    rows = pages(spark, sf_dir).withColumn("page", page)
+    rows.write.partitionBy("page").parquet(f"{path}/headers")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/headers")
     for run in (0, 1):
-        for page in (2 * run, 2 * run + 1):  # each page is a file, written after the one before
-            part = rows.where((col("id") >= page * (most + 1) / 4) & (col("id") < (page + 1) * (most + 1) / 4)).drop("id")
-            part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        out = validated(spark, f"{path}/in", f"{path}/checkpoint", f"{path}/out", STEADY)
+        for n in range(run * of_run, (run + 1) * of_run):  # the files of a page are written after those of the one before
+            rows.where(col("page") == n).drop("id", "page").repartition(files).write.mode("append").parquet(f"{path}/in")
+        out = validated(spark, f"{path}/in", f"{path}/checkpoint", f"{path}/out", STEADY, files=files)
     return out
 
 
