@@ -227,13 +227,13 @@ def e41_old_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_h("SELECT prev AS parent, min_by(hash, (id % 4) * 10000000 + id) AS hash FROM h WHERE id % 9 <> 0 GROUP BY prev"))
 def s03_first_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks as gzipped JSON lines in four files; of those that name one parent the first counts, and broken lines don't."""
+    """Blocks as gzipped JSON lines in four folders, whose files are in order by their names; of those that name one parent the first counts, and broken lines don't."""
     path = fresh_path(spark, "blocks")
     i = col("id")
     line = F.when(i % 9 == 0, "{broken").otherwise(F.to_json(F.struct("hash", F.struct(col("prev").alias("parent")).alias("auxpow"))))
-    h = headers(spark, sf_dir).select((i % 4).alias("file"), "id", line.alias("value"))
+    h = written(headers(spark, sf_dir).select((i % 4).alias("file"), "id", line.alias("value")), "lines")
     for n in range(4):
-        h.where(col("file") == n).orderBy("id").coalesce(1).select("value").write.option("compression", "gzip").text(f"{path}/{n}")
+        h.where(col("file") == n).orderBy("id").select("value").write.option("compression", "gzip").text(f"{path}/{n}")
     rows = files.first_parents(spark, f"{path}/*", T.StructType.fromDDL("hash string, auxpow struct<parent: string>"), "auxpow.parent")
     return rows.select(col("auxpow.parent").alias("parent"), "hash")
 
@@ -253,8 +253,9 @@ def s07_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "caches")
     i = col("id")
     value = F.when(i % 4 == 0, "true").when(i % 4 == 1, "false").when(i % 4 == 2, "null").otherwise(F.concat(F.lit('{"height":'), col("height").cast("string"), F.lit("}")))
-    h = headers(spark, sf_dir).select(F.floor(i / 200).cast("int").alias("group"), F.concat(F.lit('"'), "hash", F.lit('":'), value).alias("now"), F.concat(F.lit('"'), "hash", F.lit('":false')).alias("before"))
+    h = headers(spark, sf_dir).select(F.floor(i / 20_000).cast("int").alias("group"), F.concat(F.lit('"'), "hash", F.lit('":'), value).alias("now"), F.concat(F.lit('"'), "hash", F.lit('":false')).alias("before"))
     lines = h.groupBy("group").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("now"), ","), F.lit("}")).alias("now"), F.concat(F.lit("{"), F.array_join(F.collect_list("before"), ","), F.lit("}")).alias("before"))
+    lines = written(lines, "lines")
     for turn, name in enumerate(("before", "now")):
         lines.select("group", col(name).alias("value")).repartition("group").write.partitionBy("group").text(f"{path}/{turn}")
     return files.read_cache(spark, f"{path}/*/*/*.txt")
