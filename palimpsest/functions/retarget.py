@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -15,22 +16,31 @@ LIMB, DIGITS, LIMBS = 28, 7, 11
 
 def scaled(target_hex: Column, by: Column, over: Column | int) -> Column:
     """target * by // over, of a target of up to 64 hex digits and two numbers from 1 up to 31 bits, as 77 hex digits. The products of limbs
-    are carried upward, then divided from the highest down, as one does on paper."""
+    are carried upward, then divided from the highest down, as one does on paper. The arguments are found once for a row, not at each limb."""
     big = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
-    wide = F.lpad(target_hex, LIMB * LIMBS // 4, "0")
-    part = lambda i: F.conv(F.substr(wide, 1 + DIGITS * i, F.lit(DIGITS)), 16, 10).cast("bigint")
-    limbs = F.transform(F.sequence(F.lit(LIMBS - 1), F.lit(0), F.lit(-1)), part)  # lowest first
+    told = F.struct(F.lpad(target_hex, LIMB * LIMBS // 4, "0").alias("wide"), big(by).alias("by"), big(over).alias("over"))
+    return once(told, lambda v: _scaled(v["wide"], v["by"], v["over"]))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is found once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _scaled(wide: Column, by: Column, over: Column) -> Column:
+    big = lambda x: F.lit(x).cast("bigint")
+    limbs = F.array(*(F.conv(F.substring(wide, 1 + DIGITS * i, DIGITS), 16, 10).cast("bigint") for i in range(LIMBS - 1, -1, -1)))  # lowest first
     full = F.lit((1 << LIMB) - 1).cast("bigint")
     start = F.struct(big(0).alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
 
     def multiply(a: Column, x: Column) -> Column:
-        whole = x * big(by) + a["carry"]
+        whole = x * by + a["carry"]
         return F.struct(F.shiftright(whole, LIMB).alias("carry"), F.concat(F.array(whole.bitwiseAND(full)), a["limbs"]).alias("limbs"))
 
     def divide(a: Column, x: Column) -> Column:
         whole = a["rest"] * (1 << LIMB) + x
-        quotient = F.lpad(F.lower(F.hex(F.call_function("div", whole, big(over)))), DIGITS, "0")
-        return F.struct((whole % big(over)).alias("rest"), F.concat(a["digits"], quotient).alias("digits"))
+        quotient = F.lpad(F.lower(F.hex(F.call_function("div", whole, over))), DIGITS, "0")
+        return F.struct((whole % over).alias("rest"), F.concat(a["digits"], quotient).alias("digits"))
 
     product = F.aggregate(limbs, start, multiply, lambda a: a["limbs"])
     return F.aggregate(product, F.struct(big(0).alias("rest"), F.lit("").alias("digits")), divide, lambda a: a["digits"])
@@ -38,11 +48,11 @@ def scaled(target_hex: Column, by: Column, over: Column | int) -> Column:
 
 def compact_bits(target_hex: Column) -> Column:
     """A target's compact form, with a mantissa whose sign bit is clear; digits beyond the first three bytes are lost."""
-    digits = F.ltrim(F.lower(target_hex), F.lit("0"))
-    size = F.floor((F.length(digits) + 1) / 2).cast("int")
-    head = F.rpad(F.substring(F.lpad(digits, 2 * size, F.lit("0")), 1, 6), 6, "0")
+    size = lambda digits: F.floor((F.length(digits) + 1) / 2).cast("int")
+    head = lambda digits: F.rpad(F.substring(F.lpad(digits, 2 * size(digits), F.lit("0")), 1, 6), 6, "0")
     byte = lambda n: F.lpad(F.lower(F.hex(n)), 2, "0")
-    return F.when(head >= "8", F.concat(byte(size + 1), F.lit("00"), F.substring(head, 1, 4))).otherwise(F.concat(byte(size), head))
+    form = lambda v: F.when(v["head"] >= "8", F.concat(byte(v["size"] + 1), F.lit("00"), F.substring(v["head"], 1, 4))).otherwise(F.concat(byte(v["size"]), v["head"]))
+    return once(once(F.ltrim(F.lower(target_hex), F.lit("0")), lambda d: F.struct(size(d).alias("size"), head(d).alias("head"))), form)
 
 
 @dataclass(frozen=True)
