@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hexbytes import is_hex, le_int, meets, push_prefix, pushed_height, signed32, target, whole_number
+from ..functions.hexbytes import big_endian, is_hex, meets, push_prefix, pushed_height, signed32, target, turned, whole_number
 from ..functions.registry import HEIGHT_PUSH, HEIGHT_PUSH_V2, INTERVAL, VERSION_3, VERSION_4
 
 RETARGET, MTP = "nbits_retarget_not_applied", "time_below_mtp"
@@ -33,7 +33,7 @@ def bits_gate(height: Column, bits: Column, expected: Column) -> Column:
 
 def _version_of(header: Column) -> Column:
     """The version alone: the struct of all fields would hash the header wherever a gate names it."""
-    return F.when(is_hex(header, 80), signed32(le_int(F.substring(header, 1, 8), 4)))
+    return F.when(is_hex(header, 80), signed32(big_endian(turned(F.substring(header, 1, 8)))))
 
 
 def required_version(height: Column) -> Column:

@@ -121,3 +121,41 @@ def test_pointer_is_refused(spark, tmp_path):
     (tmp_path / "x.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\n")
     with pytest.raises(ValueError, match="pointer"):
         refuse_pointers(spark, str(tmp_path / "x.csv"))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headers_are_generated_code(spark):
+    """No function by name in the headers' columns: one of them takes a whole row's columns out of generated code."""
+    from palimpsest.plans.evidence import headers
+
+    assert "transform(" not in _plan(headers(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("h", ["", "0a", "0A1b", "00ff" * 80, None])
+def test_turned_bytes(spark, h):
+    want = None if h is None else bytes.fromhex(h)[::-1].hex()
+    assert spark.createDataFrame([(h,)], "h string").select(X.turned(F.col("h")).alias("r")).first()["r"] == want
+
+
+def test_retarget_finds_its_target_once(spark):
+    from palimpsest.functions.retarget import compact_bits, scaled
+
+    big = F.concat(F.lit("00ff"), F.sha2(F.col("id").cast("string"), 224))
+    plan = _plan(spark.range(3).select(compact_bits(scaled(big, F.col("id") + 1, 7)).alias("x")))
+    assert plan.count("sha2(") == 1
+
+
+def test_addresses_both_ways():
+    """Leading zeros, all versions and sizes; texts with a letter that no address has."""
+    for version in range(17):
+        for size in (2, 3, 20, 31, 32, 40):
+            script = bytes([version and 0x50 + version, size]) + bytes(range(size))
+            text = P.address_of(script)
+            assert P.script_of(text) == P.script_of(text.upper()) == script.hex() and P.script_of(text[:-1] + "b") is None
+    for zeros in range(21):
+        body = bytes(zeros) + bytes(range(200, 220 - zeros))
+        for script in (b"\x76\xa9\x14" + body + b"\x88\xac", b"\xa9\x14" + body + b"\x87"):
+            assert P.script_of(P.address_of(script)) == script.hex()
