@@ -38,6 +38,8 @@ from .components import components
 from .shared import as_bytes, bloom, by_place, cells, checked, drop, folded, may_hold, mixed, slices, small_batches, word_hashes, written
 
 SKETCH = 1 << 21
+#: Elements that a task holds before it counts them.
+HELD = 250_000
 #: A list with at most so many members gives all its pairs; a longer one has pivots, so many in its first round.
 SHORT, PIVOTS = 12, 16
 #: The parity of a set's elements in each of 256 classes, in 64-bit words.
@@ -125,7 +127,7 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
             for part, texts in slices(batch, as_bytes(batch.column(1))):
                 sets = shingle_sets(texts, k)
                 held += sets
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > HELD:
                     load += counted(held)
                     held = []
                 keys = [keys_of(s) for s in sets]

@@ -584,3 +584,19 @@ def test_bloom_filter(spark):
 
 def test_names():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_hashing_takes_little_memory():
+    """A worker keeps what it took at most, and six of them share an executor."""
+    import tracemalloc
+
+    from palimpsest.llm import jaccard_join, shared
+
+    text = b" ".join(b"w%d" % (i * 7919 % 50_000) for i in range(400_000))
+    whole = np.concatenate([shared.word_hashes([w])[0] for w in text[:50_000].rsplit(b" ", 1)[0].split()])
+    tracemalloc.start()
+    found = shared.word_hashes([text, text[: 1 << 19]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[0][: len(whole)] == whole).all() and len(found[0]) == 400_000
+    assert most < 40 << 20 and jaccard_join.HELD * 8 * 4 < 10 << 20
