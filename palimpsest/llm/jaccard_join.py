@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_bytes, bloom, by_place, cells, checked, drop, folded, may_hold, mixed, slices, small_batches, word_hashes, written
+from .shared import as_bytes, bloom, by_place, cells, checked, drop, folded, lean, may_hold, mixed, slices, small_batches, word_hashes, written
 
 SKETCH = 1 << 21
 #: Elements that a task holds before it counts them.
@@ -150,7 +150,7 @@ def _measured(docs: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(own.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none.cast(schema.field(0).type), *[none] * 7, own.column(0), own.column(1)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, cell int, part binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, cell int, part binary")
 
 
 def _sketch(measured: DataFrame) -> tuple[np.ndarray, float, float]:
@@ -214,9 +214,9 @@ def _entries(docs: DataFrame, reps: DataFrame, gone: DataFrame, k: int, pct: int
     shape, texts = f"s1 long, s2 long, low int, np long, rep {kind}", docs.select("doc_id", "text").where("doc_id is not null")
     few = checked(gone)
     if few is not gone:
-        return texts.join(few, "doc_id", "left_anti").mapInArrow(run, shape)
+        return texts.join(few, "doc_id", "left_anti").mapInArrow(lean(run), shape)
     # many copies: not the texts are joined, but the narrow entries
-    return texts.mapInArrow(run, shape).join(reps.select("rep").distinct(), "rep", "left_semi")
+    return texts.mapInArrow(lean(run), shape).join(reps.select("rep").distinct(), "rep", "left_semi")
 
 
 def _possible(x: str, y: str, pct: int) -> str:
@@ -305,7 +305,7 @@ def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), items], names=["k1", "k2", "items"])
 
-    arrays = docs.where("doc_id is not null").select(F.xxhash64("doc_id"), "text").mapInArrow(run, "k1 long, k2 long, items array<bigint>")
+    arrays = docs.where("doc_id is not null").select(F.xxhash64("doc_id"), "text").mapInArrow(lean(run), "k1 long, k2 long, items array<bigint>")
     # rows that repeat a doc_id may have other sets, and a set may be read twice; the wanted side names each set once
     return arrays.join(checked(wanted), ["k1", "k2"]).select("rep", "items").dropDuplicates(["rep"])
 

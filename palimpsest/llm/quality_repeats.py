@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import as_bytes, by_place, slices, small_batches
+from .shared import as_bytes, by_place, lean, slices, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -177,4 +177,4 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for part, texts in slices(batch, as_bytes(batch.column(at))):
                 yield pc.filter(part, pa.array(measure(texts, limits)[-1]))
 
-    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+    return placed.mapInArrow(lean(run), placed.schema).toDF(*docs.columns)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -600,3 +604,39 @@ def test_hashing_takes_little_memory():
     tracemalloc.stop()
     assert (found[0][: len(whole)] == whole).all() and len(found[0]) == 400_000
     assert most < 40 << 20 and jaccard_join.HELD * 8 * 4 < 10 << 20
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_suffixes_take_little_memory(words):
+    """So that the workers of an executor, which keep what they took at most, leave room for its JVM."""
+    import tracemalloc
+
+    text = b" ".join(b"w%d" % (i * 7919 % 50_000) for i in range(400_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([text.decode(), text[: 1 << 19].decode()])], names=["k1", "k2", "text"])
+    shape = suffix_dedup.Shape(51 if words else 400, words)
+    tracemalloc.start()
+    found = sum(len(core) for *_, core in suffix_dedup._anchored(iter([batch]), shape))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1000 and most < 48 << 20
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_workers_give_memory_back():
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    kept = []
+
+    def run(batches):
+        taken = []
+        for batch in batches:
+            for _ in range(100_000):  # blocks that the C library keeps
+                taken.append(bytes(1 << 10))
+            kept.append(bytes(1 << 10))  # the last block stays, and with it all below
+            taken.clear()
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    assert list(run(iter([batch]))) == [batch]
+    before = held()
+    assert list(shared.lean(run)(iter([batch]))) == [batch]
+    assert before - held() > 50 << 10
