@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hexbytes import header_fields, meets, target
+from ..functions.hexbytes import bits_of, display_hash, is_hex, meets, target
 from ..sources.folder import written
 from . import gates as G
 from .matching import first_by
@@ -16,9 +16,9 @@ BCH_FORK = 478_559  # fixed value: the height from which another chain shares th
 def worked(rows: DataFrame, order: str) -> DataFrame:
     """Candidates whose header meets its own target, the first row of each hash; a claim that differs from the header's bytes fails.
 
-    ``rows``: header_hex, hash, bits, and more."""
-    f = header_fields(F.col("header_hex"))
-    same = F.coalesce((f["hash"] == F.col("hash")) & (f["bits"] == F.col("bits")), F.lit(False))
+    ``rows``: header_hex, hash, bits, and more. Of the header only what is claimed is read: each field of a struct of all would find all of them again."""
+    header = F.col("header_hex")
+    same = F.coalesce(is_hex(header, 80) & (display_hash(header) == F.col("hash")) & (bits_of(header) == F.col("bits")), F.lit(False))
     checked = rows.withColumn("hash", F.when(same, F.col("hash")).otherwise(F.raise_error(F.lit("a candidate's fields differ from its header")).cast("string")))
     return first_by(checked.where(meets(F.col("hash"), target(F.col("bits")))), ["hash"], F.col(order))
 
