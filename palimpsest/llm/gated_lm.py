@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CELL, as_bytes, cells, drop, folded, slices, small_batches, word_hashes, written
+from .shared import CELL, as_bytes, cells, drop, folded, keep_freed, lean, slices, small_batches, word_hashes, written
 
 #: Words of the network, words whose counts every task holds, and classes of words.
 WORDS, FREQUENT, CLASSES = 2046, 500_000, 40
@@ -82,6 +82,7 @@ def counted(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         held, size = [], 0
         sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -101,7 +102,7 @@ def counted(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
                         sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield told(merged(np.concatenate([sums[0], *held]), np.concatenate([sums[1], np.ones(size, np.int64)])))
 
-    return docs.select("text").mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -172,6 +173,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         v = shared.value
         end_log = float(np.log10(v.ends + SMOOTH))
         for batch in batches:
@@ -210,7 +212,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 )
 
     part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(64)).cast("int")
-    rows = docs.select("doc_id", held_out().alias("held_out"), part.alias("part"), "text").mapInArrow(run, f"doc_id {kind}, {ROW}")
+    rows = docs.select("doc_id", held_out().alias("held_out"), part.alias("part"), "text").mapInArrow(lean(run), f"doc_id {kind}, {ROW}")
     return written(rows.select(F.monotonically_increasing_id().alias("key"), "*"), "encoded")
 
 
@@ -228,18 +230,21 @@ def classes(counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
 
 
 class Network:
-    """The weights as one array and its parts: what each word adds to the gates (reset, update, state), the recurrent matrix, classes, words."""
+    """The weights as one array and its parts: what each word adds to the gates (reset, update, state), the recurrent matrix, classes and words,
+    these two with their bias as the last column."""
 
     def __init__(self, counts: np.ndarray, shape: Shape, flat: np.ndarray | None = None) -> None:
         n, h = len(counts), shape.hidden
         self.shape, self.starts = shape, classes(counts)
         k = len(self.starts) - 1
         self.of = np.repeat(np.arange(k), np.diff(self.starts)).astype(np.uint8)
-        sizes = [(3 * h, n), (3 * h, h), (k, h), (k,), (n, h), (n,)]
+        sizes = [(3 * h, n), (3 * h, h), (k, h + 1), (n, h + 1)]
         length = sum(int(np.prod(s)) for s in sizes)
         self.flat = np.zeros(-(-length // CELL) * CELL, np.float32) if flat is None else flat
         self.sizes = sizes
-        self.words, self.turn, self.to_class, self.class_bias, self.to_word, self.word_bias = self.parts(self.flat)
+        self.words, self.turn, self.by_class, self.by_word = self.parts(self.flat)
+        self.to_class, self.class_bias = self.by_class[:, :h], self.by_class[:, h]
+        self.to_word, self.word_bias = self.by_word[:, :h], self.by_word[:, h]
         if flat is None:
             rng = np.random.default_rng(shape.seed)
             self.words[:] = rng.normal(0, 0.3, self.words.shape)
@@ -257,117 +262,194 @@ class Network:
             at += n
         return out
 
-    def steps(self, before: np.ndarray, state: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States (hidden, steps, lanes) after each of the words that follow ``before`` (steps, lanes); ``state`` is brought forward. An end before a word
-        starts from nothing. With ``kept``, what the gradient needs is appended to it."""
+    def run(self, before: np.ndarray, state: np.ndarray, kept: Kept | None = None) -> np.ndarray:
+        """States (steps, hidden, lanes) after each of the words that follow ``before`` (steps, lanes); ``state`` is brought forward. An end before a word
+        starts from nothing. With ``kept``, what the gradient needs stays in it."""
         h = self.shape.hidden
         t, lanes = before.shape
-        gates = self.words.take(before.ravel(), axis=1).reshape(3 * h, t, lanes)
-        out = np.empty((h, t, lanes), self.flat.dtype)
+        out = np.empty((t, h, lanes), self.flat.dtype)
+        here = kept or Kept.of(1, h, lanes, out.dtype)
         fresh = before == END
-        some = fresh.any(axis=1)
+        some = fresh.any(axis=1).tolist()
+        turn = self.turn.copy()
+        turn[: 2 * h] *= -1  # of the gates 1 / (1 + exp(-x)) is taken
+        was = state
         for i in range(t):
+            at = i if kept else 0
+            a, turned, new, apart = here.gates[at], here.turned[at], here.new[at], here.apart[at]
             if some[i]:
-                state[:, fresh[i]] = 0
-            turned = self.turn @ state
-            a = gates[: 2 * h, i] + turned[: 2 * h]
-            np.negative(a, out=a)
+                was = was.copy()
+                was[:, fresh[i]] = 0
+            if kept:
+                here.was[at] = was
+            own = self.words.take(before[i], axis=1)
+            np.matmul(turn, was, out=turned)
+            np.subtract(turned[: 2 * h], own[: 2 * h], out=a)
             np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
-            new = a[:h] * turned[2 * h :]
-            new += gates[2 * h :, i]
+            np.multiply(a[:h], turned[2 * h :], out=new)
+            new += own[2 * h :]
             np.tanh(new, out=new)
-            if kept is not None:
-                kept.append((a, new, state.copy(), turned[2 * h :]))
-            state -= new
-            state *= a[h:]
-            state += new
-            out[:, i] = state
+            np.subtract(was, new, out=apart)
+            was = np.multiply(apart, a[h:], out=out[i])
+            was += new
+        state[:] = was
         return out
 
+    def steps(self, before: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """``run`` as (hidden, steps, lanes), a view of a row for each word."""
+        return np.ascontiguousarray(self.run(before, state).transpose(0, 2, 1)).transpose(2, 0, 1)
+
     def told(self, states: np.ndarray, after: np.ndarray, slope: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """The logarithm of each word's probability (of another word: of its class), and the slope of their mean in the states, (hidden, words) each. With
-        ``slope``, that in the weights is added to its parts."""
+        ``slope``, that in the weights is set in its parts, which hold zeros."""
+        h, m = len(states), len(after)
         of = self.of[after]
         by = np.argsort(of, kind="stable")
-        of, after, states = of[by], after[by], np.ascontiguousarray(states[:, by])
-        cut = np.searchsorted(of, np.arange(len(self.starts)))
-        every = np.arange(len(of))
-        x = self.to_class @ states + self.class_bias[:, None]
-        x -= x.max(axis=0)
-        own = x[of, every]
-        np.exp(x, out=x)
-        s = x.sum(axis=0)
-        out = own - np.log(s)
+        rows = np.ones((m, h + 1), states.dtype)
+        rows[:, :h] = np.ascontiguousarray(states.T).take(by, axis=0)
+        after, of = after[by].astype(np.int64), of[by].astype(np.int64)
+        k = len(self.by_class)
+        x = np.empty((m, k), states.dtype)
+        first = k * np.arange(m)
+        logs, share = self._shares([(rows, self.by_class, x)], x.reshape(-1), first, np.full(m, k), first + of)
         back = None
         if slope is not None:
-            x /= s
-            x[of, every] -= 1
-            x /= len(of)
-            slope[2] += x @ states.T
-            slope[3] += x.sum(axis=1)
-            back = self.to_class.T @ x
-        for k, (lo, hi) in enumerate(zip(self.starts, self.starts[1:], strict=False)):
-            a, b = cut[k], cut[k + 1]
-            if a == b or hi - lo < 2:
-                continue
-            x = self.to_word[lo:hi] @ states[:, a:b] + self.word_bias[lo:hi, None]
-            x -= x.max(axis=0)
-            own = x[after[a:b] - lo, every[: b - a]]
-            np.exp(x, out=x)
-            s = x.sum(axis=0)
-            out[a:b] += own - np.log(s)
+            np.matmul(x.T, share * rows, out=slope[2])
+            back = x @ self.to_class
+            back *= share
+        sizes = np.diff(self.starts)
+        cut = np.searchsorted(of, np.arange(k + 1))
+        held = np.flatnonzero((sizes > 1) & (cut[1:] > cut[:-1])).tolist()
+        if held:  # in a class of one word its share is 1
+            inside = np.flatnonzero(sizes[of] > 1)
+            length = sizes[of[inside]]
+            first = np.cumsum(length) - length
+            own = first + after[inside] - self.starts[of[inside]]
+            x = np.empty(int(length.sum()), states.dtype)
+            blocks, at = [], 0
+            for i in held:
+                a, b, lo, hi = cut[i], cut[i + 1], self.starts[i], self.starts[i + 1]
+                n = (b - a) * (hi - lo)
+                blocks.append((rows[a:b], self.by_word[lo:hi], x[at : at + n].reshape(b - a, hi - lo)))
+                at += n
+            more, share = self._shares(blocks, x, first, length, own)
+            logs[inside] += more
             if slope is not None:
-                x /= s
-                x[after[a:b] - lo, every[: b - a]] -= 1
-                x /= len(of)
-                slope[4][lo:hi] += x @ states[:, a:b].T
-                slope[5][lo:hi] += x.sum(axis=1)
-                back[:, a:b] += self.to_word[lo:hi].T @ x
-        undo = np.empty_like(by)
-        undo[by] = every
-        return out[undo], None if back is None else back[:, undo]
+                scaled = share * rows[inside]
+                share /= m / len(inside)
+                scaled /= m / len(inside)
+                own_back = np.empty((len(inside), h), states.dtype)
+                at = 0
+                for i, (some, weights, y) in zip(held, blocks, strict=True):
+                    end = at + len(some)
+                    np.matmul(y.T, scaled[at:end], out=slope[3][self.starts[i] : self.starts[i + 1]])
+                    np.matmul(y, weights[:, :h], out=own_back[at:end])
+                    at = end
+                own_back *= share
+                back[inside] += own_back
+        out = np.empty_like(logs)
+        out[by] = logs
+        if back is None:
+            return out, None
+        undone = np.empty_like(back)
+        undone[by] = back
+        return out, undone.T
+
+    @staticmethod
+    def _shares(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray, first: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Softmax over stretches of ``x``, which the blocks (rows, weights, their part of x) fill: the logarithm of the share at ``own`` of each stretch. ``x`` is
+        left so that times the second result it is the slope of the mean loss: what all of a stretch share is not multiplied out."""
+
+        def filled() -> np.ndarray:
+            for rows, weights, y in blocks:
+                np.matmul(rows, weights.T, out=y)
+            return x[own]
+
+        def summed() -> np.ndarray:
+            np.exp(x, out=x)
+            return np.concatenate([y @ np.ones(y.shape[1], x.dtype) for _, _, y in blocks])
+
+        logs = filled()
+        with np.errstate(over="ignore"):
+            sums = summed()
+        if not (sums.min() > 1e-30 and sums.max() < 1e30):  # beyond what exp can hold: the greatest of each stretch is taken off
+            filled()
+            top = np.maximum.reduceat(x, first)
+            x -= np.repeat(top, length)
+            sums = summed()
+            logs -= top
+        x[own] -= sums
+        logs -= np.log(sums)
+        return logs, (1 / (sums * len(sums)))[:, None].astype(x.dtype)
 
     def slope(self, before: np.ndarray, after: np.ndarray, state: np.ndarray) -> np.ndarray:
         """The slope of the mean loss over (steps, lanes) of words, in all weights; ``state`` is brought forward."""
         h = self.shape.hidden
         t, lanes = before.shape
-        kept: list = []
-        states = self.steps(before, state, kept)
+        kept = Kept.of(t, h, lanes, self.flat.dtype)
+        states = np.ascontiguousarray(self.run(before, state, kept).transpose(0, 2, 1)).reshape(-1, h)
         flat = np.zeros_like(self.flat)
         parts = self.parts(flat)
-        back = self.told(states.reshape(h, -1), after.ravel(), parts)[1].reshape(h, t, lanes)
-        gates = np.empty((3 * h, t, lanes), flat.dtype)
-        turned = np.empty((3 * h, t, lanes), flat.dtype)
-        earlier = np.empty((h, t, lanes), flat.dtype)
+        back = self.told(states.T, after.ravel(), parts)[1]
+        back = np.ascontiguousarray(back.T.reshape(t, lanes, h).transpose(0, 2, 1))
+        reset, update = kept.gates[:, :h], kept.gates[:, h:]
+        # what the slope of a state is multiplied by: state, reset, update, state as the recurrent matrix gives it
+        by = np.empty((t, 4, h, lanes), flat.dtype)
+        np.multiply(kept.new, kept.new, out=by[:, 0])
+        np.subtract(1, by[:, 0], out=by[:, 0])
+        by[:, 0] *= 1 - update
+        np.multiply(by[:, 0], reset, out=by[:, 3])
+        np.multiply(by[:, 3], kept.turned[:, 2 * h :], out=by[:, 1])
+        by[:, 1] *= 1 - reset
+        np.multiply(kept.apart, update, out=by[:, 2])
+        by[:, 2] *= 1 - update
         d = np.zeros((h, lanes), flat.dtype)
+        earlier = np.empty_like(d)
+        fresh = before == END
+        some = fresh.any(axis=1).tolist()
+        turn = np.ascontiguousarray(self.turn.T)
+        turned = by.reshape(t, 4 * h, lanes)[:, h:]
         for i in range(t - 1, -1, -1):
-            a, new, was, own = kept[i]
-            reset, update = a[:h], a[h:]
-            d += back[:, i]
-            inner = d * (1 - update) * (1 - new * new)
-            gates[:h, i] = inner * own * reset * (1 - reset)
-            gates[h : 2 * h, i] = d * (was - new) * update * (1 - update)
-            gates[2 * h :, i] = inner
-            turned[: 2 * h, i] = gates[: 2 * h, i]
-            turned[2 * h :, i] = inner * reset
-            earlier[:, i] = was
-            d *= update
-            d += self.turn.T @ turned[:, i]
-            d[:, before[i] == END] = 0
-        parts[1] += turned.reshape(3 * h, -1) @ earlier.reshape(h, -1).T
+            d += back[i]
+            by[i] *= d
+            d *= update[i]
+            np.matmul(turn, turned[i], out=earlier)
+            d += earlier
+            if some[i]:
+                d[:, fresh[i]] = 0
+        np.sum(np.matmul(turned, kept.was.transpose(0, 2, 1)), axis=0, out=parts[1])
         ids = before.ravel()
-        by = np.argsort(ids, kind="stable")
-        ids = ids[by]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        parts[0][:, ids[first]] = np.add.reduceat(gates.reshape(3 * h, -1)[:, by], first, axis=1)
+        gates = by[:, [1, 2, 0]].transpose(1, 2, 0, 3).reshape(3 * h, -1)
+        parts[0][:, ids[first]] = np.add.reduceat(gates.take(order, axis=1), first, axis=1)
         return flat
 
 
+@dataclass
+class Kept:
+    """What the gradient needs of each step: gates (reset, update), what the recurrent matrix gave, the new state, the state before, and that less the new one."""
+
+    gates: np.ndarray
+    turned: np.ndarray
+    new: np.ndarray
+    was: np.ndarray
+    apart: np.ndarray
+
+    @staticmethod
+    def of(t: int, h: int, lanes: int, kind: np.dtype) -> Kept:
+        return Kept(*(np.empty((t, n * h, lanes), kind) for n in (2, 3, 1, 1, 1)))
+
+
 class Learner:
     """Steps of the network's weights along slopes, each weight at a pace of its own (moments of the slope)."""
 
+    #: Weights that are changed at once, so that they and their moments stay in the processor's cache.
+    BLOCK = 1 << 14
+
     def __init__(self, net: Network, turn: Round) -> None:
         self.net, self.turn, self.count = net, turn, 0
         self.first, self.second = np.zeros_like(net.flat), np.zeros_like(net.flat)
@@ -375,17 +457,21 @@ class Learner:
     def step(self, slope: np.ndarray) -> None:
         self.count += 1
         norm = float(np.sqrt(slope @ slope))
-        if norm > 1:
-            slope /= norm
-        self.first += 0.1 * (slope - self.first)
-        slope *= slope
-        self.second += 0.01 * (slope - self.second)
         pace = self.turn.rate * min(1.0, self.count / 10) * (1 - 0.99**self.count) ** 0.5 / (1 - 0.9**self.count)
-        np.sqrt(self.second, out=slope)
-        slope += 1e-7
-        np.divide(self.first, slope, out=slope)
-        slope *= pace
-        self.net.flat -= slope
+        for at in range(0, len(slope), self.BLOCK):
+            part = slice(at, at + self.BLOCK)
+            own, first, second = slope[part], self.first[part], self.second[part]
+            own *= 0.1 / max(norm, 1)
+            first *= 0.9
+            first += own
+            own *= own  # a hundredth of the square
+            second *= 0.99
+            second += own
+            np.sqrt(second, out=own)
+            own += 1e-7
+            np.divide(first, own, out=own)
+            own *= pace
+            self.net.flat[part] -= own
 
     def stream(self, ids: np.ndarray) -> None:
         """Learns from all words of documents one after another: their numbers are cut into lanes, and the state runs along each; what is left, fewer words than lanes, comes
@@ -447,6 +533,7 @@ def trained(rows: DataFrame, vocab: Vocabulary, shape: Shape = Shape(), group: i
             counts = vocab.network_counts
 
             def run(batches: Iterator[pa.RecordBatch], start=start, counts=counts, turn=turn, words=words) -> Iterator[pa.RecordBatch]:
+                keep_freed()
                 own = Network(counts, shape, start.value.copy())
                 learner, seen = Learner(own, turn), 0
                 for _, ids, _ in gathered(batches, group):
@@ -457,7 +544,7 @@ def trained(rows: DataFrame, vocab: Vocabulary, shape: Shape = Shape(), group: i
 
             tasks = max(1, min(MOST_TASKS, words // LEAST_WORDS))
             some = rows.where(F.col("part").between(low, low + turn.parts - 1)).select("key", "ids").coalesce(tasks)
-            summed = folded(some.mapInArrow(run, "cell int, part binary"), len(net.flat), "i8", np.add)
+            summed = folded(some.mapInArrow(lean(run), "cell int, part binary"), len(net.flat), "i8", np.add)
             net = Network(vocab.network_counts, shape, (summed * UNIT).astype(np.float32))
             start.unpersist()
         low += turn.parts
@@ -520,11 +607,12 @@ def scored(docs: DataFrame, shape: Shape = Shape(), group: int = 1 << 21) -> Dat
     shared = spark.sparkContext.broadcast((vocab.network_counts, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         net = Network(shared.value[0], shape, shared.value[1])
         for keys, ids, places in gathered(batches, group):
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(likelihoods(net, ids, places) / np.log(10))], names=["key", "network"])
 
-    network = rows.select("key", "ids").mapInArrow(run, "key long, network double")
+    network = rows.select("key", "ids").mapInArrow(lean(run), "key long, network double")
     rare = rows.where(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(counts, "hash", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(c + SMOOTH)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
