@@ -189,3 +189,54 @@ def test_headers_from_ordered_files(spark):
     assert said(*both, (hashes[0], headers[3], 1, 1)) == rest | {("n", hashes[0]): (headers[0], "hydrated"), ("n", hashes[1]): (headers[1], "hydrated")}
     assert said(both[0], (hashes[0], headers[3], 1, 1)) == rest | {("n", hashes[0]): ("", "hash mismatch"), ("n", hashes[1]): ("", "missing")}
     assert said(both[0], (hashes[0], headers[3], 0, 0), both[1])[("n", hashes[0])] == (headers[0], "hydrated")
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's tasks have written for shuffles."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def test_only_targets_are_shuffled(spark):
+    """Rows that no join can change are wide, and stay where they are."""
+    from pyspark.sql import functions as F
+
+    wide = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")), 512) for k in range(40)))
+    texts = {"btc_header_hash": F.sha2(F.col("id").cast("string"), 256), "child_height": F.lit("7"), "classification": F.lit("stale"), "child_header_hex": F.lit(""), "child_block_time": F.lit("")}
+    rows = spark.range(0, 2000, 1, 4).select(F.when(F.col("id") < 20, "a").otherwise("b").alias("chain"), *(v.alias(k) for k, v in texts.items()), F.lit("").alias("child_block_hash"), wide.alias("btc_header_hex"))
+    identity = rows.where("chain = 'a'").select("chain", "btc_header_hash", "child_height", F.lit("found").alias("child_block_hash"), F.lit("1").alias("child_block_time"), F.lit(1).alias("file"))
+    candidates = spark.createDataFrame([(H, "00" * 80, 0, 0)], "hash string, header_hex string, ordinal int, place int")
+    told = {"outcome": V.hydrated(rows, identity, ()), "header_outcome": V.with_headers(rows.withColumn("btc_header_hex", F.when(F.col("chain") == "a", "").otherwise(F.col("btc_header_hex"))), candidates, "a")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10_000)  # rows of a large table on the other side
+    try:
+        for name, df in told.items():
+            start = shuffled(spark)
+            seen = {(r["chain"], r[name]): r["n"] for r in df.withColumn("size", F.length("btc_header_hex")).groupBy("chain", name).agg(F.count("size").alias("n"), F.sum("size")).collect()}
+            assert seen == {("a", "hydrated" if name == "outcome" else "missing"): 20, ("b", "not a target"): 1980}
+            assert shuffled(spark) - start < 2_000_000  # of some ten million
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_null_child_hashes_stay_targets(spark):
+    kind = "chain string, btc_header_hash string, child_height string, child_block_hash string, child_block_time string, file int"
+    rows = evidence(spark, ("a", "5", H, "stale", "7"), ("a", "5", H, "stale", "8"), ("b", "5", H, "stale", "7"), ("a", "5", "short", "stale", "7"))
+    rows = rows.selectExpr(*(f"if(child_height = '7', null, {c}) as {c}" if c == "child_block_hash" else c for c in rows.columns))
+    identity = spark.createDataFrame([("a", H, "7", "told", "1", 1)], kind)
+    got = sorted((r["chain"], r["btc_header_hash"], r["child_height"], r["outcome"]) for r in V.hydrated(rows, identity, ()).collect())
+    assert got == sorted([("a", H, "7", "hydrated"), ("a", H, "8", "height_mismatch"), ("b", H, "7", "not a target"), ("a", "short", "7", "not a target")])
+
+
+def test_export_leaves_what_it_published(spark):
+    """Headers, sources and the table before publication are deleted once nothing reads them."""
+    from pathlib import Path
+
+    from palimpsest.plans.pipelines import p07_full_evidence
+    from palimpsest.sources.folder import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    there = set(folder.iterdir())
+    rows = p07_full_evidence(spark, "/root/testdata/sf0.001")
+    assert {p.name.partition("-")[0] for p in set(folder.iterdir()) - there} == {"evidence"}
+    assert rows.count() > 1000
