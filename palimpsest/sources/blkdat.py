@@ -8,7 +8,7 @@ Files lie where pyarrow's file systems reach (local folders that all machines mo
 ``binaryFile`` table.
 
 Options: ``path`` (a file, or a folder with blk<number>.dat), ``magic`` (hex), ``mask`` (hex, XORed from offset 0; by default what xor.dat beside the
-files holds), ``rangeBytes``, ``taskBytes`` (ranges go to one task, one after another, up to so many bytes; opening one counts as ``OPENING``), ``most`` (payload bytes of the largest frame), ``onBadFrame``: ``fail``, or ``stop`` to leave out the rest of the file. A
+files holds), ``rangeBytes``, ``taskBytes`` (ranges go to one task, one after another, up to so many bytes and a share of all, so that few ranges have tasks of their own; opening one counts as ``OPENING``), ``most`` (payload bytes of the largest frame), ``onBadFrame``: ``fail``, or ``stop`` to leave out the rest of the file. A
 frame of no bytes, of more than ``most``, or that the file cuts short, is bad. Noise between frames is skipped.
 """
 
@@ -29,6 +29,8 @@ from .files import masked
 SCHEMA = "path string, offset long, block binary"
 WINDOW, BATCH = 1 << 16, 1 << 24
 OPENING, TASK = 1 << 16, 1 << 25
+#: Ranges share tasks only where there are more of them; so a small folder is read by many tasks as well.
+SPREAD = 64
 NUMBERED = re.compile(r"blk\d+\.dat$")
 KEY_FILE = "xor.dat"
 
@@ -122,7 +124,9 @@ class BlockReader(DataSourceReader):
         return store, sorted((f for f in found if NUMBERED.match(f.base_name)), key=lambda f: f.base_name)
 
     def partitions(self) -> list[Ranges]:
-        return dealt(self._ranges(), self.task)
+        ranges = self._ranges()
+        whole = sum(r.end - r.start + OPENING for r in ranges)
+        return dealt(ranges, min(self.task, whole // SPREAD))
 
     def _ranges(self) -> list[Range]:
         store, files = self._files()

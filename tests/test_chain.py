@@ -256,6 +256,15 @@ def test_small_ranges_share_a_task():
     assert [len(t.ranges) for t in tasks][-2:] == [1, 3] and blkdat.dealt([], 1) == []
 
 
+def test_small_folders_have_many_tasks(tmp_path):
+    """Ranges of some megabytes in all go to many tasks; of many ranges, each task has some."""
+    root = files(tmp_path / "blocks", {f"blk{n}.dat": b"\0" * 100 for n in range(200)})
+    read = lambda step: blkdat.BlockReader({"path": root, "magic": MAGIC.hex(), "rangeBytes": str(step)}).partitions()
+    few, many = read(100), read(10)
+    assert all(blkdat.SPREAD <= len(t) <= 2 * blkdat.SPREAD for t in (few, many))
+    assert [sum(len(t.ranges) for t in tasks) for tasks in (few, many)] == [200, 2000]
+
+
 def test_find_over_windows(tmp_path, monkeypatch):
     monkeypatch.setattr(blkdat, "WINDOW", 16)
     (tmp_path / "f").write_bytes(b"\0" * 29 + MAGIC + b"\0" * 40 + framed([b"end"]))
